@@ -12,6 +12,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.order_minhash import fingerprints
+
+    out = fingerprints(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("fingerprint", " ").alias("fingerprint"),
+        F.array_join("edited_fingerprint", " ").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textbench.llm.mixing import mix_sources
 
@@ -40,6 +55,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 _OP4 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
@@ -94,9 +116,23 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+_OP9 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
+           FROM documents WHERE text IS NOT NULL),
+nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, p, x, lead(x) OVER (PARTITION BY doc_id ORDER BY p) AS y FROM nb),
+late AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, p) AS r FROM w WHERE y IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT nb.doc_id, nb.i FROM late JOIN nb ON nb.doc_id = late.doc_id AND nb.p IN (late.p, late.p + 1)),
+kept AS (SELECT l.doc_id, count(*) AS n, count(gone.i) AS m, string_agg(CASE WHEN gone.i IS NULL THEN x END, chr(10) ORDER BY l.i) AS t
+         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_substring_dedup, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_order_minhash, op4_mix_sources, op5_substring_dedup, op8_decontaminate, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op8_decontaminate": _OP8}
+    return {"op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}
