@@ -27,6 +27,12 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.ngram_join import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textbench.llm.mixing import mix_sources
 
@@ -62,6 +68,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+_OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sig AS (SELECT doc_id, md5(string_agg(h::VARCHAR, ',' ORDER BY h)) AS g FROM s GROUP BY doc_id),
+cls AS (SELECT g, min(doc_id) AS c FROM sig GROUP BY g),
+r AS (SELECT s.* FROM s JOIN cls ON s.doc_id = cls.c),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT c AS v, c AS u FROM cls UNION SELECT v, b FROM reach JOIN both_ways ON u = a),
+comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN sig USING (doc_id) LEFT JOIN cls USING (g) LEFT JOIN comp ON v = c
+"""
+
 _OP4 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
@@ -131,8 +155,8 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op4_mix_sources, op5_substring_dedup, op8_decontaminate, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_ngram_join, op4_mix_sources, op5_substring_dedup, op8_decontaminate, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_ngram_join": _OP2, "op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}
