@@ -52,6 +52,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.pii import KINDS, find_personal_data
+
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textbench.llm.warc import archive_pages
 
@@ -174,7 +181,7 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_ngram_join, op3_quality_classifier, op4_mix_sources, op5_substring_dedup, op7_warc, op8_decontaminate, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_ngram_join, op3_quality_classifier, op4_mix_sources, op5_substring_dedup, op6_pii, op7_warc, op8_decontaminate, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
