@@ -30,20 +30,23 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
     steps = F.array(*[F.lit(float(w)) for w in weights])
     x = sizes.withColumn("weight", F.element_at(steps, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     x = x.withColumn("cap", most * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_fill = Window.orderBy("fill", F.col("source").asc_nulls_last())
+    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     x = x.select(
         "*",
+        F.row_number().over(by_fill).alias("turn"),
         (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("left"),
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("open"),
     )
     x = x.withColumn("level", F.col("left") / F.col("open"))
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
+    level = F.min_by("level", F.when(F.col("level") <= F.col("fill"), F.col("turn"))).over(everything)
     return x.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = "", carry: list[str] | None = None) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target and taken, the words that the mix takes of it, and `carry`,
+    further columns of it (short ones, as a key: they travel with the queue).
 
     Each source queues its documents in the order of an MD5 shuffle, then once more (as often as `most` allows). A document's
     virtual finish time is the words its source has sent up to its end, over the source's target; all sources are merged by
@@ -54,7 +57,8 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     repeated doc_ids queue by size too; size-0 documents take 0; an empty table gives an empty result.
     """
     weights = weights or [5, 2, 1]
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    carry = carry or []
+    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(F.lit(0).alias("_"), *carry).alias("more"))
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("o", order).withColumn("cut", F.conv(F.substring("o", 1, 3), 16, 10).cast("int"))
     cuts = rows.groupBy("source", "cut").agg(F.sum("size").alias("cut_size"))
@@ -67,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     r, c = rows.alias("r"), cuts.alias("c")
     one = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.cut") == F.col("c.cut")))
     one = one.select(
-        "doc_id", "size", "source_size", "target", F.col("r.source").alias("source"), F.col("r.cut").alias("cut"), "o",
+        "doc_id", "more", "size", "source_size", "target", F.col("r.source").alias("source"), F.col("r.cut").alias("cut"), "o",
         F.row_number().over(Window.partitionBy("r.source", "r.cut").orderBy("o", "doc_id", "size")).alias("place"),
         (F.sum("size").over(queue) + F.col("sent")).alias("sent"),
     )
@@ -84,5 +88,5 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     clear = turns.filter(F.col("tick") != edge).withColumn("take", F.col("tick") < edge)
     at_edge = turns.filter(F.col("tick") == edge).withColumn("take", F.sum("size").over(last) + before <= budget)
     per = F.sum(F.when(F.col("take"), F.col("size")).otherwise(F.lit(0)))
-    done = clear.unionByName(at_edge).groupBy("source", "cut", "place", "doc_id", "size", "source_size", "target").agg(per.alias("taken"))
-    return done.select("doc_id", "size", "source_size", "target", "taken")
+    done = clear.unionByName(at_edge).groupBy("source", "cut", "place", "doc_id", "more", "size", "source_size", "target").agg(per.alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", "taken", *(F.col("more")[c].alias(c) for c in carry))

@@ -119,11 +119,11 @@ src AS (SELECT source, sum(size)::BIGINT AS source_size,
                CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
         FROM d GROUP BY source),
 fill AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS fill FROM src),
-lev AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))
+lev AS (SELECT *, row_number() OVER (ORDER BY fill, source NULLS LAST) AS turn, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))
                   / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
         FROM fill WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (SELECT source, source_size,
-                least(cap, coalesce((min(CASE WHEN level <= fill THEN level END) OVER ()) * weight, cap)) AS target FROM lev),
+                least(cap, coalesce((SELECT level FROM lev WHERE level <= fill ORDER BY turn LIMIT 1) * weight, cap)) AS target FROM lev),
 one AS (SELECT d.*, source_size, target, row_number() OVER q AS place, sum(size) OVER q AS sent
         FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source
         WINDOW q AS (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING)),
