@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.llm.shared import row_key
+from textbench.llm.shared import bounded, row_key, staged
 
 #: Of a packed 64-bit entry the low bits hold the place in the text, the rest its hash.
 _PLACE = 26
@@ -91,20 +93,23 @@ def with_range(df: DataFrame, key: str, coarse: int = 256) -> DataFrame:
     return df.withColumn("range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * fine + part).cast("long"))
 
 
-def with_next(df: DataFrame, carry: list[str]) -> DataFrame:
-    """Each row of (doc_id, k, ...) with next_<c> for c in `carry`, from the next row in descending doc_id (after the last: the
-    first). Rows meet in ranges of doc_id; only the last row of a range looks up the first of the next range that has rows."""
+def with_next(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], carry: list[str]) -> DataFrame:
+    """Each row of `prepare(df)`, df being (doc_id, k, ...), with next_<c> for c in `carry`, from the next row in descending
+    doc_id (after the last: the first).
+
+    Rows meet in ranges of doc_id. A range also gets a copy of the first row of the next range that has rows, behind its own,
+    so one exchange serves all; these copies (one for each range) are found by key and do not come out.
+    """
     df = with_range(df, "doc_id")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("k")]
-    w = Window.partitionBy("range").orderBy(*order)
-    seen = df.withColumns({"next": F.lead(F.struct(*carry)).over(w), "rn": F.row_number().over(w)})
-    heads = seen.filter("rn = 1").select(F.col("range").alias("of"), F.struct(*carry).alias("next"))
-    ranges = df.select("range").distinct()
-    everything = Window.orderBy(F.desc("range"))
-    follow = ranges.select("range", F.coalesce(F.lead("range").over(everything), F.max("range").over(Window.partitionBy())).alias("of"))
-    inner = seen.filter("next IS NOT NULL")
-    last = seen.filter("next IS NULL").drop("next").join(follow, "range").join(heads, "of").drop("of")
-    return inner.unionByName(last).withColumns({f"next_{c}": F.col("next")[c] for c in carry}).drop("next", "rn", "range")
+    heads = df.groupBy("range").agg(F.min_by("k", F.struct(F.bitwise_not("doc_id"), F.col("k"))).alias("k"))
+    down = Window.orderBy(F.desc("range"))
+    above = F.coalesce(F.lag("range").over(down), F.min("range").over(Window.partitionBy()))
+    heads = staged(heads.select("k", above.alias("range")))
+    extra = df.drop("range").join(bounded(heads), "k")
+    rows = prepare(df.withColumn("extra", F.lit(False))).unionByName(prepare(extra.withColumn("extra", F.lit(True))))
+    w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "k")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
+    return rows.filter("NOT extra").drop("range", "extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -119,7 +124,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("k", row_key("doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
-    rows = with_next(with_fingerprint(rows, "text", "fingerprint"), ["text", "fingerprint"])
+    joined = lambda c: F.array_join(c, " ")  # noqa: E731  a string is far smaller than an array while rows are dealt out
+    rows = with_next(rows, lambda df: with_fingerprint(df, "text", "fp").withColumn("fp", joined("fp")), ["text", "fp"])
+    entries = lambda c: F.filter(F.split(c, " "), lambda e: e != "")
+    rows = rows.withColumns({"fingerprint": entries("fp"), "next_fingerprint": entries("next_fp")})
     half = (F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     near_next = likeness(F.col("fingerprint"), F.col("next_fingerprint"))
