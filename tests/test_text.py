@@ -106,3 +106,20 @@ def test_stream_equals_batch(spark, tmp_path):
     op = lambda df: S.harvest(df, "t", r"line \d+").select("i", "match")
     tail.run_available(tail.follow_table(spark, str(tmp_path / "in"), rows.schema), op, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, op(rows).collect()))
+
+
+def test_header_and_ragged(spark):
+    data = [("f", 1, ["id", "name", "active"]), ("f", 2, ["1", "Ada", "true"]), ("g", 1, ["1", "2"]), ("g", 2, ["3", "4"]), ("h", 1, ["a"]), ("h", 2, ["b", "c"])]
+    df = spark.createDataFrame(data, "file string, record_no long, fields array<string>")
+    assert {r.file: r.header for r in P.has_header(df).collect()} == {"f": True, "g": False, "h": False}
+    assert P.ragged_rows(df.filter("file = 'h'"), "record_no").first()[0] == 1
+    lines = spark.createDataFrame([("x", "a;b;c"), ("x", "1;2;3"), ("x", "4;5,6;7")], "file string, line string")
+    best = P.delimiter_scores(lines).filter("rank = 1").first()
+    assert (best.delimiter, best.fields, best.modal_rows) == ("semicolon", 3, 3)
+
+
+def test_manifest_diff(spark):
+    a = spark.createDataFrame([(1, "x" * 10), (2, "y")], "id int, c string")
+    b = spark.createDataFrame([(1, "x" * 9 + "z"), (3, "y")], "id int, c string")
+    got = P.manifest_diff(P.fingerprint_manifest(a, "id", "c", 4), P.fingerprint_manifest(b, "id", "c", 4), ["id", "chunk_no"])
+    assert {tuple(r) for r in got.collect()} == {(1, 2, "changed"), (2, 0, "removed"), (3, 0, "added")}

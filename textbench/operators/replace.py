@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textbench.functions.exprs import ascii_fold
 from textbench.operators.search import _WORD, java_pattern, literal_at, quoted
 
 
@@ -279,7 +278,3 @@ def convert_line_ends(c: Column, target: str = "\n") -> Column:
 def count_line_ends(c: Column) -> Column:
     return F.regexp_count(c, F.lit("\r\n|\r|\n"))
 
-
-def fold(c: Column) -> Column:
-    """The text that ASCII case-insensitive tests compare."""
-    return ascii_fold(c)
