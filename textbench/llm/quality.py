@@ -117,8 +117,8 @@ def _statistics(docs: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame, labels: DataFrame, pool: float = 0.1, ridge: float = 0.05, sample: int = 20_000) -> Discriminant | None:
-    """A discriminant from the moments of all labelled rows that are not held out; its score is scaled on at most `sample` of
-    them, picked by hash. None unless both classes occur."""
+    """A discriminant from the moments of all labelled rows that are not held out; its score is scaled on about `sample` of
+    them, picked by hash (so few reach the driver at any size). None unless both classes occur."""
     learn = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     rows = staged(stats.join(learn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")), "doc_id").select("doc_id", "x", "y"))
     d = len(NAMES)
@@ -140,7 +140,10 @@ def fit(stats: DataFrame, labels: DataFrame, pool: float = 0.1, ridge: float = 0
     if not flat[:2].all():
         return None
     model = discriminant(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d), pool, ridge)
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("x", "y").collect()
+    share = int(min(1.0, sample / flat[:2].sum()) * (1 << 20))
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("x", "y").collect()
+    if not some:
+        return model
     return _calibrated(model, np.array([r.x for r in some]), np.array([r.y for r in some], float))
 
 
