@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from textbench.llm.components import components
 from textbench.llm.flat import SPACED, Words, mix, slices, words
-from textbench.llm.shared import bitmap, bounded, in_bitmap, keyed, later_copies, staged
+from textbench.llm.shared import arrow_rows, bitmap, bounded, in_bitmap, keyed, later_copies, staged
 
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 _LAST = (1 << 63) - 1
 _CUT = np.uint64(16)
 _BANDS = 8
+#: Sets in a piece of an opened group, about.
+_PIECE = 32
 
 
 def least_shared(n):
@@ -122,12 +124,13 @@ def _members(sets: DataFrame, only_prefix: bool) -> DataFrame:
 
 
 def _pruned(sets: DataFrame) -> DataFrame:
-    """The sets of which enough shingles occur in another set too for any link; all, if there are too many shingles to tell."""
+    """(k, set, share): the sets of which enough shingles occur in another set too for any link, and that share; all, with a
+    share of 1, if there are too many shingles to tell."""
     full = _members(sets, False).select(F.shiftrightunsigned("h", 16).alias("h")).groupBy("h").count().filter("count > 1").select("h")
     full = staged(full)
     bits = bitmap(full, full.count())
     if bits is None:
-        return sets
+        return sets.withColumn("share", F.lit(1.0))
     shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def rows(batches):
@@ -136,10 +139,10 @@ def _pruned(sets: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 h, off = _unpack(part, 1)
                 found = np.r_[0, np.cumsum(in_bitmap(shared.value, (h >> _CUT).astype(np.uint64)))]
-                enough = found[off[1:]] - found[off[:-1]] >= least_shared(np.diff(off))
-                yield part.filter(pa.array(enough))
+                found, size = found[off[1:]] - found[off[:-1]], np.diff(off)
+                yield part.append_column("share", pa.array(found / size)).filter(pa.array(found >= least_shared(size)))
 
-    return sets.select("k", "set").mapInArrow(rows, "k long, set binary")
+    return sets.select("k", "set").mapInArrow(rows, "k long, set binary, share double")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -170,52 +173,142 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    x = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a")
-    x = x.join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
+    pairs = staged(pairs)
+    x = sets.select(F.col("k").alias("a"), F.col("set").alias("x")).join(bounded(pairs), "a")
+    y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(staged(pairs.select("b").distinct())), "b")
+    x = x.join(y, "b")
     return x.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
 def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
     """`df` with c, the group of k: the least of its component, or k itself."""
-    return df.join(groups, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    return df.join(bounded(groups), "k", "left").withColumn("c", F.coalesce("c", "k"))
 
 
 def _leaders(sets: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
-    """Candidate links of each set to one leader: of the buckets of equal minima, the one met most often in another group."""
+    """Candidate links of each set to one leader of another group: of the buckets of equal minima, the leader it meets most often.
+
+    A bucket is led by its most central set in the first turn, that with the largest share of common shingles (an original
+    rather than an edited copy), and by a random one in later turns.
+    """
     rows = _grouped(_bands(sets), groups)
     rank = F.xxhash64("k", F.lit(turn))
+    if turn == 0:
+        rows, rank = rows.join(sets.select("k", "share"), "k"), F.struct(-F.col("share"), rank)
     lead = rows.groupBy("band", "v").agg(F.min(F.struct(rank.alias("r"), F.col("k"), F.col("c"))).alias("lead"), F.count("*").alias("m")).filter("m > 1")
     met = rows.join(lead, ["band", "v"]).filter(F.col("c") != F.col("lead.c"))
     met = met.groupBy("k", F.col("lead.k").alias("b")).agg(F.count("*").alias("m"))
+    if turn:
+        met = met.filter("m > 1")
     return met.groupBy("k").agg(F.max_by("b", F.struct("m", "b")).alias("b")).select(F.col("k").alias("a"), "b")
 
 
-def _col_surplus(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(n / 12)).cast("int")
-
-
 def _col_least(n: Column) -> Column:
     return F.floor((n * PERCENT + 99) / 100).cast("int")
 
 
+def _col_needed(x: Column, y: Column) -> Column:
+    """How many prefix shingles two linked sets of x and y shingles share at least: of PERCENT / (100 + PERCENT) of both sizes,
+    as many as are left when all others lie behind the longer remainder."""
+    both = F.ceil((x + y) * PERCENT / (100.0 + PERCENT) - 1e-6)
+    behind = lambda n: _col_least(n) - F.greatest(F.lit(1), F.floor(n / 12))
+    return F.greatest(both - F.greatest(behind(x), behind(y)), F.lit(1)).cast("int")
+
+
+def _crossing(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(k, f): how many shingles of each set occur in another group too; of those with too few for any link, no row.
+
+    The shingles are held against a bitmap of all that cross; beyond its bound f is the size of the set, which is safe.
+    """
+    rows = _grouped(_members(sets, False), groups).select(F.shiftrightunsigned("h", 16).alias("h"), F.shiftrightunsigned(F.xxhash64("c"), 16).alias("c"))
+    across = staged(rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h"))
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap(across, across.count()))
+
+    def count(batches):
+        whole = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                h, off = _unpack(part, 1)
+                size = np.diff(off)
+                if whole is None:
+                    f = size
+                else:
+                    found = np.r_[0, np.cumsum(in_bitmap(whole, (h >> _CUT).astype(np.uint64)))]
+                    f = found[off[1:]] - found[off[:-1]]
+                enough = pa.array(f >= least_shared(size))
+                yield pa.record_batch({"k": part.column(0), "f": pa.array(f, pa.int32())}).filter(enough)
+
+    return staged(sets.select("k", "set").mapInArrow(count, "k long, f int"))
+
+
 def _opened(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidate links between groups, by the token-group matrix.
+    """The links (a, b) between groups, by the token-group matrix.
+
+    The matrix holds, for each prefix shingle that two or more groups have, the groups whose union has it. A query, a set of the
+    smaller of two groups, is bounded against the other by the shingles they share: fewer than a link to any size the group
+    holds needs, and the group stays closed. Members of opened groups lie in pieces of similar size, some 32 in each; a query
+    meets those whose sizes fit, is bounded once more by the piece's own union, and only then compared with its sets.
 
-    The matrix holds, for each prefix shingle that two or more groups have, the groups whose union has it. A query (set) is
-    bounded against a group by the shingles they share; only groups that reach the fewest any link needs are opened, and of
-    their members those that share enough of the prefix themselves.
+    Two linked sets of x and y shingles share 3/7 of x + y or more, and all of these cross between groups. So a set of which f
+    shingles cross has no partner of more than 7/3 * f - x: a query and a group meet only if either side allows for the other's
+    sizes.
     """
-    rows = staged(_grouped(_members(sets, True), groups))
+    few = _crossing(sets, groups)
+    rows = _grouped(_members(sets, True).join(bounded(few), "k"), groups)
+    largest = F.floor((F.col("f") * (100.0 + PERCENT)) / PERCENT + 1e-6 - F.col("n")).cast("int")
+    rows = rows.withColumns({"lo": _col_least(F.col("n")), "hi": F.least(F.floor(F.col("n") * 100 / PERCENT).cast("int"), largest)})
+    sizes = rows.groupBy("c").agg(F.count_distinct("k").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("hi").alias("reach"))
+    sizes = staged(sizes)
     across = rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h")
-    rows = staged(rows.join(across, "h", "left_semi"))
-    matrix = rows.select("h", F.col("c").alias("g")).distinct()
-    bound = rows.join(matrix, "h").filter("c > g").groupBy("k", "g").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    bound = bound.filter(F.col("m") >= _col_surplus(_col_least(F.col("n")))).select("k", "g")
-    query = rows.join(bound, "k").select("h", F.col("k").alias("a"), F.col("n").alias("na"), "g")
-    opened = query.join(rows.select("h", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("g")), ["h", "g"])
-    fits = (F.col("na") >= _col_least(F.col("nb"))) & (F.col("nb") >= _col_least(F.col("na")))
-    met = opened.filter(fits).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return met.filter(F.col("m") >= F.least(_col_surplus(F.col("na")), _col_surplus(F.col("nb")))).select("a", "b")
+    rows = staged(rows.join(across, "h", "left_semi").join(sizes.select("c", "members"), "c"))
+    matrix = rows.select("h", F.col("c").alias("g"), F.col("members").alias("others")).distinct()
+    matrix = matrix.join(sizes.select(F.col("c").alias("g"), "least", "most", "reach"), "g")
+    smaller = F.struct("members", "c") < F.struct("others", "g")
+    query, union = rows.alias("q"), matrix.alias("u")
+    fits = (F.col("least") <= F.col("hi")) & (F.col("most") >= F.col("lo")) & (F.col("reach") >= F.col("n"))
+    bound = query.join(union, (F.col("q.h") == F.col("u.h")) & smaller & fits)
+    bound = bound.groupBy("k", "g", "n", "least", "most", "lo", "hi").agg(F.count("*").alias("m"))
+    lo, hi = F.greatest("least", "lo"), F.least("most", "hi")
+    reach = (lo <= hi) & (F.col("m") >= F.least(_col_needed(F.col("n"), lo), _col_needed(F.col("n"), hi)))
+    bound = staged(bound.filter(reach).select("k", "g"))
+    info = sets.select("k", "set", F.floor(F.octet_length("set") / 8).cast("int").alias("n")).join(bounded(few), "k")
+    open_ = _grouped(info, groups).join(bounded(staged(bound.select(F.col("g").alias("c")).distinct())), "c").join(sizes.select("c", "members"), "c")
+    by_size, salt = F.floor(F.log("n") / F.log(F.lit(1.05))), F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / _PIECE))
+    pieces = open_.groupBy(F.col("c").alias("g"), by_size.alias("size"), salt.alias("salt")).agg(
+        F.collect_list("k").alias("keys"), F.collect_list("set").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    query = info.join(bounded(bound), "k").withColumns({"lo": _col_least(F.col("n")), "hi": F.least(F.floor(F.col("n") * 100 / PERCENT).cast("int"), largest)})
+    q, p = query.alias("q"), pieces.alias("p")
+    met = q.join(p, (F.col("q.g") == F.col("p.g")) & (F.col("most") >= F.col("lo")) & (F.col("least") <= F.col("hi")))
+    return met.select("k", "set", "size", "salt", "q.g", "keys", "sets").mapInArrow(_met, "a long, b long")
+
+
+def _met(batches):
+    """The links (a, b) between a query set and the sets of a piece of a group, if the piece's union can hold one at all."""
+    last, union = None, None
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            key, raw, size, salt, g, keys, sets = (batch.column(c)[i] for c in range(7))
+            own = np.frombuffer(raw.as_py(), np.uint64)
+            others = [np.frombuffer(s, np.uint64) for s in sets.as_py()]
+            if (g, size, salt) != last:
+                last, union = (g, size, salt), np.unique(np.concatenate(others))
+            at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+            inside = own[union[at] == own]
+            if len(inside) < least_shared(len(own)):
+                continue
+            for k, other in zip(keys.as_py(), others):
+                total = len(own) + len(other)
+                if len(inside) * (100 + PERCENT) < PERCENT * total:
+                    continue
+                at = np.minimum(np.searchsorted(other, inside), len(other) - 1)
+                both = int((other[at] == inside).sum())
+                if 100 * both >= PERCENT * (total - both):
+                    found.append((key.as_py(), k))
+        a, b = zip(*found) if found else ((), ())
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
@@ -251,9 +344,9 @@ def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
         new = staged(_linked(_leaders(sets, groups, turn), sets))
         links = new if links is None else links.unionByName(new)
         groups = components(links)
-    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = links.unionByName(_linked(_opened(sets, groups).select(a, b).distinct(), sets))
-    groups = components(links)
+    with arrow_rows(sets.sparkSession, 64):
+        across = staged(_opened(sets, groups))
+    groups = components(links.unionByName(across))
     rows = rows.drop("set")
     last = F.coalesce("doc_id", F.lit(_LAST))
     classes = rows.filter("n > 0").groupBy("t1", "t2", "t3").agg(F.min(last).alias("d"), F.min_by("k", F.struct(last, F.col("k"))).alias("k"))
