@@ -71,6 +71,16 @@ def test_order_minhash_orders_and_counts(spark):
     assert near(1, 2) > 0.8 and near(1, 3) < 0.2 and near(1, 4) < 1
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_order_minhash_keeps_order_not_places(spark, size):
+    words = prose(1, 300).split()
+    texts = [words, ["new", *words], words[1:], words[:3] + words[4:], words[150:] + words[:150]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    f = {r.doc_id: r.fp for r in order_minhash.with_fingerprint(df, "text", "fp", size=size).collect()}
+    near = [len(set(f[0]) & set(x)) / len(f[0]) for _, x in sorted(f.items())]
+    assert min(near[:4]) > 0.8 and (near[4] > 0.8 if size == 1 else near[4] < 0.8)
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 

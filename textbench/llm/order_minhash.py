@@ -29,12 +29,16 @@ def _place(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_LOW)).cast("int")
 
 
+def _hash(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(~_LOW))
+
+
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 2, size: int = 2) -> DataFrame:
     """`df` with the column `name`: the Order MinHash fingerprint of the column `text`, an array of strings.
 
     Each k-mer (k consecutive words; all words of a shorter text) is numbered by its occurrence and hashed once. One
     permutation serves all signatures: the hash's top bits deal the k-mers into 64 bins; a bin's `size` smallest keep their
-    order in the text, and the tuple is hashed. An entry is the bin (2 hex digits) and its tuple's hash (8); bins without a
+    order in the text, and the tuple of their hashes is hashed, without their places: a shift of the text changes no order. An entry is the bin (2 hex digits) and its tuple's hash (8); bins without a
     k-mer have none, so null, empty and word-less texts have an empty fingerprint.
 
     All steps work on arrays of a row and are linear, but for two sorts of primitive longs; each step is a column that later
@@ -55,9 +59,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 2, size: int
         x, y = col(s)[i], F.get(col(s), i + 1)
         rest = [F.get(col(s), i + j) for j in range(2, size)]
         own = F.filter(F.array(x, y, *rest), lambda v: v.isNotNull() & (_bin(v) == _bin(x)))
-        own = F.when((_place(x) > _place(y)) & (_bin(x) == _bin(y)), F.xxhash64(y, x)).otherwise(
-            F.when(_bin(x) == _bin(y), F.xxhash64(x, y)).otherwise(F.xxhash64(x))
-        ) if size == 2 else F.xxhash64(F.transform(F.array_sort(F.transform(own, lambda v: F.struct(_place(v), v))), lambda t: t["col2"]))
+        own = F.when((_place(x) > _place(y)) & (_bin(x) == _bin(y)), F.xxhash64(_hash(y), _hash(x))).otherwise(
+            F.when(_bin(x) == _bin(y), F.xxhash64(_hash(x), _hash(y))).otherwise(F.xxhash64(_hash(x)))
+        ) if size == 2 else F.xxhash64(F.transform(F.array_sort(F.transform(own, lambda v: F.struct(_place(v).alias("at"), v.alias("v")))), lambda t: _hash(t["v"])))
         return F.concat(F.lpad(F.hex(_bin(x)), 2, "0"), F.substring(F.lpad(F.hex(own), 16, "0"), 9, 8))
 
     split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
