@@ -132,6 +132,36 @@ def test_ngram_join_families(spark):
     assert Counter(map(tuple, ngram_join.similar_groups(df).collect())) == brute_components(rows)
 
 
+def test_ngram_join_least_need_of_mixed_sizes(spark):
+    def needed(x, y):
+        behind = lambda n: ngram_join.least_shared(n) - ngram_join.surplus(n)
+        return np.maximum(-((x + y) * -75 // 175) - np.maximum(behind(x), behind(y)), 1)
+
+    rows = []
+    for n in [*range(1, 90), 1000, 5003]:
+        sizes = np.arange(-(-n * 3 // 4), n * 4 // 3 + 1)
+        need = needed(n, sizes)
+        for i in range(0, len(sizes), 1 + n // 300):
+            least = np.minimum.accumulate(need[i:])
+            rows += [(n, int(sizes[i]), int(sizes[i + j]), int(least[j])) for j in range(0, len(least), 1 + n // 300)]
+    df = spark.createDataFrame(rows, "n int, lo int, hi int, least int")
+    assert df.filter(ngram_join._col_least_needed(F.col("n"), F.col("lo"), F.col("hi")) != F.col("least")).count() == 0
+
+
+def test_ngram_join_opens_a_mixed_group_at_the_threshold(spark):
+    rng, sets, groups = np.random.default_rng(5), [], []
+    for salt in range(1200):
+        h = rng.integers(0, 1 << 64, 14, dtype=np.uint64)
+        for i, own in enumerate((h[:11], h[:10], h[:12], np.r_[h[2:11], h[13:]])):
+            sets.append((4 * salt + i, bytearray(np.sort(own).tobytes())))
+        other = np.r_[h[13:], rng.integers(0, 1 << 64, 9, dtype=np.uint64)]  # the odd shingle crosses too
+        sets.append((10000 + salt, bytearray(np.sort(other).tobytes())))
+        groups += [(4 * salt + i, 4 * salt) for i in range(3)]
+    with shared.arrow_rows(spark, 64):
+        links = ngram_join._opened(spark.createDataFrame(sets, "k long, set binary"), spark.createDataFrame(groups, "k long, c long")).collect()
+    assert {tuple(r) for r in links} == {(4 * salt + 3, 4 * salt) for salt in range(1200)}
+
+
 # --- 3, 6, 10: models -------------------------------------------------------------------------------------------------
 
 

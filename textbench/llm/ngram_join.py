@@ -215,6 +215,16 @@ def _col_needed(x: Column, y: Column) -> Column:
     return F.greatest(both - F.greatest(behind(x), behind(y)), F.lit(1)).cast("int")
 
 
+def _col_least_needed(n: Column, lo: Column, hi: Column) -> Column:
+    """The least _col_needed(n, y) of all sizes y from lo to hi; null if there is none.
+
+    Up to n the need grows with y, beyond n it falls, but for the rounding: that is less than 2 at the one end, where a size adds
+    3/7, and less than 3 at the other, where it takes off 5/21 or more. So the least need lies among the first 5 or last 12 sizes.
+    """
+    ends = F.concat(F.sequence(lo, F.least(lo + 5, hi)), F.sequence(F.greatest(hi - 12, lo), hi))
+    return F.when(lo <= hi, F.array_min(F.transform(ends, lambda y: _col_needed(n, y))))
+
+
 def _crossing(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(k, f): how many shingles of each set occur in another group too; of those with too few for any link, no row.
 
@@ -270,8 +280,7 @@ def _opened(sets: DataFrame, groups: DataFrame) -> DataFrame:
     bound = query.join(union, (F.col("q.h") == F.col("u.h")) & smaller & fits)
     bound = bound.groupBy("k", "g", "n", "least", "most", "lo", "hi").agg(F.count("*").alias("m"))
     lo, hi = F.greatest("least", "lo"), F.least("most", "hi")
-    reach = (lo <= hi) & (F.col("m") >= F.least(_col_needed(F.col("n"), lo), _col_needed(F.col("n"), hi)))
-    bound = staged(bound.filter(reach).select("k", "g"))
+    bound = staged(bound.filter(F.col("m") >= _col_least_needed(F.col("n"), lo, hi)).select("k", "g"))
     info = sets.select("k", "set", F.floor(F.octet_length("set") / 8).cast("int").alias("n")).join(bounded(few), "k")
     open_ = _grouped(info, groups).join(bounded(staged(bound.select(F.col("g").alias("c")).distinct())), "c").join(sizes.select("c", "members"), "c")
     by_size, salt = F.floor(F.log("n") / F.log(F.lit(1.05))), F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / _PIECE))
