@@ -45,6 +45,17 @@ def test_regex_and_harvest(spark):
             S.java_pattern(bad)
 
 
+def test_search_queries_search_the_whole_table(spark, tmp_path):
+    from textbench.plans import search_queries  # noqa: F401
+    from textbench.plans.registry import QUERIES
+
+    rows = [(76, "x" * 1000200 + " the"), (77, "none"), (78, "the"), (4, "a1 " + "7" * 150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ask = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert ask("find_next") == [(77000201,)] and ask("find_prev") == []
+    assert ask("search_regex_backward") == [(4, 1, "7" * 150), (4, 0, "1")]
+
+
 def test_replacements(spark):
     df = spark.createDataFrame([("hello world hello",), ("aaaaaa",), ("abc",)], "t string")
     assert [r[0] for r in df.select(R.replace_plain(F.col("t"), "aa", "z")).collect()] == ["hello world hello", "zzz", "abc"]
