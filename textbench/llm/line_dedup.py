@@ -1,4 +1,4 @@
-"""Deletion of repeated line runs by prefix doubling over line names (operator 9); DataFrame functions only."""
+"""Deletion of repeated line runs by hashed shingles of lines (operator 9); DataFrame functions only."""
 
 from __future__ import annotations
 
