@@ -119,19 +119,6 @@ def test_ngram_join(docs, none, corpus, bound, monkeypatch):
         assert ngram_join.similar_groups(none).count() == 0
 
 
-def test_ngram_join_families(spark):
-    rng, rows = np.random.default_rng(3), []
-    for f in range(6):
-        base = prose(1000 + f, 120).split()
-        for v in range(12):
-            w = base[:]
-            for p in rng.choice(120, int(rng.integers(0, 5)), replace=False):
-                w[p] = f"z{rng.integers(1 << 30)}"
-            rows.append((len(rows), " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, ngram_join.similar_groups(df).collect())) == brute_components(rows)
-
-
 def test_ngram_join_least_need_of_mixed_sizes(spark):
     def needed(x, y):
         behind = lambda n: ngram_join.least_shared(n) - ngram_join.surplus(n)
@@ -157,9 +144,39 @@ def test_ngram_join_opens_a_mixed_group_at_the_threshold(spark):
         other = np.r_[h[13:], rng.integers(0, 1 << 64, 9, dtype=np.uint64)]  # the odd shingle crosses too
         sets.append((10000 + salt, bytearray(np.sort(other).tobytes())))
         groups += [(4 * salt + i, 4 * salt) for i in range(3)]
-    with shared.arrow_rows(spark, 64):
-        links = ngram_join._opened(spark.createDataFrame(sets, "k long, set binary"), spark.createDataFrame(groups, "k long, c long")).collect()
-    assert {tuple(r) for r in links} == {(4 * salt + 3, 4 * salt) for salt in range(1200)}
+    guests = ngram_join._guests(spark.createDataFrame(sets, "k long, set binary"), spark.createDataFrame(groups, "k long, c long")).collect()
+    assert {tuple(r) for r in guests} == {(4 * salt + 3, 4 * salt) for salt in range(1200)}
+
+
+def edited(rng, base, own):
+    """A copy of the words with some of: replaced words, shared replacements, a lost tail or head, lost words, a common banner."""
+    w = list(base)
+    for p in rng.choice(len(w), int(rng.integers(0, max(2, len(w) // 14))), replace=False):
+        w[p] = f"z{rng.integers(1 << 30)}" if rng.random() < 0.5 else f"{own}s{p % 3}"
+    cut = int(rng.integers(0, max(2, len(w) // 5)))
+    kind = rng.integers(0, 6)
+    w = w[cut:] if kind == 0 else w[: len(w) - cut] if kind == 1 else w[:9] + w[9 + cut // 2 :] if kind == 2 else w
+    return [*w, *(f"{own}b{i}" for i in range(int(rng.integers(3, 9))))] if rng.random() < 0.3 else w
+
+
+def test_ngram_join_near_the_threshold(spark):
+    rng, families = np.random.default_rng(3), []
+    for f in range(6):  # few replaced words
+        base = prose(1000 + f, 120).split()
+        families.append([[f"z{rng.integers(1 << 30)}" if rng.random() < 0.02 else w for w in base] for _ in range(12)])
+    for f in range(154):  # many small families, four larger ones
+        base = [f"f{f}w{i}" for i in range(int(rng.integers(10, 40) if f < 150 else rng.integers(90, 160)))]
+        families.append([edited(rng, base, f"f{f}") for _ in range(10 if f < 150 else 120)])
+    for f in range(200):  # tails of one to three words
+        base = [f"t{f}w{i}" for i in range(13)]
+        families.append([["z", *base[2:], "a"], base, [*base, "a"], [*base, "a", "b"], [*base, "a", "b", "c"], base[3:]])
+    rows, want = [], Counter()
+    for f, own in enumerate(families):
+        own = [(f * 1000 + v, " ".join(w)) for v, w in enumerate(own)]
+        want += brute_components(own)
+        rows += own
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == want
 
 
 # --- 3, 6, 10: models -------------------------------------------------------------------------------------------------
@@ -206,6 +223,61 @@ def test_pii(spark, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_pii_field_adds_spans(spark):
+    plain = "the of and note que les " * 400
+    texts = {
+        1: "call 555-123-4567 555-987-6543 now",  # two finds in a row
+        2: "list +1 (706) 555-3138 and 4024007103939509 at last",
+        3: "+1 (836) 555-9331 4024007103939509 53.121.55.90 que",  # the base patterns run over both and drop them
+        4: " ".join(f"{100 + i}-555-{1000 + i}" for i in range(300)),  # one sequence of 300 words
+        5: plain + "write to mira.suvi (at) tasuro dot com today " + plain,
+        6: plain + "ä" * 50000 + plain,
+        7: "Version 2.0. of 2024-01-02 10:20 costs $123.45 12% 123,456 and http://www.lota.com/123",
+    }
+    df = spark.createDataFrame([*texts.items(), (4, texts[4])], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("base", "spans", "n_email")})
+    out = pii.find_personal_data(df).collect()
+    assert len(out) == 8 and sum(r.n_added for r in out) > 600
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for a, b in (s.split(":")[1:] for s in filter(None, r.spans.split(",")))] for r in out}
+    assert got[1] == ["555-123-4567", "555-987-6543"] and got[2] == ["4024007103939509", "+1 (706) 555-3138"]
+    assert got[3] == ["53.121.55.90", "4024007103939509", "+1 (836) 555-9331"]
+    assert got[4] == texts[4].split() and got[5] == ["mira.suvi (at) tasuro dot com"] and got[6] == got[7] == []
+
+
+def test_pii_base_spans(spark, docs):
+    rng = np.random.default_rng(8)
+    parts = ["a.b@c-d.org", "a@b@c.de", "@x.y", "1.2.3.4", "999.1.1.1", "1.2.3", "4111111111111111", "4111-1111 1111-1111", "4111 1111 1111 1112", "+1 (706) 555-3138", "+12", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "word", "é", "12", ".", "-", "  ", "\n", "+", "x.y%z+q@mail.example.com."]
+    texts = ["".join(p + ("" if rng.random() < 0.3 else " ") for p in rng.choice(parts, rng.integers(1, 30))) for _ in range(300)]
+
+    def base(t):
+        out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) < 256 for p in m[0].split("."))]
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        check = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and check(digits(m))]
+        out += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]
+        return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(out))
+
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base == base(t) and set(filter(None, got[i].base.split(","))) <= set(got[i].spans.split(","))
+
+
+def test_pii_held_out():
+    field, held = pii.train(pii.labelled_table()), pii.labelled_table(12)
+    x = pii._flat([[w for w, _ in s] for s in held])
+    labels = field.decode(x)
+
+    def items(own):
+        kind = (np.asarray(own, int) + 1) // 2
+        opens = [i for i, k in enumerate(kind) if k and not (i and kind[i - 1] == k and own[i] % 2 == 0)]
+        return {(i, next((j for j in range(i + 1, len(own)) if kind[j] != kind[i] or own[j] % 2), len(own)), kind[i]) for i in opens}
+
+    found = [items(labels[x.first[i] : x.first[i + 1]]) for i in range(len(held))]
+    want = [items(np.array([label for _, label in s])) for s in held]
+    hits = sum(len(a & b) for a, b in zip(found, want))
+    assert hits / sum(map(len, found)) > 0.94 and hits / sum(map(len, want)) > 0.92
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -283,27 +355,86 @@ def test_decontamination(spark, docs, none, corpus, bound, monkeypatch):
     assert not any(r.spans for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
-@pytest.mark.parametrize("depth", [2, 3])
-def test_lines(spark, none, depth):
+def line_rows(kind):
+    """Few different lines; or runs of 2 to 50 lines that repeat among unique ones, one very long text among them."""
     rng = np.random.default_rng(5)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "dd"], rng.integers(0, 12)))) for i in range(40)] + [(50, None), (None, "a\nb\nc\na"), (51, "q\nr\ns\n"), (52, "q\nr\ns")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+    if kind == "few":
+        rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "dd"], rng.integers(0, 12)))) for i in range(40)]
+        return [*rows, (50, None), (None, "a\nb\nc\na"), (51, "q\nr\ns\n"), (52, "q\nr\ns"), (52, "q\nr\ns"), (53, ""), (54, "e f g h"), (55, "e  f g h\ne f g h")]
+    runs = [[f"run{r} line{i}" if i % 7 else "a common line" for i in range(n)] for r, n in enumerate((2, 3, 5, 8, 16, 17, 33, 50))]
+    rows = []
+    for d in range(60):
+        own = []
+        for _ in range(int(rng.integers(1, 5)) if d else 60):
+            run = runs[int(rng.integers(len(runs)))]
+            lo = int(rng.integers(0, len(run) - 1))
+            own += [*run[lo : lo + int(rng.integers(1, 51))], *(f"{d} {rng.integers(1 << 30)}" for _ in range(int(rng.integers(0, 3))))]
+        rows.append((d, "\n".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("kind, depth", [("few", 3), ("runs", 2)])
+def test_lines(spark, none, kind, depth):
+    rows = line_rows(kind)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_lines", "starts", "k", "cut", "gone", "at")})
     seqs = {d: [(i, x) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in rows if t is not None}
-    seen, gone = set(), defaultdict(set)
+    seen, gone, places = set(), defaultdict(set), defaultdict(set)
     for d in sorted(seqs, key=lambda d: (d is None, d)):
-        for p in range(len(seqs[d]) - depth + 1):
-            own = tuple(x for _, x in seqs[d][p : p + depth])
-            if own in seen:
-                gone[d] |= {i for i, _ in seqs[d][p : p + depth]}
-            seen.add(own)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, depth).collect()}
+        for p in range(len(seqs[d])):
+            for n in (1, depth):
+                own = tuple(x for _, x in seqs[d][p : p + n])
+                if len(own) == n and own in seen and (n > 1 or len(own[0].split()) >= 4):
+                    gone[d] |= {i for i, _ in seqs[d][p : p + n]}
+                seen.add(own)
+            for n in range(1, len(seqs[d]) - p + 1):
+                places[tuple(x for _, x in seqs[d][p : p + n])].add((d, p))
+    longest = defaultdict(int)
+    for run, at in places.items():
+        for d, _ in at if len(at) > 1 else ():
+            longest[d] = max(longest[d], len(run))
+    got = line_dedup.dedup_lines(df, depth, 4).collect()
+    assert len(got) == len(rows)
+    got = {r.doc_id: r for r in got}
     for d, t in rows:
         lines = t.split("\n") if t is not None else []
         assert (got[d].n_lines, got[d].n_removed) == (len(lines), len(gone[d])), d
         assert got[d].text == (None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone[d]))
+        assert got[d].longest_run == longest[d] and got[d].starts == "clash"
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_suffix_array(spark):
+    rows = [(d, t) for d, t in line_rows("runs") if d and d < 25]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.col("doc_id"))
+    array = line_dedup.Suffixes(df, 20)
+    names = {}
+    for d, t in rows:
+        for i, x in enumerate(t.split("\n")):
+            names[d, i] = x
+    often = Counter(names.values())
+    suffix = {}
+    for d, i in names:
+        if often[names[d, i]] > 1:
+            j = i
+            while (d, j) in names and often[names[d, j]] > 1:
+                j += 1
+            suffix[d, i] = tuple(names[d, q] for q in range(i, j))
+    got = array.array.collect()
+    assert len(got) == len(suffix)
+    first = {names[r.k, r.at]: r.rank for r in array.levels[0].collect()}  # the order of the lines is that of their hashes
+    order = sorted((tuple(first[x] for x in s), at) for at, s in suffix.items())
+    place = {}
+    for n, (s, at) in enumerate(order):
+        place[at] = n if not n or order[n - 1][0] != s else place[order[n - 1][1]]
+    assert {(r.k, r.at): r.rank for r in got} == place
+    lcp = {r.rank: r.lcp for r in array.common().collect()}
+    for n in range(1, len(order)):
+        (a, _), (b, at) = order[n - 1], order[n]
+        if a != b:
+            both = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert lcp.get(place[at], 0) == both
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 

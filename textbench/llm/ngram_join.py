@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.components import components
 from textbench.llm.flat import SPACED, Words, mix, slices, words
-from textbench.llm.shared import arrow_rows, bitmap, bounded, in_bitmap, keyed, later_copies, staged
+from textbench.llm.shared import arrow_rows, bitmap, bounded, in_bitmap, keyed, later_copies, spread_join, staged
 
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 _LAST = (1 << 63) - 1
 _CUT = np.uint64(16)
 _BANDS = 8
-#: Sets in a piece of an opened group, about.
-_PIECE = 32
+#: Documents that a leader matches to this percentage lie in its group, linked or not.
+_NEAR = 50
 
 
 def least_shared(n):
@@ -123,14 +123,16 @@ def _members(sets: DataFrame, only_prefix: bool) -> DataFrame:
     return sets.select("k", "set").mapInArrow(rows, "h long, k long, n int")
 
 
-def _pruned(sets: DataFrame) -> DataFrame:
-    """(k, set, share): the sets of which enough shingles occur in another set too for any link, and that share; all, with a
-    share of 1, if there are too many shingles to tell."""
-    full = _members(sets, False).select(F.shiftrightunsigned("h", 16).alias("h")).groupBy("h").count().filter("count > 1").select("h")
-    full = staged(full)
-    bits = bitmap(full, full.count())
+def _found(sets: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(k, set, n, found): each set with its size and how many of its shingles are among `hashes` (a staged table).
+
+    The shingles are held against a bitmap, or joined with `hashes` if there are too many for one.
+    """
+    bits = bitmap(hashes, hashes.count())
     if bits is None:
-        return sets.withColumn("share", F.lit(1.0))
+        found = _members(sets, False).select("k", F.shiftrightunsigned("h", 16).alias("h")).join(hashes, "h", "left_semi")
+        found = found.groupBy("k").agg(F.count("*").cast("int").alias("found"))
+        return sets.select("k", "set", F.floor(F.octet_length("set") / 8).cast("int").alias("n")).join(found, "k")
     shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def rows(batches):
@@ -139,10 +141,17 @@ def _pruned(sets: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 h, off = _unpack(part, 1)
                 found = np.r_[0, np.cumsum(in_bitmap(shared.value, (h >> _CUT).astype(np.uint64)))]
-                found, size = found[off[1:]] - found[off[:-1]], np.diff(off)
-                yield part.append_column("share", pa.array(found / size)).filter(pa.array(found >= least_shared(size)))
+                own = {"n": np.diff(off), "found": found[off[1:]] - found[off[:-1]]}
+                yield pa.record_batch([*part.columns, *(pa.array(v, pa.int32()) for v in own.values())], ["k", "set", *own])
+
+    return sets.select("k", "set").mapInArrow(rows, "k long, set binary, n int, found int")
 
-    return sets.select("k", "set").mapInArrow(rows, "k long, set binary, share double")
+
+def _pruned(sets: DataFrame) -> DataFrame:
+    """(k, set, share): one row for each k of the sets of which enough shingles occur in another set too for any link; share is their part."""
+    full = _members(sets, False).select(F.shiftrightunsigned("h", 16).alias("h")).groupBy("h").count().filter("count > 1").select("h")
+    out = _found(sets, staged(full)).filter(F.col("found") >= _col_least(F.col("n")))
+    return out.select("k", "set", (F.col("found") / F.col("n")).alias("share")).dropDuplicates(["k"])
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -160,24 +169,26 @@ def _bands(sets: DataFrame) -> DataFrame:
     return sets.select("k", "set").mapInArrow(rows, "k long, band int, v long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _likened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, link): the pairs whose whole sets have a similarity of _NEAR percent or more, and whether it is PERCENT or more."""
 
     def rows(batches):
         for batch in batches:
             x, y = (batch.column(i) for i in (2, 3))
-            ok = []
+            near, link = [], []
             for s, t in zip(x, y):
                 s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                near.append(100 * both >= _NEAR * (len(s) + len(t) - both))
+                link.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+            own = pa.record_batch([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], ["a", "b", "link"])
+            yield own.filter(pa.array(near, pa.bool_()))
 
     pairs = staged(pairs)
     x = sets.select(F.col("k").alias("a"), F.col("set").alias("x")).join(bounded(pairs), "a")
     y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(staged(pairs.select("b").distinct())), "b")
     x = x.join(y, "b")
-    return x.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    return x.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
 
 
 def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -225,47 +236,27 @@ def _col_least_needed(n: Column, lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.array_min(F.transform(ends, lambda y: _col_needed(n, y))))
 
 
-def _crossing(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(k, f): how many shingles of each set occur in another group too; of those with too few for any link, no row.
-
-    The shingles are held against a bitmap of all that cross; beyond its bound f is the size of the set, which is safe.
-    """
-    rows = _grouped(_members(sets, False), groups).select(F.shiftrightunsigned("h", 16).alias("h"), F.shiftrightunsigned(F.xxhash64("c"), 16).alias("c"))
+def _crossing(sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """(k, f): how many shingles of each set occur in another home too; of those with too few for any link, no row."""
+    rows = _grouped(_members(sets, False), homes).select(F.shiftrightunsigned("h", 16).alias("h"), F.shiftrightunsigned(F.xxhash64("c"), 16).alias("c"))
     across = staged(rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h"))
-    shared = sets.sparkSession.sparkContext.broadcast(bitmap(across, across.count()))
+    few = _found(sets, across).filter(F.col("found") >= _col_least(F.col("n")))
+    return staged(few.select("k", F.col("found").alias("f")))
 
-    def count(batches):
-        whole = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                h, off = _unpack(part, 1)
-                size = np.diff(off)
-                if whole is None:
-                    f = size
-                else:
-                    found = np.r_[0, np.cumsum(in_bitmap(whole, (h >> _CUT).astype(np.uint64)))]
-                    f = found[off[1:]] - found[off[:-1]]
-                enough = pa.array(f >= least_shared(size))
-                yield pa.record_batch({"k": part.column(0), "f": pa.array(f, pa.int32())}).filter(enough)
-
-    return staged(sets.select("k", "set").mapInArrow(count, "k long, f int"))
 
+def _guests(sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """(k, g): the sets and the homes they do not belong to that may hold a link of theirs, by the token-group matrix.
 
-def _opened(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """The links (a, b) between groups, by the token-group matrix.
+    The matrix holds, for each prefix shingle that two or more homes have, the homes whose union has it. A query, a set of the
+    smaller of two homes, is bounded against the other by the shingles they share: fewer than a link to any size the home
+    holds needs, and the home stays closed.
 
-    The matrix holds, for each prefix shingle that two or more groups have, the groups whose union has it. A query, a set of the
-    smaller of two groups, is bounded against the other by the shingles they share: fewer than a link to any size the group
-    holds needs, and the group stays closed. Members of opened groups lie in pieces of similar size, some 32 in each; a query
-    meets those whose sizes fit, is bounded once more by the piece's own union, and only then compared with its sets.
-
-    Two linked sets of x and y shingles share 3/7 of x + y or more, and all of these cross between groups. So a set of which f
-    shingles cross has no partner of more than 7/3 * f - x: a query and a group meet only if either side allows for the other's
+    Two linked sets of x and y shingles share 3/7 of x + y or more, and all of these cross between homes. So a set of which f
+    shingles cross has no partner of more than 7/3 * f - x: a query and a home meet only if either side allows for the other's
     sizes.
     """
-    few = _crossing(sets, groups)
-    rows = _grouped(_members(sets, True).join(bounded(few), "k"), groups)
+    few = _crossing(sets, homes)
+    rows = _grouped(_members(sets, True).join(bounded(few), "k"), homes)
     largest = F.floor((F.col("f") * (100.0 + PERCENT)) / PERCENT + 1e-6 - F.col("n")).cast("int")
     rows = rows.withColumns({"lo": _col_least(F.col("n")), "hi": F.least(F.floor(F.col("n") * 100 / PERCENT).cast("int"), largest)})
     sizes = rows.groupBy("c").agg(F.count_distinct("k").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("hi").alias("reach"))
@@ -275,49 +266,92 @@ def _opened(sets: DataFrame, groups: DataFrame) -> DataFrame:
     matrix = rows.select("h", F.col("c").alias("g"), F.col("members").alias("others")).distinct()
     matrix = matrix.join(sizes.select(F.col("c").alias("g"), "least", "most", "reach"), "g")
     smaller = F.struct("members", "c") < F.struct("others", "g")
-    query, union = rows.alias("q"), matrix.alias("u")
     fits = (F.col("least") <= F.col("hi")) & (F.col("most") >= F.col("lo")) & (F.col("reach") >= F.col("n"))
-    bound = query.join(union, (F.col("q.h") == F.col("u.h")) & smaller & fits)
+    bound = rows.alias("q").join(matrix.alias("u"), (F.col("q.h") == F.col("u.h")) & smaller & fits)
     bound = bound.groupBy("k", "g", "n", "least", "most", "lo", "hi").agg(F.count("*").alias("m"))
     lo, hi = F.greatest("least", "lo"), F.least("most", "hi")
-    bound = staged(bound.filter(F.col("m") >= _col_least_needed(F.col("n"), lo, hi)).select("k", "g"))
-    info = sets.select("k", "set", F.floor(F.octet_length("set") / 8).cast("int").alias("n")).join(bounded(few), "k")
-    open_ = _grouped(info, groups).join(bounded(staged(bound.select(F.col("g").alias("c")).distinct())), "c").join(sizes.select("c", "members"), "c")
-    by_size, salt = F.floor(F.log("n") / F.log(F.lit(1.05))), F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / _PIECE))
-    pieces = open_.groupBy(F.col("c").alias("g"), by_size.alias("size"), salt.alias("salt")).agg(
-        F.collect_list("k").alias("keys"), F.collect_list("set").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    query = info.join(bounded(bound), "k").withColumns({"lo": _col_least(F.col("n")), "hi": F.least(F.floor(F.col("n") * 100 / PERCENT).cast("int"), largest)})
-    q, p = query.alias("q"), pieces.alias("p")
-    met = q.join(p, (F.col("q.g") == F.col("p.g")) & (F.col("most") >= F.col("lo")) & (F.col("least") <= F.col("hi")))
-    return met.select("k", "set", "size", "salt", "q.g", "keys", "sets").mapInArrow(_met, "a long, b long")
-
-
-def _met(batches):
-    """The links (a, b) between a query set and the sets of a piece of a group, if the piece's union can hold one at all."""
-    last, union = None, None
-    for batch in batches:
-        found = []
-        for i in range(batch.num_rows):
-            key, raw, size, salt, g, keys, sets = (batch.column(c)[i] for c in range(7))
-            own = np.frombuffer(raw.as_py(), np.uint64)
-            others = [np.frombuffer(s, np.uint64) for s in sets.as_py()]
-            if (g, size, salt) != last:
-                last, union = (g, size, salt), np.unique(np.concatenate(others))
-            at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-            inside = own[union[at] == own]
-            if len(inside) < least_shared(len(own)):
-                continue
-            for k, other in zip(keys.as_py(), others):
-                total = len(own) + len(other)
-                if len(inside) * (100 + PERCENT) < PERCENT * total:
-                    continue
-                at = np.minimum(np.searchsorted(other, inside), len(other) - 1)
-                both = int((other[at] == inside).sum())
-                if 100 * both >= PERCENT * (total - both):
-                    found.append((key.as_py(), k))
-        a, b = zip(*found) if found else ((), ())
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return bound.filter(F.col("m") >= _col_least_needed(F.col("n"), lo, hi)).select("k", "g")
+
+
+def _against(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """(k, g, p, guest, n, o, link, extra, lost): for each place (k, g, p, guest), how the set of k differs from p, the pivot of home g.
+
+    n and o are the sizes of both, extra what only k has, lost what only p has; link: is k linked to p?
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                extra, lost, link, n, o = [], [], [], [], []
+                for s, t in zip(part.column(4), part.column(5)):
+                    s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
+                    extra.append(np.setdiff1d(s, t, assume_unique=True).view(np.int64))
+                    lost.append(np.setdiff1d(t, s, assume_unique=True).view(np.int64))
+                    both = len(s) - len(extra[-1])
+                    link.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+                    n.append(len(s))
+                    o.append(len(t))
+                listed = [pa.array(x, pa.list_(pa.int64())) for x in (extra, lost)]
+                own = [*part.columns[:4], pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(link, pa.bool_()), *listed]
+                yield pa.record_batch(own, ["k", "g", "p", "guest", "n", "o", "link", "extra", "lost"])
+
+    pivots = staged(places.groupBy("p").agg(F.count("*").alias("m")))
+    named = pivots.join(sets.select(F.col("k").alias("p"), F.col("set").alias("pivot")), "p")
+    both = spread_join(sets.select("k", "set").join(bounded(places), "k"), named.drop("m"), pivots, ["p"], ["k", "g"])
+    both = both.select("k", "g", "p", "guest", "set", "pivot")
+    return both.mapInArrow(rows, "k long, g long, p long, guest boolean, n int, o int, link boolean, extra array<long>, lost array<long>")
+
+
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """One row for each shingle h of the array `column` that a stray and another set of the home have, with its place.
+
+    Places count from 0 in an order that is the same for all sets of a home: what no stray shares comes first, then the rarest.
+    """
+    each = rows.withColumn("h", F.explode(column)).withColumn("size", F.size(column)).drop("extra", "lost")
+    often = each.groupBy("g", "h").agg(F.count("*").alias("m"), F.max("stray").alias("met")).filter("m > 1 AND met")
+    often = staged(often.select("g", "h", "m", F.col("m").alias("often")))
+    each = spread_join(each, often.drop("m"), often, ["g", "h"], ["k"])
+    own = Window.partitionBy("k", "g")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "h")) - 1
+    return each.withColumn("place", place).drop("size", "often")
+
+
+def _strays(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidate links (a, b) inside homes, other than those to pivots; rows: _against(), groups: the components so far.
+
+    With E the extra and L the lost shingles of a set against the pivot (o shingles), two sets x and y of a home share
+    o - |Lx| - |Ly| + |Lx & Ly| + |Ex & Ey|, so a link needs a number of common extras that the sizes tell: the overlap a link
+    needs, less o, plus the larger L. Where that is above 0, the pair meets at a common extra shingle; where not, at least one
+    common lost shingle is needed, as a stray (a set that is not in its pivot's component) is itself not linked to the pivot, and
+    the pair meets there. In either case at a place that leaves enough shingles behind it on both sides.
+    """
+    rows = _grouped(rows, groups)
+    rows = rows.join(bounded(groups.select(F.col("k").alias("p"), F.col("c").alias("cp"))), "p", "left").withColumn("stray", F.col("c") != F.coalesce("cp", "p"))
+    ends = rows.groupBy("g").agg(F.min("n").alias("least"), F.max("stray").alias("any")).filter("any").select("g", "least")
+    rows = rows.withColumns({"e": F.size("extra"), "l": F.size("lost")}).join(ends, "g")
+    overlap = lambda x, y: F.floor((PERCENT * (x + y) + (99 + PERCENT)) / (100 + PERCENT)).cast("int")
+    least = overlap(F.col("n"), F.greatest(F.col("least"), _col_least(F.col("n")))) - F.col("o") + F.col("l")
+    rows = staged(rows.withColumn("need", least).select("k", "g", "c", "stray", "guest", "n", "o", "e", "l", "need", "extra", "lost"))
+
+    def met(ranked: DataFrame, size: str, extras: bool) -> DataFrame:
+        q, y = ranked.filter("stray").alias("q"), ranked.alias("y")
+        if not extras:
+            y = ranked.filter("n < o").alias("y")
+        col = lambda name: (F.col(f"q.{name}"), F.col(f"y.{name}"))
+        base = overlap(*col("n")) - F.col("q.o")
+        need = base + F.greatest(*col("l"))
+        ok = (F.col("q.g") == F.col("y.g")) & (F.col("q.h") == F.col("y.h")) & (F.col("q.c") != F.col("y.c")) & ~(F.col("q.guest") & F.col("y.guest"))
+        ok &= ~F.col("y.stray") | (F.col("q.k") < F.col("y.k")) if extras else F.lit(True)
+        shared = F.greatest(need, F.lit(1)) if extras else base + F.col("q.l") + F.col("y.l") - F.least(*col("e"))
+        ok &= F.lit(True) if extras else need <= 0
+        for side in ("q", "y"):
+            ok &= F.col(f"{side}.place") <= F.col(f"{side}.{size}") - shared
+        return q.join(y, ok).select(F.col("q.k").alias("a"), F.col("y.k").alias("b"))
+
+    some = _ranked(rows, "extra").filter(F.col("place") <= F.col("e") - F.greatest("need", F.lit(1)))
+    lost = _ranked(rows.filter("need <= 0 AND (stray OR n < o)"), "lost")
+    return met(staged(some), "e", True).unionByName(met(staged(lost), "l", False)).distinct()
 
 
 def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
@@ -326,10 +360,12 @@ def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
     Documents link when their sets of distinct n-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.75 or more.
     1. Whole copies stand behind their first row, by text hash. 2. In hash order, two linked sets share a known number of
     shingles among their prefixes; documents whose prefix holds too few shingles that occur twice are done. 3. So are those
-    of which under three quarters occur in another set. 4. Similar documents form groups: each is compared with a leader it
-    shares minima with, in `turns` rounds. 5. The token-group matrix bounds every document against every other group, and
-    only the groups that may hold a link are opened. All links are verified on whole sets of 64-bit hashes; links inside a
-    group would not change the components and are not looked for.
+    of which under three quarters occur in another set. 4. Similar documents form groups, here called homes: each is compared
+    with a leader it shares minima with, in `turns` rounds, and lies with it at a similarity of one half; the set that leads
+    most is the home's pivot. 5. The token-group matrix bounds every document against every other home, and it is a guest of
+    those that may hold a link of its. 6. An opened home is searched by what its sets and guests differ in from the pivot: those
+    linked to the pivot are in one component, and only pairs that are not are looked for, by common differences. All links
+    are verified on whole sets of 64-bit hashes; links inside a component would not change it and are not looked for.
 
     Defined cases: null, empty and word-less texts have no shingles and component_id = doc_id; with fewer than n words the
     whole sequence is one shingle; a null doc_id counts as larger than any and stays null when alone; an empty table gives an
@@ -348,20 +384,31 @@ def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
         docs = docs.withColumn("hits", F.lit(0).cast("long"))
     rows = staged(_sets(docs.select("text", "k", "doc_id", "t1", "t2", "t3", "skip", "hits"), n, bits))
     sets = staged(_pruned(rows.filter("set IS NOT NULL").select("k", "set")))
-    links, groups = None, sets.sparkSession.createDataFrame([], "k long, c long")
+    joined = lambda groups, links: components(groups.toDF("a", "b").unionByName(links))
+    near, groups = None, sets.sparkSession.createDataFrame([], "k long, c long")
     for turn in range(turns):
-        new = staged(_linked(_leaders(sets, groups, turn), sets))
-        links = new if links is None else links.unionByName(new)
-        groups = components(links)
-    with arrow_rows(sets.sparkSession, 64):
-        across = staged(_opened(sets, groups))
-    groups = components(links.unionByName(across))
+        with arrow_rows(sets.sparkSession, 256):
+            new = staged(_likened(_leaders(sets, groups, turn), sets))
+        near = new if near is None else near.unionByName(new)
+        groups = joined(groups, new.filter("link").select("a", "b"))
+    homes = joined(groups, near.filter("NOT link").select("a", "b"))
+    led = _grouped(near.groupBy(F.col("b").alias("k")).agg(F.count("*").alias("m")), homes)
+    pivots = staged(led.groupBy(F.col("c").alias("g")).agg(F.max_by("k", F.struct("m", "k")).alias("p")))
+    own = homes.select("k", F.col("c").alias("g")).unionByName(homes.select(F.col("c").alias("k"), F.col("c").alias("g")).distinct())
+    places = own.withColumn("guest", F.lit(False)).unionByName(staged(_guests(sets, homes)).withColumn("guest", F.lit(True)))
+    places = staged(places.join(bounded(pivots), "g", "left").select("k", "g", F.coalesce("p", "g").alias("p"), "guest"))
+    with arrow_rows(sets.sparkSession, 256):
+        differ = staged(_against(sets, places))
+    groups = joined(groups, differ.filter("link").select(F.col("k").alias("a"), F.col("p").alias("b")))
+    with arrow_rows(sets.sparkSession, 256):
+        more = staged(_likened(_strays(differ, groups), sets))
+    groups = joined(groups, more.filter("link").select("a", "b"))
     rows = rows.drop("set")
     last = F.coalesce("doc_id", F.lit(_LAST))
-    classes = rows.filter("n > 0").groupBy("t1", "t2", "t3").agg(F.min(last).alias("d"), F.min_by("k", F.struct(last, F.col("k"))).alias("k"))
+    classes = rows.filter("n > 0").groupBy("t1", "t2", "t3").agg(F.min(last).alias("d"), F.min_by("k", F.struct(last, F.col("k"))).alias("k"), F.count("*").alias("m"))
     classes = staged(_grouped(classes, groups))
     ends = classes.groupBy("c").agg(F.min("d").alias("component_id"))
-    classes = classes.join(ends, "c").select("t1", "t2", "t3", "component_id")
-    out = rows.join(classes, ["t1", "t2", "t3"], "left")
+    classes = staged(spread_join(classes, ends, staged(classes.groupBy("c").agg(F.count("*").alias("m"))), ["c"], ["k"]).select("t1", "t2", "t3", "m", "component_id"))
+    out = spread_join(rows, classes.drop("m"), classes, ["t1", "t2", "t3"], ["k"], "left")
     reached = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit(_LAST)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"))

@@ -61,12 +61,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """Row keys of the rows whose exact text a row with a smaller doc_id has (a null doc_id comes last).
 
-    Only hashes are dealt out, with a partial aggregate, so a huge group of copies is no hot spot.
+    Only hashes are dealt out, first rows meet in a partial aggregate, and large groups of copies are spread over tasks.
     """
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     rows = docs.select("k", last.alias("d"), F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.length("text").alias("t3"))
-    first = rows.groupBy("t1", "t2", "t3").agg(F.min("d").alias("first_d"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(first, ["t1", "t2", "t3"]).filter("d > first_d").select("k").distinct()
+    first = staged(rows.groupBy("t1", "t2", "t3").agg(F.min("d").alias("first_d"), F.count("*").alias("m")).filter("m > 1"))
+    return spread_join(rows, first.drop("m"), first, ["t1", "t2", "t3"], ["k"]).filter("d > first_d").select("k").distinct()
+
+
+def spread_join(rows: DataFrame, small: DataFrame, counts: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `small`, unique in `on`; a key that many rows have is split, by the columns `by`, over several tasks.
+
+    counts (a staged table): `on` and m, the rows of each key. A key of more than a quarter of a task's even share of the rows is
+    cut into as many parts as it holds such quarters, and its row of `small` is repeated for each: four repeated rows for each
+    shuffle partition at most, whatever the data, so the table of parts is broadcast.
+    """
+    spark = rows.sparkSession
+    share = max(1000, (counts.agg(F.sum("m")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.broadcast(counts.filter(F.col("m") > share).select(*on, F.ceil(F.col("m") / share).cast("int").alias("parts__")))
+    dealt = rows.join(parts, on, "left").withColumn("part__", F.pmod(F.xxhash64(*by), F.coalesce("parts__", F.lit(1))).cast("int")).drop("parts__")
+    held = small.join(parts, on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
+    return dealt.join(held, [*on, "part__"], how).drop("part__")
 
 
 def bounded(df: DataFrame, most: int = 2_000_000) -> DataFrame:
