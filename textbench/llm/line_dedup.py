@@ -1,15 +1,14 @@
-"""Deletion of repeated line runs by hashed shingles of lines (operator 9); DataFrame functions only."""
+"""Deletion of repeated line runs by a suffix array over line sequences (operator 9); DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.llm.shared import row_key, staged
+from textbench.llm.shared import row_key, spread_join, staged
 
 _LAST = (1 << 63) - 1
+_PLACE = ("d", "k", "at")
 
 
 def let(value: Column, body) -> Column:
@@ -18,62 +17,138 @@ def let(value: Column, body) -> Column:
 
 
 def _numbered(lines: Column) -> Column:
-    """(i, line) of the lines that are not blank."""
+    """(i, x) of the lines that are not blank."""
     every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     return F.filter(every, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _paired(step: int, salt: int) -> Callable[[Column], Column]:
-    """Names twice (or, at the last level, less than twice) as deep: each joined with the one `step` lines on."""
-
-    def join(x, y):
-        return F.struct(F.xxhash64(x["a"], y["a"], F.lit(salt)).alias("a"), F.xxhash64(x["b"], y["b"], F.lit(salt + 1)).alias("b"))
-
-    def deeper(names):
-        n = F.greatest(F.size(names) - step, F.lit(0))
-        return F.zip_with(F.slice(names, 1, n), F.slice(names, step + 1, n), join)
-
-    return deeper
+def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df`, unique in the keys, with `before`: the sum of m over all rows that come before in the order of the keys.
 
-
-def run_starts(docs: DataFrame, depth: int) -> DataFrame:
-    """(k, at): each start of `depth` non-blank lines that also start at an earlier place; docs: k, doc_id, text.
-
-    Suffixes of the line sequences are named by prefix doubling: names of 1, 2, 4, ... lines, and of `depth` lines from two
-    overlapping powers, each a pair of 64-bit hashes. Suffixes of one name are one interval of the suffix array with a common
-    prefix of `depth` lines or more; its first place, by (doc_id, row, line), is kept. Names meet in a partial aggregate, so an
-    interval of any size is no hot spot; longer repeats come out as chains of starts.
+    The rows are dealt out by ranges of the keys; only the sums of the ranges meet in one place.
+    """
+    rows = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftrightunsigned("id", 33))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("part").agg(F.sum("m").alias("s")).select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
+    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("m").over(own), F.lit(0))).join(F.broadcast(sums), "part")
+    return rows.withColumn("before", F.col("own") + F.col("base")).drop("id", "part", "own", "base")
+
+
+class Suffixes:
+    """The suffix array of the repeated lines of documents, by prefix doubling, level by level.
+
+    The text is the sequence of line IDs (two 64-bit hashes each). A line that occurs once, like the end of a document, ends
+    every repeated run, so only lines that occur at two places are ranked; stretches of such lines are suffixes up to their `end`.
+
+    levels[j]: (d, k, at, end, long, rank, m), for the stretches of 2**j lines or more: the rank of each suffix by its first 2**j
+    lines, that is its group's place in the array, and the group's size m, the interval of the array with that common prefix.
+    array: the same for all suffixes when no rank changes any more; equal ranks are equal suffixes.
+    splits: (rank, level, a, a_at, b, b_at): the group at `rank` parted from the one before it at a level, with a place of each;
+    their longest common prefix is 2**level lines and what the places behind those share.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    ids = F.transform(_numbered(lines), lambda s: F.struct(F.xxhash64(s["x"]).alias("a"), F.xxhash64(s["x"], F.lit(1)).alias("b")))
-    rows = docs.select("k", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), ids.alias("names"))
-    level = 1
-    while level < depth:
-        step = min(level, depth - level)
-        rows = rows.withColumn("names", let(F.col("names"), _paired(step, level)))
-        level += step
-    rows = staged(rows.select("d", "k", F.posexplode("names").alias("at", "n")).select("d", "k", "at", "n.a", "n.b"))
-    first = rows.groupBy("a", "b").agg(F.min(F.struct("d", "k", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = rows.join(first, ["a", "b"]).filter(F.struct("d", "k", "at") > F.col("first"))
-    return later.select("k", "at")
-
-
-def dedup_lines(docs: DataFrame, depth: int = 2) -> DataFrame:
-    """The documents with n_lines, n_removed and `text` without the later copies of repeated runs of `depth` or more lines.
 
+    def __init__(self, docs: DataFrame, long_words: int):
+        """docs: k, doc_id, text."""
+        sep = r"\x20\x09-\x0D"
+        long = rf"^[{sep}]*(?:[^{sep}]+[{sep}]+){{{long_words - 1}}}[^{sep}]"
+        ids = F.transform(_numbered(F.split(F.coalesce("text", F.lit("")), "\n", -1)), lambda s: F.struct(F.xxhash64(s["x"]).alias("a"), F.xxhash64(s["x"], F.lit(1)).alias("b"), s["x"].rlike(long).alias("long")))
+        rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "k", F.posexplode(ids).alias("at", "n")).select(*_PLACE, "n.a", "n.b", "n.long")
+        rows, place = staged(rows), F.struct(*_PLACE)
+        twice = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("m")).filter("first < last")
+        twice = staged(twice.select("a", "b", "m"))
+        rows = spread_join(rows, twice.drop("m"), twice, ["a", "b"], ["k", "at"]).dropDuplicates(["k", "at"])
+        own = Window.partitionBy("k").orderBy("at")
+        rows = rows.withColumn("stretch", F.col("at") - F.row_number().over(own))
+        rows = staged(rows.withColumn("end", F.max("at").over(Window.partitionBy("k", "stretch")) + 1).withColumn("size", F.count("*").over(Window.partitionBy("k", "stretch")).cast("int")).drop("stretch"))
+        names = staged(_ordered(rows.groupBy("a", "b").agg(F.count("*").alias("m")), ["a", "b"]))
+        rows = spread_join(rows, names.select("a", "b", F.col("m").alias("n"), F.col("before").alias("rank")), names, ["a", "b"], ["k", "at"])
+        level = staged(rows.select(*_PLACE, "end", "size", "long", "rank", F.col("n").alias("m")))
+        self.levels, self.array, self.splits = [level], None, None
+        while self._double():
+            pass
+
+    def _double(self) -> bool:
+        """Ranks by twice as many lines: of each group, by the rank of the suffix behind the lines ranked so far (-1: none)."""
+        depth, last = 1 << (len(self.levels) - 1), self.levels[-1]
+        behind = F.lead("rank", depth).over(Window.partitionBy("k").orderBy("at"))
+        rows = staged(last.withColumn("next", F.when(F.col("at") + depth < F.col("end"), behind).otherwise(F.lit(-1))))
+        groups = rows.filter("m > 1").groupBy("rank", "next").agg(F.count("*").alias("m"), F.min(F.struct("k", "at")).alias("one"))
+        groups = _ordered(groups, ["rank", "next"])
+        start = groups.groupBy("rank").agg(F.min("before").alias("base"))
+        groups = staged(groups.join(start, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("base")).drop("before", "base"))
+        x, y = groups.alias("x"), groups.alias("y")
+        split = x.join(y, (F.col("x.rank") == F.col("y.rank")) & (F.col("y.new") == F.col("x.new") + F.col("x.m")))
+        split = staged(split.select(F.col("y.new").alias("rank"), F.lit(len(self.levels) - 1).alias("level"), F.col("x.one.k").alias("a"), F.col("x.one.at").alias("a_at"), F.col("y.one.k").alias("b"), F.col("y.one.at").alias("b_at")))
+        found = groups.select("rank", "next", "new", F.col("m").alias("n"))
+        rows = spread_join(rows, found, groups, ["rank", "next"], ["k", "at"], "left")
+        rows = staged(rows.select(*_PLACE, "end", "size", "long", F.coalesce("new", "rank").alias("rank"), F.coalesce("n", "m").alias("m")))
+        done = rows.filter(F.col("size") < 2 * depth)
+        self.splits = split if self.splits is None else self.splits.unionByName(split)
+        rows = rows.filter(F.col("size") >= 2 * depth)
+        more = not rows.filter((F.col("m") > 1) & (F.col("at") + 2 * depth < F.col("end"))).isEmpty()
+        if not rows.isEmpty():
+            self.levels.append(rows)
+        done = done if more else done.unionByName(rows)
+        self.array = done if self.array is None else self.array.unionByName(done)
+        return more
+
+    def common(self) -> DataFrame:
+        """(rank, lcp): how many lines the suffixes at a rank share with those before it in the array; 0 where there is no row."""
+        rows = self.splits.withColumn("lcp", F.pow(F.lit(2), "level").cast("int"))
+        for j in range(len(self.levels) - 2, -1, -1):
+            rank = self.levels[j].filter(F.col("at") + (1 << j) <= F.col("end"))
+            side = lambda s, rank=rank: rank.select(F.col("k").alias(s), F.col("at").alias(f"{s}_now"), F.col("rank").alias(f"{s}_rank"))
+            open_ = rows.filter(F.col("level") > j).withColumns({f"{s}_now": F.col(f"{s}_at") + F.col("lcp") for s in "ab"})
+            open_ = open_.join(side("a"), ["a", "a_now"], "left").join(side("b"), ["b", "b_now"], "left")
+            longer = F.when(F.col("a_rank") == F.col("b_rank"), F.col("lcp") + (1 << j)).otherwise(F.col("lcp"))
+            rows = rows.filter(F.col("level") <= j).unionByName(staged(open_.withColumn("lcp", longer).select(*rows.columns)))
+        return rows.select("rank", "lcp")
+
+    def longest(self) -> DataFrame:
+        """(k, longest): the most lines that a document has in a row which also stand at another place."""
+        lcp = staged(self.common())
+        rows = self.array.withColumn("after", F.col("rank") + F.col("m"))
+        rows = rows.join(lcp.withColumnRenamed("lcp", "x"), "rank", "left").join(lcp.select(F.col("rank").alias("after"), F.col("lcp").alias("y")), "after", "left")
+        own = F.when(F.col("m") > 1, F.col("end") - F.col("at")).otherwise(F.greatest(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))))
+        return rows.groupBy("k").agg(F.max(own).cast("long").alias("longest"))
+
+    def later(self, depth: int) -> DataFrame:
+        """(k, at, long): the places whose first `depth` lines also start at an earlier place, that is all but the first of each
+        interval of the array with a common prefix of `depth` lines or more; two overlapping powers of two name such a prefix."""
+        j = depth.bit_length() - 1
+        if j >= len(self.levels):
+            return self.levels[0].limit(0).select("k", "at", "long")
+        over = F.lead("rank", depth - (1 << j)).over(Window.partitionBy("k").orderBy("at"))
+        rows = self.levels[j].withColumn("over", over).filter(F.col("at") + depth <= F.col("end")).select(*_PLACE, "long", "rank", "over")
+        rows = staged(rows)
+        first = staged(rows.groupBy("rank", "over").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("m")).filter("m > 1"))
+        out = spread_join(rows, first.drop("m"), first, ["rank", "over"], ["k", "at"])
+        return out.filter(F.struct(*_PLACE) > F.col("first")).select("k", "at", "long")
+
+
+def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20) -> DataFrame:
+    """The documents with n_lines, n_removed, longest_run and `text` without the later copies of repeated runs of lines.
+
+    A run counts from `depth` lines on, and a single line from `long_words` words on; its first copy, by (doc_id, line), stays.
     Lines end at LF; blank lines are neither counted in runs nor deleted. A run may repeat in another document or in its own.
+    longest_run: the most non-blank lines in a row that also stand, in a row, at another place.
 
     Defined cases: null text stays null, with 0 lines; a null doc_id counts as larger than any; rows that agree in doc_id and
-    text are one document and fare alike; extra columns pass through (named k, n_lines or n_removed they are replaced).
+    text are one document and fare alike; an empty table gives an empty result; extra columns pass through (n_lines, n_removed
+    and longest_run are replaced), whatever their names.
     """
-    rows = docs.drop("k", "n_lines", "n_removed").withColumn("k", row_key("doc_id", "text"))
-    starts = run_starts(rows.select("k", F.col("doc_id").cast("long").alias("doc_id"), "text"), depth)
-    starts = starts.groupBy("k").agg(F.collect_set("at").alias("starts"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "longest_run")]
+    rows = docs.select(F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*names).alias("own"))
+    array = Suffixes(rows.select("k", "doc_id", "text"), long_words)
+    gone = array.later(depth).select("k", F.explode(F.sequence("at", F.col("at") + depth - 1)).alias("at")).unionByName(array.later(1).filter("long").select("k", "at"))
+    found = gone.groupBy("k").agg(F.collect_set("at").alias("gone"))
+    found = array.longest().join(found, "k", "left")
 
     def kept(s):
-        gone = F.flatten(F.transform(s["starts"], lambda at: F.sequence(at, at + depth - 1)))
-        gone = let(F.struct(_numbered(s["lines"]).alias("x"), gone.alias("g")), lambda y: F.transform(y["g"], lambda p: y["x"][p]["i"]))
-        return F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), gone)
+        at = let(F.struct(_numbered(s["lines"]).alias("x"), s["gone"].alias("g")), lambda y: F.transform(y["g"], lambda p: y["x"][p]["i"]))
+        return F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), at)
 
     def rebuilt(s):
         both = F.struct(s["lines"].alias("lines"), kept(s).alias("kept"))
@@ -82,8 +157,9 @@ def dedup_lines(docs: DataFrame, depth: int = 2) -> DataFrame:
 
     lines = F.split("text", "\n", -1)
     whole = F.struct(F.col("text").alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n"))
-    cut = let(F.struct(lines.alias("lines"), F.col("starts").alias("starts")), rebuilt)
-    out = rows.join(starts, "k", "left").withColumn("cut", F.when(F.col("starts").isNull(), whole).otherwise(cut))
+    cut = let(F.struct(lines.alias("lines"), F.col("gone").alias("gone")), rebuilt)
+    out = rows.join(found, "k", "left").withColumn("cut", F.when(F.col("gone").isNull(), whole).otherwise(cut))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    counts = {"n_lines": n.cast("long"), "n_removed": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n - F.col("cut.n")).cast("long")}
-    return out.withColumns(counts).withColumn("text", F.col("cut.text")).drop("k", "starts", "cut")
+    removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n - F.col("cut.n"))
+    own = [F.col("cut.text").alias("text") if c == "text" else F.col("own")[c].alias(c) for c in names]
+    return out.select(*own, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"))
