@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -134,3 +136,34 @@ def test_manifest_diff(spark):
     b = spark.createDataFrame([(1, "x" * 9 + "z"), (3, "y")], "id int, c string")
     got = P.manifest_diff(P.fingerprint_manifest(a, "id", "c", 4), P.fingerprint_manifest(b, "id", "c", 4), ["id", "chunk_no"])
     assert {tuple(r) for r in got.collect()} == {(1, 2, "changed"), (2, 0, "removed"), (3, 0, "added")}
+
+
+def test_search_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b", "é", "😀", " ", "A", "1", "22", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame([(i, 1000 * i, t) for i, t in enumerate(texts)], "i int, at long, t string").repartition(3)
+    for term in ("a", "aa", "é", "a😀", "22"):
+        want = {(i, p, 1000 * i + len(t[:p].encode())) for i, t in enumerate(texts) if t for p in range(len(t)) if t.startswith(term, p)}
+        got = [(r.i, r.pos, r.offset) for r in S.find_plain(df, "t", term, "at").collect()]
+        assert len(got) == len(want) and set(got) == want
+    for pattern in ("[0-9]+", "a[^a]", "é|😀", r"\p{L}+"):
+        own = pattern.replace(r"\p{L}", "[aAbé]")
+        want = {(i, m.start(), 1000 * i + len(t[: m.start()].encode()), m[0]) for i, t in enumerate(texts) if t for m in re.finditer(own, t)}
+        got = [(r.i, r.pos, r.offset, r.match) for r in S.find_regex(df, "t", pattern, "at").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_search_with_very_many_matches(spark):
+    df = spark.createDataFrame([(1, "né the " * 100_000)], "i int, t string")
+    start = time.time()
+    got = S.find_plain(df, "t", "the").agg(F.count("*"), F.sum("pos"), F.max("offset")).first()
+    assert tuple(got) == (100_000, sum(3 + 7 * i for i in range(100_000)), 4 + 8 * 99_999)
+    assert S.find_regex(df, "t", "th[a-z]").count() == 100_000 and time.time() - start < 30
+
+
+def test_preview_keeps_whole_characters(spark):
+    texts = ["x" * 2000, "é" * 2000, "a" + "é" * 2000, "😀" * 2000, "ab" + "😀" * 2000, " a  b "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.p for r in df.select("i", S.preview(F.col("t"), F.lit(0), 1, 1500).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == t.strip().replace("  ", " ").encode()[:512].decode(errors="ignore")

@@ -135,7 +135,7 @@ def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = Fal
 
 def replace_preview(df: DataFrame, c: str, find: str, put: str, order: list[str], radius: int = 40, k: int = 20) -> DataFrame:
     """Where the first replacements fall: pos, and the text around before and after."""
-    rows = df.filter(F.contains(F.col(c), F.lit(find))).withColumn("pos", F.explode(literal_at(F.col(c), find))).orderBy(*order, "pos").limit(k)
+    rows = df.filter(F.contains(F.col(c), F.lit(find))).withColumn("m__", F.explode(literal_at(F.col(c), find))).withColumn("pos", F.col("m__.pos")).orderBy(*order, "pos").limit(k)
     lo = F.greatest(F.col("pos") - radius, F.lit(0))
     left = F.substring(c, lo + 1, F.col("pos") - lo)
     right = F.substring(c, F.col("pos") + len(find) + 1, F.lit(radius))

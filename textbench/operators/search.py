@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,38 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?diu)" if ignore_case else "(?d)") + pattern.replace("(?P<", "(?<")
 
 
+def running_places(gaps: Column) -> Column:
+    """array of (pos, offset): running sums of an array of (chars, bytes), the last of which is left out.
+
+    Only these lengths reach Python, as Arrow lists, and they are summed without a loop over rows or matches.
+    """
+
+    @F.arrow_udf("array<struct<pos:int,offset:bigint>>")
+    def run(column: pa.Array) -> pa.Array:
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
+        values = column.flatten()
+        keep = np.ones(len(values), bool)
+        keep[ends[1:][np.diff(ends) > 0] - 1] = False
+        sums = []
+        for name, kind in (("chars", np.int32), ("bytes", np.int64)):
+            total = np.cumsum(pc.struct_field(values, name).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = np.r_[0, total][ends[:-1]]
+            sums.append((total - np.repeat(before, np.diff(ends)))[keep].astype(kind))
+        size = np.diff(ends) - (np.diff(ends) > 0)
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), pa.StructArray.from_arrays([pa.array(v) for v in sums], ["pos", "offset"]))
+
+    return run(gaps)
+
+
+def _size(*parts: Column) -> Column:
+    return F.struct(sum(map(F.length, parts[1:]), F.length(parts[0])).alias("chars"), sum(map(F.octet_length, parts[1:]), F.octet_length(parts[0])).cast("long").alias("bytes"))
+
+
 def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: bool = False) -> Column:
-    """Start characters (from 0) of all matches of a literal, overlapping ones too, ascending.
+    """Starts (pos in characters, offset in bytes, from 0) of all matches of a literal, overlapping ones too, ascending.
 
     The text is split by the literal's look-ahead, so each piece but perhaps the first starts at a match, and the running
-    lengths of the pieces are the starts.
+    lengths of the pieces are the starts; the work is in proportion to the text, whatever the number of matches.
     """
     if not pattern:
         raise ValueError("an empty search text")
@@ -43,23 +72,19 @@ def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: b
     look = quoted(pattern)
     if whole_word:
         look = rf"(?<!{_WORD}){look}(?!{_WORD})"
-    marked = F.split(c, rf"(?={look})", -1)
-    sizes = F.transform(marked, lambda s: F.length(s))
     # Where the text starts with a match, split makes no empty first piece.
-    starts = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("pos")), lambda a, n: F.struct((a["n"] + n).alias("n"), F.concat(a["pos"], F.array(a["n"])).alias("pos")), lambda a: a["pos"])
-    own = F.when(c.rlike(rf"^{look}"), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))))
-    return F.when(c.isNull() | (F.length(c) == 0), F.array().cast("array<int>")).otherwise(own)
-
+    first = F.when(c.rlike(rf"^{look}"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    pieces = F.concat(first, F.split(F.coalesce(c, F.lit("")), rf"(?={look})", -1))
+    return running_places(F.transform(pieces, lambda s: _size(s)))
 
-def _regex_places(c: Column, pattern: str) -> Column:
-    """(pos, len) in characters of each match."""
-    found = re.compile(pattern)
 
-    @F.pandas_udf("array<struct<pos:int,len:int>>")
-    def places(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"pos": m.start(), "len": m.end() - m.start()} for m in found.finditer(t)], na_action="ignore")
-
-    return places(c)
+def regex_at(c: Column, pattern: str) -> Column:
+    """(place (pos, offset), match) of all leftmost, non-overlapping matches of a Java pattern: what lies between them and the
+    matches themselves come from the same expression engine, and their running lengths are the places."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    between = F.split(c, pattern, -1)
+    gaps = F.zip_with(between, F.concat(F.array(F.lit("")), found), lambda gap, m: _size(gap, m))
+    return F.arrays_zip(running_places(gaps).alias("place"), found.alias("match"))
 
 
 def regex_count(c: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -67,11 +92,8 @@ def regex_count(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.regexp_count(c, F.lit(java_pattern(pattern, ignore_case)))
 
 
-def _with_offsets(df: DataFrame, c: str, base: str | None) -> DataFrame:
-    """Byte offsets and lengths for the character places `pos` and `chars`."""
-    before = F.octet_length(F.substring(c, F.lit(1), F.col("pos"))).cast("long")
-    found = F.substring(c, F.col("pos") + 1, F.col("chars"))
-    return df.withColumns({"offset": (F.col(base) if base else F.lit(0).cast("long")) + before, "length": F.octet_length(found)})
+def _based(base: str | None) -> Column:
+    return F.col(base).cast("long") if base else F.lit(0).cast("long")
 
 
 def find_plain(df: DataFrame, c: str, pattern: str, base: str | None = None, ignore_case: bool = False, whole_word: bool = False) -> DataFrame:
@@ -80,17 +102,17 @@ def find_plain(df: DataFrame, c: str, pattern: str, base: str | None = None, ign
     base: the column with the row's own byte offset. The cheap containment test comes first and drops most rows.
     """
     test = F.contains(ascii_fold(F.col(c)), F.lit(pattern.lower())) if ignore_case else F.contains(F.col(c), F.lit(pattern))
-    rows = df.filter(test).withColumn("pos", F.explode(literal_at(F.col(c), pattern, ignore_case, whole_word))).withColumn("chars", F.lit(len(pattern)))
-    return _with_offsets(rows, c, base).drop("chars")
+    rows = df.filter(test).withColumn("m__", F.explode(literal_at(F.col(c), pattern, ignore_case, whole_word)))
+    length = F.lit(len(pattern.encode()))
+    return rows.withColumns({"pos": F.col("m__.pos"), "offset": _based(base) + F.col("m__.offset"), "length": length}).drop("m__")
 
 
 def find_regex(df: DataFrame, c: str, pattern: str, base: str | None = None, ignore_case: bool = False) -> DataFrame:
-    """The same for a pattern: leftmost first, not overlapping; only rows that match at all reach Python, for the places."""
+    """The same for a pattern: leftmost first, not overlapping; `match` is the text found."""
     java = java_pattern(pattern, ignore_case)
-    rows = df.filter(F.col(c).rlike(java))
-    own = ("(?i)" if ignore_case else "") + pattern
-    rows = rows.select("*", F.explode(_regex_places(F.col(c), own)).alias("m")).select("*", F.col("m.pos").alias("pos"), F.col("m.len").alias("chars")).drop("m")
-    return _with_offsets(rows, c, base).drop("chars")
+    rows = df.filter(F.col(c).rlike(java)).withColumn("m__", F.explode(regex_at(F.col(c), java)))
+    own = {"pos": F.col("m__.place.pos"), "offset": _based(base) + F.col("m__.place.offset"), "length": F.octet_length("m__.match"), "match": F.col("m__.match")}
+    return rows.withColumns(own).drop("m__")
 
 
 def before_offset(matches: DataFrame, order: list[str], upto: dict, k: int | None = None) -> DataFrame:
@@ -110,11 +132,16 @@ def find_previous(matches: DataFrame, order: str, start: int) -> DataFrame:
     return before_offset(matches, [order], {order: start}, 1)
 
 
+def clipped(c: Column, most: int) -> Column:
+    """The longest start of a text of at most `most` bytes that cuts no character."""
+    raw = F.encode(c, "UTF-8")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.lit(most - i)).cast("string")) for i in range(4)]))
+
+
 def preview(c: Column, at: Column, chars: int, radius: int = 160, most: int = 512) -> Column:
     """The text around a match: white space runs as one space, trimmed, at most `most` bytes."""
     lo = F.greatest(at - radius, F.lit(0))
-    part = F.trim(F.regexp_replace(F.substring(c, lo + 1, at - lo + chars + radius), r"\s+", " "))
-    return F.when(F.octet_length(part) <= most, part).otherwise(F.substring(part, 1, most // 4))
+    return clipped(F.trim(F.regexp_replace(F.substring(c, lo + 1, at - lo + chars + radius), r"\s+", " ")), most)
 
 
 def search_page(matches: DataFrame, order: list[str], size: int = 1000) -> DataFrame:

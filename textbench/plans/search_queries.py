@@ -52,7 +52,7 @@ def search_regex_counts(table, spark):
 def search_regex_backward(table, spark):
     found = S.find_regex(_docs(table), "text", "[0-9]+")
     w = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    rows = found.withColumns({"place": (w - 1).cast("long"), "match": F.substring("text", F.col("pos") + 1, F.col("length"))})
+    rows = found.drop("text").withColumn("place", (w - 1).cast("long"))
     return S.before_offset(rows, ["doc_id", "place"], {"doc_id": 500}, 100).select("doc_id", "place", "match")
 
 
