@@ -84,7 +84,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textbench.llm.line_dedup import dedup_lines
 
     out = dedup_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,16 +167,24 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 _OP9 = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
            FROM documents WHERE text IS NOT NULL),
 nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 w AS (SELECT doc_id, p, x, lead(x) OVER (PARTITION BY doc_id ORDER BY p) AS y FROM nb),
 late AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, p) AS r FROM w WHERE y IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT nb.doc_id, nb.i FROM late JOIN nb ON nb.doc_id = late.doc_id AND nb.p IN (late.p, late.p + 1)),
+one AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS r FROM nb)
+        WHERE r > 1 AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 20),
+gone AS (SELECT nb.doc_id, nb.i FROM late JOIN nb ON nb.doc_id = late.doc_id AND nb.p IN (late.p, late.p + 1) UNION SELECT * FROM one),
+runs(n, doc_id, p, h) AS (
+  SELECT 1, doc_id, p, md5(x) FROM nb QUALIFY count(*) OVER (PARTITION BY x) > 1
+  UNION ALL
+  SELECT n + 1, r.doc_id, r.p, md5(h || md5(x)) FROM runs r JOIN nb ON nb.doc_id = r.doc_id AND nb.p = r.p + n QUALIFY count(*) OVER (PARTITION BY h, x) > 1),
+long AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id),
 kept AS (SELECT l.doc_id, count(*) AS n, count(gone.i) AS m, string_agg(CASE WHEN gone.i IS NULL THEN x END, chr(10) ORDER BY l.i) AS t
          FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, coalesce(longest, 0)::BIGINT AS longest_run,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN long USING (doc_id)
 """
 
 
