@@ -403,7 +403,10 @@ def test_lines(spark, none, kind, depth):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_suffix_array(spark):
+@pytest.mark.parametrize("width, factor", [(64, 4), (2, 3)])
+def test_suffix_array(spark, monkeypatch, width, factor):
+    monkeypatch.setattr(line_dedup.Suffixes, "WIDTH", width)
+    monkeypatch.setattr(line_dedup.Suffixes, "FACTOR", factor)
     rows = [(d, t) for d, t in line_rows("runs") if d and d < 25]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.col("doc_id"))
     array = line_dedup.Suffixes(df, 20)
@@ -421,7 +424,7 @@ def test_suffix_array(spark):
             suffix[d, i] = tuple(names[d, q] for q in range(i, j))
     got = array.array.collect()
     assert len(got) == len(suffix)
-    first = {names[r.k, r.at]: r.rank for r in array.levels[0].collect()}  # the order of the lines is that of their hashes
+    first = {names[r.k, r.at]: r.parts[0] for r in array.levels[0].collect()}  # the order of the lines is that of their hashes
     order = sorted((tuple(first[x] for x in s), at) for at, s in suffix.items())
     place = {}
     for n, (s, at) in enumerate(order):

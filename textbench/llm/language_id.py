@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from textbench.llm.flat import slices
 
@@ -61,18 +62,12 @@ def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(-1, WINDOW), first
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.01, seed: int = 7) -> Net:
-    """A network fitted by Adam on the windows of labelled texts; at most 40 windows of each text, spread evenly over it."""
+def train(x: np.ndarray, labels: list[str], epochs: int = 5, rate: float = 0.01, seed: int = 7) -> Net:
+    """A network fitted by Adam on windows x of byte classes and their labels."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
-    xs, ys = [], []
-    for text, label in zip(texts, labels):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        x, _ = windows(raw, np.array([0, len(raw)]))
-        pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), 40)).astype(int)) if len(x) else []
-        xs.append(x[pick])
-        ys += [langs.index(label)] * len(pick)
-    x, y = np.concatenate(xs), np.array(ys)
+    at = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([at[label] for label in labels])
     k = len(WIDTHS) * FILTERS
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     net = Net(langs, [[small(CLASSES, FILTERS) for _ in range(w)] for w in WIDTHS], np.zeros(k, np.float32), small(k, len(langs)), np.zeros(len(langs), np.float32))
@@ -111,21 +106,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = 2000) -> Net | None:
+def _spread(most: int):
+    """Rows (lang, rank, doc_id, raw) for (lang, rank, doc_id, text): at most `most` windows of each text, evenly spread, as bytes."""
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(3):
+                raw = text.as_py().encode()
+                n = -(-len(raw) // WINDOW)
+                pick = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
+                out.append(b"".join(raw[i * WINDOW : (i + 1) * WINDOW].ljust(WINDOW, b"\0") for i in pick))
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.binary())], ["lang", "rank", "doc_id", "raw"])
+
+    return rows
+
+
+def fit(docs: DataFrame, sample: int = 2000, windows_of_text: int = 40) -> Net | None:
     """A network learned from about `sample` texts (twice that at most), as many for each language as it has, up to an even
-    share; picked by hash among the rows that are not held out, with a text and a language. None without any."""
+    share; picked by hash among the rows that are not held out, with a text and a language. None without any.
+
+    Only windows reach the driver: `windows_of_text` of 256 bytes of each text at most, evenly spread over it.
+    """
     rows = docs.filter(F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     rank = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20))
     share = F.create_map(*[c for lang, n in counts.items() for c in (F.lit(lang), F.lit(int(min(1.0, sample / len(counts) / n) * (1 << 20))))])
-    picked = rows.filter(rank < F.try_element_at(share, F.col("lang"))).select("lang", "text", "doc_id")
-    picked = picked.orderBy(rank, "doc_id").limit(2 * sample).select("lang", "text").collect()
-    return train([r.text for r in picked], [r.lang for r in picked]) if picked else None
+    picked = rows.select("lang", rank.alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("rank") < F.try_element_at(share, F.col("lang")))
+    cut = picked.mapInArrow(_spread(windows_of_text), "lang string, rank long, doc_id long, raw binary")
+    found = cut.orderBy("rank", "doc_id").limit(2 * sample).select("lang", "raw").collect()
+    if not found:
+        return None
+    x = _CLASS[np.frombuffer(b"".join(bytes(r.raw) for r in found), np.uint8)].reshape(-1, WINDOW)
+    return train(x, [r.lang for r in found for _ in range(len(r.raw) // WINDOW)])
 
 
-def identify_languages(docs: DataFrame, sample: int = 2000) -> DataFrame:
+def identify_languages(docs: DataFrame, sample: int = 2000, windows_of_text: int = 40) -> DataFrame:
     """`docs` with held_out, lang_pred and lang_score: the language with the highest mean probability over all windows of the
     whole text, and that mean.
 
@@ -136,13 +154,13 @@ def identify_languages(docs: DataFrame, sample: int = 2000) -> DataFrame:
     held_out, lang_pred or lang_score are replaced).
     """
     docs = docs.drop("held_out", "lang_pred", "lang_score")
-    net = fit(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample)
+    net = fit(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample, windows_of_text)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches):
         own = shared.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(1)
             names, values = [], []
             for lo, hi, buf, off in slices(column):
                 x, first = windows(buf, off)
@@ -153,11 +171,11 @@ def identify_languages(docs: DataFrame, sample: int = 2000) -> DataFrame:
                 values.append(mean[np.arange(hi - lo), best])
                 names += [own.langs[i] if own else "und" for i in best]
             score = np.clip(np.concatenate(values), 0, 1) if values else np.zeros(0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], [f.name for f in batch.schema][:-1] + ["lang_pred", "lang_score"])
-
-    fields = docs.schema
-    rows = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, lang_score double"
-    out = rows.mapInArrow(score, schema)
-    letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    return out.withColumns({"held_out": held_out(F.col("doc_id")), "lang_pred": F.when(letter, F.col("lang_pred")).otherwise("und"), "lang_score": F.when(letter, F.col("lang_score")).otherwise(0.0)})
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["own", "lang_pred", "lang_score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = [StructField("own", docs.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]
+    out = rows.mapInArrow(score, StructType(kinds))
+    letter = F.coalesce(F.col("own.text").cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
+    found = {"lang_pred": F.when(letter, F.col("lang_pred")).otherwise("und"), "lang_score": F.when(letter, F.col("lang_score")).otherwise(0.0)}
+    return out.select("own.*", held_out(F.col("own.doc_id")).alias("held_out"), *(c.alias(name) for name, c in found.items()))

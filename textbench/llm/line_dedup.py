@@ -22,87 +22,106 @@ def _numbered(lines: Column) -> Column:
     return F.filter(every, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`df`, unique in the keys, with `before`: the sum of m over all rows that come before in the order of the keys.
+def _ordered(groups: DataFrame) -> DataFrame:
+    """`groups`, unique in `parts`, in the order of that array: `before`, the sum of m over all earlier rows, and `prior`, the row before.
 
-    The rows are dealt out by ranges of the keys; only the sums of the ranges meet in one place.
+    The rows are dealt out by ranges of `parts`; only the sums and last rows of the ranges meet in one place.
     """
-    rows = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()))
-    rows = rows.withColumn("part", F.shiftrightunsigned("id", 33))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("part").agg(F.sum("m").alias("s")).select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("m").over(own), F.lit(0))).join(F.broadcast(sums), "part")
-    return rows.withColumn("before", F.col("own") + F.col("base")).drop("id", "part", "own", "base")
+    rows = staged(groups.repartitionByRange("parts").sortWithinPartitions("parts").withColumn("id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftrightunsigned("id", 33)).withColumn("own", F.struct("parts", "one"))
+    earlier = Window.orderBy("part")
+    sums = rows.groupBy("part").agg(F.sum("m").alias("s"), F.max_by("own", "id").alias("end"))
+    sums = sums.select("part", F.coalesce(F.sum("s").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lag("end").over(earlier).alias("last"))
+    within = Window.partitionBy("part").orderBy("id")
+    rows = rows.withColumns({"before": F.coalesce(F.sum("m").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "prior": F.lag("own").over(within)})
+    rows = rows.join(F.broadcast(sums), "part").withColumns({"before": F.col("before") + F.col("base"), "prior": F.coalesce("prior", "last")})
+    return rows.drop("id", "part", "own", "base", "last")
 
 
-class Suffixes:
-    """The suffix array of the repeated lines of documents, by prefix doubling, level by level.
+def _agree(x: Column, y: Column) -> Column:
+    """How many leading elements two arrays share."""
+    differ = F.zip_with(x, y, lambda a, b: F.when(a == b, F.lit(0)).otherwise(F.lit(1)))
+    return F.coalesce(F.nullif(F.array_position(differ, F.lit(1)), F.lit(0)) - 1, F.least(F.size(x), F.size(y)).cast("long")).cast("int")
 
-    The text is the sequence of line IDs (two 64-bit hashes each). A line that occurs once, like the end of a document, ends
-    every repeated run, so only lines that occur at two places are ranked; stretches of such lines are suffixes up to their `end`.
 
-    levels[j]: (d, k, at, end, long, rank, m), for the stretches of 2**j lines or more: the rank of each suffix by its first 2**j
-    lines, that is its group's place in the array, and the group's size m, the interval of the array with that common prefix.
-    array: the same for all suffixes when no rank changes any more; equal ranks are equal suffixes.
-    splits: (rank, level, a, a_at, b, b_at): the group at `rank` parted from the one before it at a level, with a place of each;
-    their longest common prefix is 2**level lines and what the places behind those share.
+class Suffixes:
+    """The suffix array of the repeated lines of documents, by prefix doubling.
+
+    The text is the sequence of line IDs (64-bit hashes, in their order). A line that occurs once, like the end of a document,
+    ends every repeated run, so only lines that occur at two places are ranked; a suffix reaches to the `end` of its stretch of
+    such lines. First, suffixes are sorted by their first WIDTH lines; every round then sorts those still equal by the ranks of
+    FACTOR suffixes, each behind what the one before it covers (two doublings at once). Only stretches as long as what has
+    been compared go on, so the rounds shrink.
+
+    levels[j]: (d, k, at, end, size, long, parts): the arrays by which round j sorts; an element covers step[j] lines.
+    array: (d, k, at, end, rank, m): each suffix's place in the array, and how many suffixes are equal to it.
+    splits: (rank, level, same, a, b): the suffixes at `rank` and those before them part in round `level` behind `same` equal
+    elements of `parts`; a and b are a place (k, at) of each.
     """
 
+    WIDTH, FACTOR = 64, 4
+
     def __init__(self, docs: DataFrame, long_words: int):
         """docs: k, doc_id, text."""
         sep = r"\x20\x09-\x0D"
         long = rf"^[{sep}]*(?:[^{sep}]+[{sep}]+){{{long_words - 1}}}[^{sep}]"
-        ids = F.transform(_numbered(F.split(F.coalesce("text", F.lit("")), "\n", -1)), lambda s: F.struct(F.xxhash64(s["x"]).alias("a"), F.xxhash64(s["x"], F.lit(1)).alias("b"), s["x"].rlike(long).alias("long")))
-        rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "k", F.posexplode(ids).alias("at", "n")).select(*_PLACE, "n.a", "n.b", "n.long")
+        lines = F.transform(_numbered(F.split(F.coalesce("text", F.lit("")), "\n", -1)), lambda s: F.struct(F.xxhash64(s["x"]).alias("h"), s["x"].rlike(long).alias("long")))
+        rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "k", F.posexplode(lines).alias("at", "n")).select(*_PLACE, "n.h", "n.long")
         rows, place = staged(rows), F.struct(*_PLACE)
-        twice = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("m")).filter("first < last")
-        twice = staged(twice.select("a", "b", "m"))
-        rows = spread_join(rows, twice.drop("m"), twice, ["a", "b"], ["k", "at"]).dropDuplicates(["k", "at"])
-        own = Window.partitionBy("k").orderBy("at")
-        rows = rows.withColumn("stretch", F.col("at") - F.row_number().over(own))
-        rows = staged(rows.withColumn("end", F.max("at").over(Window.partitionBy("k", "stretch")) + 1).withColumn("size", F.count("*").over(Window.partitionBy("k", "stretch")).cast("int")).drop("stretch"))
-        names = staged(_ordered(rows.groupBy("a", "b").agg(F.count("*").alias("m")), ["a", "b"]))
-        rows = spread_join(rows, names.select("a", "b", F.col("m").alias("n"), F.col("before").alias("rank")), names, ["a", "b"], ["k", "at"])
-        level = staged(rows.select(*_PLACE, "end", "size", "long", "rank", F.col("n").alias("m")))
-        self.levels, self.array, self.splits = [level], None, None
-        while self._double():
-            pass
-
-    def _double(self) -> bool:
-        """Ranks by twice as many lines: of each group, by the rank of the suffix behind the lines ranked so far (-1: none)."""
-        depth, last = 1 << (len(self.levels) - 1), self.levels[-1]
-        behind = F.lead("rank", depth).over(Window.partitionBy("k").orderBy("at"))
-        rows = staged(last.withColumn("next", F.when(F.col("at") + depth < F.col("end"), behind).otherwise(F.lit(-1))))
-        groups = rows.filter("m > 1").groupBy("rank", "next").agg(F.count("*").alias("m"), F.min(F.struct("k", "at")).alias("one"))
-        groups = _ordered(groups, ["rank", "next"])
+        twice = rows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("m")).filter("first < last")
+        twice = staged(twice.select("h", "m"))
+        rows = spread_join(rows, twice.drop("m"), twice, ["h"], ["k", "at"]).dropDuplicates(["k", "at"])
+        rows = rows.withColumn("stretch", F.col("at") - F.row_number().over(Window.partitionBy("k").orderBy("at")))
+        own = Window.partitionBy("k", "stretch")
+        rows = rows.withColumns({"end": F.max("at").over(own) + 1, "size": F.count("*").over(own).cast("int")})
+        rows = rows.withColumn("parts", F.collect_list("h").over(own.orderBy("at").rowsBetween(0, self.WIDTH - 1)))
+        self.levels, self.step, self.array, self.splits = [staged(rows.drop("stretch", "h"))], [1], None, None
+        known = self.levels[0].withColumns({"rank": F.lit(0).cast("long"), "m": F.lit(2).cast("long")})
+        while known is not None:
+            known = self._sorted(known)
+
+    def _sorted(self, rows: DataFrame) -> DataFrame | None:
+        """Sorts the groups (equal rank, m > 1) of `rows` by their parts; the rows of the next round, if there is one.
+
+        Equal suffixes shorter than an element of `parts` are in their place; some of them may lie in shorter stretches.
+        """
+        level, cover = len(self.levels) - 1, self.step[-1] * (self.FACTOR if len(self.levels) > 1 else self.WIDTH)
+        groups = rows.filter((F.col("m") > 1) & (F.col("end") - F.col("at") >= self.step[-1])).groupBy("rank", "parts").agg(F.count("*").alias("m"), F.min(F.struct("k", "at")).alias("one"))
+        groups = _ordered(groups)
         start = groups.groupBy("rank").agg(F.min("before").alias("base"))
-        groups = staged(groups.join(start, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("base")).drop("before", "base"))
-        x, y = groups.alias("x"), groups.alias("y")
-        split = x.join(y, (F.col("x.rank") == F.col("y.rank")) & (F.col("y.new") == F.col("x.new") + F.col("x.m")))
-        split = staged(split.select(F.col("y.new").alias("rank"), F.lit(len(self.levels) - 1).alias("level"), F.col("x.one.k").alias("a"), F.col("x.one.at").alias("a_at"), F.col("y.one.k").alias("b"), F.col("y.one.at").alias("b_at")))
-        found = groups.select("rank", "next", "new", F.col("m").alias("n"))
-        rows = spread_join(rows, found, groups, ["rank", "next"], ["k", "at"], "left")
-        rows = staged(rows.select(*_PLACE, "end", "size", "long", F.coalesce("new", "rank").alias("rank"), F.coalesce("n", "m").alias("m")))
-        done = rows.filter(F.col("size") < 2 * depth)
+        groups = staged(groups.join(start, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("base")).drop("base"))
+        split = groups.filter("new > rank").select(F.col("new").alias("rank"), F.lit(level).alias("level"), _agree(F.col("prior.parts"), F.col("parts")).alias("same"), F.col("prior.one").alias("a"), F.col("one").alias("b"))
         self.splits = split if self.splits is None else self.splits.unionByName(split)
-        rows = rows.filter(F.col("size") >= 2 * depth)
-        more = not rows.filter((F.col("m") > 1) & (F.col("at") + 2 * depth < F.col("end"))).isEmpty()
-        if not rows.isEmpty():
-            self.levels.append(rows)
-        done = done if more else done.unionByName(rows)
+        rows = spread_join(rows, groups.select("parts", "new", F.col("m").alias("n")), groups.select("parts", "m"), ["parts"], ["k", "at"], "left")
+        rows = staged(rows.select(*_PLACE, "end", "size", "long", F.coalesce("new", "rank").alias("rank"), F.coalesce("n", "m").alias("m")))
+        open_, more = F.col("size") >= cover, (F.col("m") > 1) & (F.col("end") - F.col("at") > cover)
+        more = rows.agg(F.bool_or(more)).first()[0]
+        done = rows.filter(~open_) if more else rows
+        done = done.select(*_PLACE, "end", "rank", "m")
         self.array = done if self.array is None else self.array.unionByName(done)
-        return more
+        if not more:
+            return None
+        own = Window.partitionBy("k").orderBy("at")
+        behind = [F.when(F.col("at") + i * cover < F.col("end"), F.lead("rank", i * cover).over(own)) for i in range(1, self.FACTOR)]
+        rows = staged(rows.filter(open_).withColumn("parts", F.filter(F.array("rank", *behind), lambda r: r.isNotNull())))
+        self.levels.append(rows.drop("rank", "m"))
+        self.step.append(cover)
+        return rows
 
     def common(self) -> DataFrame:
-        """(rank, lcp): how many lines the suffixes at a rank share with those before it in the array; 0 where there is no row."""
-        rows = self.splits.withColumn("lcp", F.pow(F.lit(2), "level").cast("int"))
+        """(rank, lcp): how many lines the suffixes at a rank share with those before it in the array; 0 where there is no row.
+
+        What the suffixes share behind the equal elements of their round is told by the rounds before it, which cover fewer lines.
+        """
+        steps = F.element_at(F.array(*[F.lit(n) for n in self.step]), F.col("level") + 1)
+        rows = self.splits.withColumn("lcp", F.col("same") * steps)
         for j in range(len(self.levels) - 2, -1, -1):
-            rank = self.levels[j].filter(F.col("at") + (1 << j) <= F.col("end"))
-            side = lambda s, rank=rank: rank.select(F.col("k").alias(s), F.col("at").alias(f"{s}_now"), F.col("rank").alias(f"{s}_rank"))
-            open_ = rows.filter(F.col("level") > j).withColumns({f"{s}_now": F.col(f"{s}_at") + F.col("lcp") for s in "ab"})
-            open_ = open_.join(side("a"), ["a", "a_now"], "left").join(side("b"), ["b", "b_now"], "left")
-            longer = F.when(F.col("a_rank") == F.col("b_rank"), F.col("lcp") + (1 << j)).otherwise(F.col("lcp"))
+            at = lambda s: self.levels[j].select(F.col("k").alias(f"{s}_k"), F.col("at").alias(f"{s}_at"), F.col("parts").alias(f"{s}_parts"))  # noqa: B023, E731
+            open_ = rows.filter(F.col("level") > j)
+            for s in "ab":
+                open_ = open_.withColumns({f"{s}_k": F.col(f"{s}.k"), f"{s}_at": F.col(f"{s}.at") + F.col("lcp")}).join(at(s), [f"{s}_k", f"{s}_at"], "left")
+            both = F.when(F.col("a_parts").isNotNull() & F.col("b_parts").isNotNull(), _agree(F.col("a_parts"), F.col("b_parts")))
+            longer = F.col("lcp") + self.step[j] * F.coalesce(both, F.lit(0))  # null: one of the suffixes has ended
             rows = rows.filter(F.col("level") <= j).unionByName(staged(open_.withColumn("lcp", longer).select(*rows.columns)))
         return rows.select("rank", "lcp")
 
@@ -115,16 +134,13 @@ class Suffixes:
         return rows.groupBy("k").agg(F.max(own).cast("long").alias("longest"))
 
     def later(self, depth: int) -> DataFrame:
-        """(k, at, long): the places whose first `depth` lines also start at an earlier place, that is all but the first of each
-        interval of the array with a common prefix of `depth` lines or more; two overlapping powers of two name such a prefix."""
-        j = depth.bit_length() - 1
-        if j >= len(self.levels):
-            return self.levels[0].limit(0).select("k", "at", "long")
-        over = F.lead("rank", depth - (1 << j)).over(Window.partitionBy("k").orderBy("at"))
-        rows = self.levels[j].withColumn("over", over).filter(F.col("at") + depth <= F.col("end")).select(*_PLACE, "long", "rank", "over")
-        rows = staged(rows)
-        first = staged(rows.groupBy("rank", "over").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("m")).filter("m > 1"))
-        out = spread_join(rows, first.drop("m"), first, ["rank", "over"], ["k", "at"])
+        """(k, at, long): the places whose first `depth` lines (WIDTH at most) also start at an earlier place: all but the first of
+        each interval of the array with a common prefix of `depth` lines or more."""
+        if not 0 < depth <= self.WIDTH:
+            raise ValueError(f"runs of 1 to {self.WIDTH} lines")
+        rows = self.levels[0].filter(F.col("at") + depth <= F.col("end")).select(*_PLACE, "long", F.slice("parts", 1, depth).alias("parts"))
+        first = staged(rows.groupBy("parts").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("m")).filter("m > 1"))
+        out = spread_join(rows, first.drop("m"), first, ["parts"], ["k", "at"])
         return out.filter(F.struct(*_PLACE) > F.col("first")).select("k", "at", "long")
 
 

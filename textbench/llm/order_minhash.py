@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.shared import bounded, row_key, staged
+from textbench.operators.numbering import with_range
 
 #: Of a packed 64-bit entry the low bits hold the place in the text, the rest its hash.
 _PLACE = 26
@@ -38,8 +39,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 2, size: int
 
     Each k-mer (k consecutive words; all words of a shorter text) is numbered by its occurrence and hashed once. One
     permutation serves all signatures: the hash's top bits deal the k-mers into 64 bins; a bin's `size` smallest keep their
-    order in the text, and the tuple of their hashes is hashed, without their places: a shift of the text changes no order. An entry is the bin (2 hex digits) and its tuple's hash (8); bins without a
-    k-mer have none, so null, empty and word-less texts have an empty fingerprint.
+    order in the text, and the tuple of their hashes is hashed, without their places: a shift of the text changes no order. An
+    entry is the bin (2 hex digits) and its tuple's hash (8); bins without a k-mer have none, so null, empty and word-less texts
+    have an empty fingerprint. A text of 2**26 words or more, over a gigabyte as Spark's array of words, fails the job.
 
     All steps work on arrays of a row and are linear, but for two sorts of primitive longs; each step is a column that later
     ones use at least twice, so the optimiser evaluates it once.
@@ -66,7 +68,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 2, size: int
 
     split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     df = df.withColumn(w, split)
-    df = df.withColumn(h, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), kmer)))
+    over = F.size(w) > _LOW
+    df = df.withColumn(h, F.when(over, F.raise_error(F.lit(f"a text of more than {_LOW} words"))).when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), kmer)))
     df = df.withColumn(p, F.sort_array(F.transform(col(h), _packed)))
     new = lambda x, i: (i == 0) | (F.shiftright(x, _PLACE) != F.shiftright(F.get(col(p), i - 1), _PLACE))
     starts = F.filter(F.transform(col(p), lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
@@ -84,33 +87,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def with_range(df: DataFrame, key: str, coarse: int = 256) -> DataFrame:
-    """`df` with `range`, an integer that grows with the long column `key` and cuts the rows into about four ranges for each
-    shuffle partition: quantiles of the key, each cut evenly. A null key has the range -1."""
-    fine = -(-4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // coarse)
-    found = df.agg(F.percentile_approx(key, [i / coarse for i in range(coarse + 1)], 10 * coarse)).first()[0] or [0]
-    edges = sorted(set(found))
-    bounds = F.array(*[F.lit(x).cast("long") for x in edges])
-    at = F.greatest(F.size(F.filter(bounds, lambda e: e <= F.col(key))), F.lit(1))
-    lo, hi = F.get(bounds, at - 1).cast("double"), F.coalesce(F.get(bounds, at), F.get(bounds, at - 1) + 1).cast("double")
-    part = F.greatest(F.least(F.floor((F.col(key) - lo) / (hi - lo) * fine), F.lit(fine - 1)), F.lit(0))
-    return df.withColumn("range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * fine + part).cast("long"))
-
-
-def with_next(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], carry: list[str]) -> DataFrame:
+def with_next(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], carry: list[str], range_bytes: int = 16 << 20) -> DataFrame:
     """Each row of `prepare(df)`, df being (doc_id, k, ...), with next_<c> for c in `carry`, from the next row in descending
     doc_id (after the last: the first).
 
     Rows meet in ranges of doc_id. A range also gets a copy of the first row of the next range that has rows, behind its own,
-    so one exchange serves all; these copies (one for each range) are found by key and do not come out.
+    so one exchange serves all; these copies (one for each range) are found by key and do not come out. There is a range for
+    every `range_bytes` of text at least, and four for each shuffle partition.
     """
-    df = with_range(df, "doc_id")
+    spark, size = df.sparkSession, df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes)
+    df = with_range(df, "doc_id", least=4 * tasks).withColumnRenamed("_range", "range")
     heads = df.groupBy("range").agg(F.min_by("k", F.struct(F.bitwise_not("doc_id"), F.col("k"))).alias("k"))
     down = Window.orderBy(F.desc("range"))
     above = F.coalesce(F.lag("range").over(down), F.min("range").over(Window.partitionBy()))
     heads = staged(heads.select("k", above.alias("range")))
     extra = df.drop("range").join(bounded(heads), "k")
     rows = prepare(df.withColumn("extra", F.lit(False))).unionByName(prepare(extra.withColumn("extra", F.lit(True))))
+    rows = rows.repartition(tasks, "range")
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "k")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
     return rows.filter("NOT extra").drop("range", "extra")
