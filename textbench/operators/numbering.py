@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_range(df: DataFrame, key: str, coarse: int = 256) -> DataFrame:
-    """`df` with `_range`, which grows with the whole-number column `key`: quantiles, each cut evenly, about four ranges for
-    each shuffle partition. Null keys have a range of their own, before all."""
-    fine = -(-4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // coarse)
+def with_range(df: DataFrame, key: str, coarse: int = 256, least: int | None = None) -> DataFrame:
+    """`df` with `_range`, which grows with the whole-number column `key`: quantiles, each cut evenly, about `least` ranges, by
+    default four for each shuffle partition. Null keys have a range of their own, before all."""
+    fine = -(-(least or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // coarse)
     found = df.agg(F.percentile_approx(key, [i / coarse for i in range(coarse + 1)], 10 * coarse)).first()[0] or [0]
     edges = F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(found))])
     at = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col(key))), F.lit(1))
