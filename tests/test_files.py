@@ -1,5 +1,9 @@
+import contextlib
 import csv
+import hashlib
 import io
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -16,7 +20,7 @@ DUMP = """-- MySQL dump
 CREATE TABLE `alpha` (id INT, note VARCHAR(9)) DEFAULT CHARSET=utf8mb4 COLLATE=utf8mb4_bin;
 INSERT INTO `alpha` VALUES (1,'a;b'),(2,'it''s'),(3,'x\\'y');
 /* CREATE TABLE fake (a INT); */
-INSERT INTO `alpha` VALUES (4,COALESCE(NULL, 1));
+INSERT INTO `alpha` VALUES (4,GREATEST(2, LENGTH('ab')));
 # INSERT INTO fake VALUES (1);
 CREATE TABLE db.`be``ta` (
   a INT
@@ -31,9 +35,26 @@ def dump(tmp_path_factory):
     return f"file://{path}"
 
 
+@contextlib.contextmanager
+def splits(spark, size):
+    """Splits of `size` bytes, packed as they come."""
+    conf = {"spark.sql.files.maxPartitionBytes": str(size or 1 << 20), "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("split", [None, 40, 7])
 def test_statements_do_not_depend_on_splits(spark, dump, split):
-    got = S.read_statements(spark, dump, split).orderBy("stmt_no").collect()
+    with splits(spark, split):
+        check_statements(spark, dump)
+
+
+def check_statements(spark, dump):
+    got = S.read_statements(spark, dump).orderBy("stmt_no").collect()
     assert [(r.kind, r.database, r.table) for r in got] == [("create", "", "alpha"), ("insert", "", "alpha"), ("insert", "", "alpha"), ("create", "db", "be`ta")]
     raw = DUMP.encode()
     assert all(raw[r.end - 1 : r.end] == b";" and r.hazard is None for r in got)
@@ -57,7 +78,7 @@ def test_reshape(spark, dump):
     many = D.multi_inserts(st, 3).collect()
     assert [r.text.count("),(") for r in many if "INSERT INTO `alpha`" in r.text] == [2, 0]
     fixture = [r.text for r in D.sample_fixture(st, 2).collect()]
-    assert any(t.endswith("(1,'a;b'),(2,'it''s');") for t in fixture) and not any("COALESCE" in t for t in fixture)
+    assert any(t.endswith("(1,'a;b'),(2,'it''s');") for t in fixture) and not any("GREATEST" in t for t in fixture)
     for bad in ("INSERT INTO t VALUES (1) ON DUPLICATE KEY UPDATE a=1;", "INSERT INTO t VALUES (1;", "COPY t FROM stdin;"):
         with pytest.raises(ValueError):
             D.split_tuples(bad)
@@ -71,13 +92,32 @@ def test_hazards(spark, tmp_path):
             S.refuse_hazards(S.read_statements(spark, f"file://{path}"))
 
 
+LINES = [b"\xef\xbb\xbfone\r\ntwo\rthree\n\nfive", b"a\nb\n", b"\r\r\n\n\rx\r", b"", "né\n😀 long line without any break at all\r\nz".encode(), b"\n" * 30 + b"end", b"\xff bad \xfe\r\nok\n"]
+
+
+def cut_lines(raw):
+    out, at = [], 0
+    for m in re.finditer(rb"([^\r\n]*)(\r\n|\r|\n|\Z)", raw):
+        if m.end() > m.start():
+            out.append((m.start(), m[1].removeprefix(b"\xef\xbb\xbf") if not m.start() else m[1]))
+    return out
+
+
+@pytest.mark.parametrize("raw", LINES)
+def test_lines_of_any_split(spark, tmp_path, raw):
+    path = tmp_path / "l.txt"
+    path.write_bytes(raw)
+    with splits(spark, 11):
+        got = S.read_lines(spark, f"file://{path}").select("line_no", "offset", F.col("line").cast("binary").alias("line")).orderBy("line_no").collect()
+    assert [(r.line_no, r.offset, bytes(r.line)) for r in got] == [(i, at, x) for i, (at, x) in enumerate(cut_lines(raw), 1)]
+
+
 def test_lines_and_anchors(spark, tmp_path):
     path = tmp_path / "l.txt"
     path.write_bytes(b"\xef\xbb\xbfone\r\ntwo\rthree\n\nfive")
     lines = S.read_lines(spark, f"file://{path}")
     assert [(r.offset, r.line) for r in lines.orderBy("offset").collect()] == [(0, "one"), (8, "two"), (12, "three"), (18, ""), (19, "five")]
-    numbered = S.numbered_lines(S.read_lines(spark, f"file://{path}", 8))
-    assert [r.line for r in numbered.orderBy("line_no").collect()] == ["one", "two", "three", "", "five"]
+    numbered = S.read_lines(spark, f"file://{path}")
     sparse = N.anchors(numbered, 2)
     asked = spark.createDataFrame([(0,), (13,), (25,)], "offset long")
     assert [r.line_no for r in N.offset_to_line(asked, sparse, 100.0).orderBy("offset").collect()] == [1, 3, 5]
@@ -90,7 +130,8 @@ def test_strict_records(spark, tmp_path, split):
     csv.writer(out, lineterminator="\n").writerows(data)
     path = tmp_path / "r.csv"
     path.write_text(out.getvalue())
-    assert [r.fields for r in S.read_records(spark, f"file://{path}", "comma", split).orderBy("record_no").collect()] == data
+    with splits(spark, split):
+        assert [r.fields for r in S.read_records(spark, f"file://{path}", "comma").orderBy("record_no").collect()] == data
     path.write_text('a,b"c\n')
     with pytest.raises(Exception, match="bare quote"):
         S.read_records(spark, f"file://{path}").collect()
@@ -152,3 +193,87 @@ def test_schema_diff_reports_each_change(spark):
     assert X.diff_dumps(st(base), st(base.replace(" NOT NULL", "   NOT NULL").replace("(id)", "( id )"))).first().change == "unchanged"
     assert [X.diff_dumps(st(base), st(v)).first().change for v in variants] == ["changed"] * len(variants)
     assert X.diff_dumps(st(base), st("CREATE TABLE t AS SELECT 1")).first().change == "unknown"
+
+
+def test_ranges_of_files(spark, tmp_path):
+    data = {"a.bin": bytes(range(256)) * 5, "c.bin": b"xyz"}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    found = S.read_binary(spark, f"file://{tmp_path}")
+    ranges = K.byte_ranges(found.select("path", "length"), 500)
+    got = {(r.path.split("/")[-1], r.part): r for r in K.read_ranges(found, ranges.select("path", "part", "start", "end")).collect()}
+    assert len(got) == 4
+    for (name, part), r in got.items():
+        own = data[name][part * 500 : part * 500 + 500]
+        assert bytes(r.bytes) == own and r.sha256 == hashlib.sha256(own).hexdigest()
+
+
+def statement_rows(spark, rows):
+    return spark.createDataFrame([("f", i + 1, 100 * i, 100 * i + 50, t, k, d, n) for i, (k, d, n, t) in enumerate(rows)], "file string, stmt_no long, start long, end long, text string, kind string, database string, table string")
+
+
+def test_split_by_table(spark, tmp_path):
+    rows = [("create", "", "T", "CREATE TABLE T (a INT) CHARSET=UTF8MB4;"), ("insert", "", "T", "INSERT INTO T VALUES (1);"), ("create", "", "t", "CREATE TABLE t (a INT) CHARACTER SET latin1;"), ("insert", "x/y", "a b", "INSERT INTO `a b` VALUES ('z');"), ("other", None, None, "SET a = 1;"), ("insert", "", "T", "INSERT INTO T VALUES (2);")]
+    df = statement_rows(spark, rows)
+    got = {(r.database, r.table): r for r in K.split_manifest(df, 2).collect()}
+    assert {k: r.name for k, r in got.items()} == {("", "T"): "T", ("", "t"): "t_02", ("x/y", "a b"): "x_y.a_b"}
+    assert got["", "T"].charsets == ["utf8mb4"] and got["", "t"].charsets == ["latin1"] and got["x/y", "a b"].charsets == []
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    own = [(1, rows[0][3]), (2, rows[1][3]), (6, rows[5][3])]
+    buckets = [sha("".join(sha(t) for i, t in own if i // 2 == b)) for b in (0, 1, 3)]
+    assert got["", "T"].sha256 == sha("".join(buckets)) and (got["", "T"].bytes, got["", "T"].regions, got["", "T"].first, got["", "T"].last) == (150, 3, 0, 550)
+    K.write_by_table(df, f"file://{tmp_path}/out")
+    back = {p.name.removeprefix("name="): "".join(f.read_text() for f in sorted(p.glob("*.txt"))) for p in (tmp_path / "out").glob("name=*")}
+    assert back == {"T": "\n".join(t for _, t in own) + "\n", "t_02": rows[2][3] + "\n", "x_y.a_b": rows[3][3] + "\n"}
+    with pytest.raises(Exception, match="(?i)exist"):
+        K.write_by_table(df, f"file://{tmp_path}/out")
+
+
+def test_batches_keep_both_bounds(spark):
+    rng = random.Random(2)
+    rows = [("insert", "", "t", f"INSERT INTO {rng.choice('ab')} VALUES " + ",".join(f"({i},'{'x' * rng.choice([1, 5, 60])}')" for i in range(rng.randrange(1, 6))) + ";") if rng.random() < 0.8 else ("other", None, None, f"SET a = {n};") for n in range(60)]
+    want = []
+    for kind, _, _, text in rows:  # runs of one head, then batches of 4, each cut again at 100 bytes
+        head, tuples = D.split_tuples(text) if kind == "insert" else (None, [text])
+        if head and want and want[-1][0] == head:
+            want[-1][1].extend(tuples)
+        else:
+            want.append((head, list(tuples)))
+    out = []
+    for head, tuples in want:
+        for i in range(0, len(tuples), 4):
+            if head is None:
+                out.append(tuples[i])
+                continue
+            own, size = [], len(head)
+            for t in tuples[i : i + 4]:
+                if size + len(t) + 1 > 100:
+                    if own:
+                        out.append(head + ",".join(own) + ";")
+                    own, size = [], 0
+                own.append(t)
+                size += len(t) + 1
+            out.append(head + ",".join(own) + ";")
+    got = [r.text for r in D.multi_inserts(statement_rows(spark, rows), 4, 100, block=7).collect()]
+    assert got == out
+
+
+def test_publish_line_parts_and_headers(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(1, 11)], "line_no long, line string").repartition(3)
+    K.write_line_parts(lines, f"file://{tmp_path}/parts", 4)
+    assert {p.name: "".join(f.read_text() for f in sorted(p.glob("*.txt"))) for p in (tmp_path / "parts").glob("part=*")} == {f"part={k}": "".join(f"line {i}\n" for i in range(4 * k + 1, min(4 * k + 5, 11))) for k in range(3)}
+    with pytest.raises(ValueError):
+        K.publish(lines.select("line"), f"file://{tmp_path}/one", lambda df: (_ for _ in ()).throw(ValueError("checked")))
+    assert not (tmp_path / "one").exists()
+    K.publish(lines.select("line"), f"file://{tmp_path}/one")
+    with pytest.raises(Exception, match="(?i)exist"):
+        K.publish(lines.select("line"), f"file://{tmp_path}/one")
+    assert K.markdown_header(["a|b", " "]) == ["| a\\|b | col2 |", "| --- | --- |"]
+    assert K.create_table("a`b", [("x", "BIGINT"), ("y`", "TEXT")]) == "CREATE TABLE IF NOT EXISTS `a``b` (\n  `x` BIGINT NULL,\n  `y``` LONGTEXT NULL\n);"
+
+
+def test_encoding_census(spark, tmp_path):
+    for name, raw in {"a": "é".encode(), "b": b"\xef\xbb\xbfx", "c": "hello there".encode("utf-16-le"), "d": "привет мир".encode("cp1251"), "e": "né".encode("cp1252") + b" abc"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {(r.encoding, r.bom, r.guess): r.files for r in P.encoding_census(S.read_binary(spark, f"file://{tmp_path}")).collect()}
+    assert got == {("UTF-8", False, False): 1, ("UTF-8", True, False): 1, ("UTF-16LE", False, True): 1, ("Windows-1251", False, True): 1, ("Windows-1252", False, True): 1}

@@ -29,10 +29,10 @@ def test_negate_and_blank(spark):
 
 
 def test_ragged_dedupe(spark):
-    data = [(1, ["1", "a@x.com"]), (2, ["short1"]), (3, ["short2"]), (4, ["4", ""]), (5, ["5", ""])]
+    data = [(10, ["red", "round", "7"]), (20, ["blue"]), (30, ["green", ""]), (40, ["grey", "round"]), (50, []), (60, ["white", "", "x"])]
     df = spark.createDataFrame(data, "record_no long, fields array<string>")
-    assert {r.record_no for r in R.dedupe_fields(df, "record_no", 1).collect()} == {1, 2, 3, 4}
-    nul = spark.createDataFrame([(1, ["a\0b", "c"]), (2, ["a", "b\0c"])], "record_no long, fields array<string>")
+    assert {r.record_no for r in R.dedupe_fields(df, "record_no", 1).collect()} == {10, 20, 30, 50}
+    nul = spark.createDataFrame([(1, ["x\0", "y"]), (2, ["x", "\0y"])], "record_no long, fields array<string>")
     assert R.dedupe_fields(nul, "record_no").count() == 2
     assert R.dedupe_fields(nul, "record_no", 7).count() == 2
 
@@ -88,3 +88,19 @@ def test_literals(spark):
     long = "x" * 300
     name = spark.createDataFrame([(long,), ("e\u0301/b",), ("con",)], "v string").select(E.safe_file_name_full(F.col("v"))).collect()
     assert len(name[0][0].encode()) <= 180 and name[1][0] == "é_b" and name[2][0] == "_con"
+
+
+def test_bounded_prefix(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 31)], "n long, t string").repartition(4)
+    size = F.octet_length("t")
+    for rows, most in ((5, 1000), (30, 1000), (10, 20), (3, 0), (40, 465)):
+        got = [tuple(r) for r in R.bounded_prefix(df, "n", size, rows, most).orderBy("n").collect()]
+        want = [i for i in range(1, 31) if i <= rows and i * (i + 1) // 2 <= most]
+        assert got == [(i, "x" * i, len(want) < 30) for i in want]
+
+
+def test_refuse_many_keys(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 50)
+    assert R.refuse_many_keys(df, ["k"], 60).count() == 1000
+    with pytest.raises(ValueError):
+        R.refuse_many_keys(df, ["k", "id"], 60)

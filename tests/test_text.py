@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textbench.operators import profile as P
 from textbench.operators import replace as R
 from textbench.operators import search as S
+from textbench.sources import files as Sources
 from textbench.streaming import tail
 
 
@@ -99,9 +100,9 @@ def test_line_ends_are_idempotent(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, "Primary :: alpha => omega"), (2, "! Disabled :: beta -> gone"), (3, "# no"), (4, "")], "line_no int, line string")
+    df = spark.createDataFrame([(1, "Street names :: Rd. => Road"), (2, " !Later :: a b -> "), (3, "  # a note => none"), (4, " "), (5, "x -> y => z")], "line_no int, line string")
     got = {tuple(r)[1:] for r in R.parse_rules(df).collect()}
-    assert got == {("Primary", "alpha", "omega", True), ("Disabled", "beta", "gone", False)}
+    assert got == {("Street names", "Rd.", "Road", True), ("Later", "a b", "", False), ("", "x", "y => z", True)}
 
 
 def test_classify(spark):
@@ -167,3 +168,57 @@ def test_preview_keeps_whole_characters(spark):
     got = {r.i: r.p for r in df.select("i", S.preview(F.col("t"), F.lit(0), 1, 1500).alias("p")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == t.strip().replace("  ", " ").encode()[:512].decode(errors="ignore")
+
+
+def literals(spark, *texts, find="old", put="new"):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [(r.r.text, r.r.matches) for r in df.select("i", R.replace_in_literals(F.col("t"), find, put).alias("r")).orderBy("i").collect()]
+
+
+def test_replace_in_literals(spark):
+    got = literals(
+        spark,
+        "INSERT INTO `old` VALUES (1, 'old', \"old\"); -- old it's\n/* 'old' */",
+        r"UPDATE t SET a = 'it''s old\nand \'old\' \\ \t', b = '';",
+        """INSERT INTO o VALUES ('a:1:{s:3:"old";s:5:"x old";}')""",
+        "SELECT old",
+        None,
+        "# 'old\nSELECT 'ol'",
+    )
+    assert got == [
+        ("INSERT INTO `old` VALUES (1, 'new', \"old\"); -- old it's\n/* 'old' */", 1),
+        ("UPDATE t SET a = 'it''s new\\nand ''new'' \\\\ \t', b = '';", 2),
+        ("""INSERT INTO o VALUES ('a:1:{s:3:"new";s:5:"x new";}')""", 2),
+        ("SELECT old", 0),
+        (None, 0),
+        ("# 'old\nSELECT 'ol'", 0),
+    ]
+    assert literals(spark, """INSERT INTO o VALUES ('s:3:"old";')""", put="newer") == [("""INSERT INTO o VALUES ('s:5:"newer";')""", 1)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["SELECT 'old", "DELIMITER ;;", "CREATE DEFINER=`a` PROCEDURE p() SELECT 'old'", "SET sql_mode='NO_BACKSLASH_ESCAPES'", "COPY t FROM stdin", "DO $$ x $$",
+     "INSERT INTO t VALUES ('old a:1:{s:3:\"old\";')", "INSERT INTO t VALUES ('" + "733a333a226f6c64223b" + "')"],
+)
+def test_replace_in_literals_refuses(spark, text):
+    with pytest.raises(Exception, match="is not closed|is not rewritten|cannot be rewritten|are read|malformed"):
+        literals(spark, text, find="733a" if "733a" in text else "old")
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "UTF-16LE", "UTF-16BE", "Windows-1251", "Windows-1252"])
+def test_search_in_encoded_files(spark, tmp_path, encoding):
+    codec, term = R.ENCODINGS[encoding], {"Windows-1251": "жук", "Windows-1252": "né"}.get(encoding, "é😀")
+    marks = {"UTF-8": b"\xef\xbb\xbf", "UTF-16LE": b"\xff\xfe", "UTF-16BE": b"\xfe\xff"}
+    text = f"a {term}, {term}{term} the THE " + ("慁愀" if encoding.startswith("UTF-") else "")  # holds the bytes of `a` off their places
+    for i, mark in enumerate([b"", marks[encoding]] if encoding in marks else [b""]):
+        (tmp_path / f"{i}.bin").write_bytes(mark + text.encode(codec))
+    df = Sources.read_binary(spark, f"file://{tmp_path}")
+    for find, fold in ((term, False), ("the", True), ("a", False)):
+        want = set()
+        for i in range(len(list(tmp_path.iterdir()))):
+            for m in re.finditer(re.escape(find), text, re.I if fold else 0):
+                mark = len(marks[encoding]) if i else 0
+                want.add((f"{i}.bin", m.start(), mark + len(text[: m.start()].encode(codec)), len(find.encode(codec))))
+        got = [(r.path.split("/")[-1], r.pos, r.offset, r.length) for r in S.find_encoded(df, "content", find, encoding, fold).collect()]
+        assert len(got) == len(want) and set(got) == want

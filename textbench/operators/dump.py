@@ -36,10 +36,14 @@ def counters(statements: DataFrame) -> DataFrame:
     return got.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in got.columns])))
 
 
+#: How a statement names a charset or a collation.
+CHARSET = r"(?i)\b(?:CHARSET|CHARACTER\s+SET)\s*=?\s*([A-Za-z0-9_]+)"
+COLLATION = r"(?i)\bCOLLATE\s*=?\s*([A-Za-z0-9_]+)"
+
+
 def named_settings(statements: DataFrame, what: str) -> DataFrame:
     """(name, n): how often each charset or collation is named, in lower case."""
-    word = {"charset": r"(?:CHARSET|CHARACTER\s+SET)", "collation": r"COLLATE"}[what]
-    pattern = rf"(?i)\b{word}\s*=?\s*([A-Za-z0-9_]+)"
+    pattern = {"charset": CHARSET, "collation": COLLATION}[what]
     names = statements.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
     return names.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"))
 
@@ -154,15 +158,48 @@ def islands(df: DataFrame, group: list[str], order: list[str], same: str, size:
     return rows.withColumn("batch", F.floor((place - 1) / size))
 
 
-def multi_inserts(statements: DataFrame, size: int = 100) -> DataFrame:
-    """Consecutive INSERTs with one head regrouped to at most `size` rows; any other statement or a comment starts anew."""
+def multi_inserts(statements: DataFrame, size: int = 100, most_bytes: int = 8 << 20, block: int = 1024) -> DataFrame:
+    """Consecutive INSERTs with one head regrouped to at most `size` rows and `most_bytes` bytes (or one longer row); any other
+    statement or a comment starts anew.
+
+    Runs of equal heads are found in blocks of `block` statements; only the blocks' ends and counts are put in line for a file.
+    """
+    if not 0 < size <= 10_000:
+        raise ValueError("1 to 10,000 rows")
     tuples = explode_inserts(statements).select("file", "stmt_no", "tuple_no", "head", "tuple")
     other = statements.filter(~F.col("kind").isin(*DATA)).select("file", "stmt_no", F.lit(0).alias("tuple_no"), F.concat(F.lit("\0"), F.col("stmt_no").cast("string")).alias("head"), F.col("text").alias("tuple"))
-    rows = islands(tuples.unionByName(other), ["file"], ["stmt_no", "tuple_no"], "head", size)
-    parts = rows.groupBy("file", "island", "batch").agg(F.min("stmt_no").alias("stmt_no"), F.first("head").alias("head"), F.sort_array(F.collect_list(F.struct("stmt_no", "tuple_no", "tuple"))).alias("t"))
+    rows = tuples.unionByName(other).withColumn("block", F.floor(F.col("stmt_no") / block))
+    inside = Window.partitionBy("file", "block").orderBy("stmt_no", "tuple_no")
+    rows = rows.withColumn("fresh", F.when(F.lag("head").over(inside).eqNullSafe(F.col("head")) | (F.row_number().over(inside) == 1), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("fresh").over(inside))
+    at = F.struct("stmt_no", "tuple_no")
+    blocks = rows.groupBy("file", "block").agg(F.min_by("head", at).alias("first"), F.max_by("head", at).alias("end"), F.max("run").alias("runs"))
+    line = Window.partitionBy("file").orderBy("block")
+    fresh = F.when(F.lag("end").over(line).eqNullSafe(F.col("first")), 0).otherwise(1)
+    blocks = blocks.withColumn("fresh", fresh).withColumn("base", F.sum(F.col("fresh")).over(line) + F.sum("runs").over(line) - F.col("runs"))
+    rows = rows.join(blocks.select("file", "block", "base"), ["file", "block"]).withColumn("island", F.col("base") + F.col("run"))
+    counts = rows.groupBy("file", "island", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", "island").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select("file", "island", "block", before.alias("before")), ["file", "island", "block"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("file", "island", "block").orderBy("stmt_no", "tuple_no")) - 1
+    rows = rows.withColumn("batch", F.floor(place / size))
+    parts = rows.groupBy("file", "island", "batch").agg(F.first("head").alias("head"), F.sort_array(F.collect_list(F.struct("stmt_no", "tuple_no", "tuple"))).alias("t"))
+
+    def packed(acc, x):
+        n = F.octet_length(x["tuple"]) + 1
+        part = F.when(acc["bytes"] + n > most_bytes, acc["part"] + 1).otherwise(acc["part"])
+        own = F.struct(part.alias("part"), x["stmt_no"].alias("stmt_no"), x["tuple"].alias("tuple"))
+        return F.struct(part.alias("part"), F.when(part > acc["part"], n).otherwise(acc["bytes"] + n).alias("bytes"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    # A batch has `size` rows at most, so that its parts fit one row; bytes count from the head on.
+    start = F.struct(F.lit(0).alias("part"), F.octet_length("head").alias("bytes"), F.array().cast("array<struct<part:int,stmt_no:bigint,tuple:string>>").alias("out"))
+    long = F.aggregate(F.transform("t", lambda x: F.octet_length(x["tuple"]) + 1), F.octet_length("head"), lambda a, n: a + n) > most_bytes
+    cut = F.when(long, F.aggregate("t", start, packed, lambda a: a["out"])).otherwise(F.transform("t", lambda x: F.struct(F.lit(0).alias("part"), x["stmt_no"].cast("long").alias("stmt_no"), x["tuple"].alias("tuple"))))
+    parts = parts.select("file", "island", "batch", "head", F.posexplode(cut).alias("i", "x")).groupBy("file", "island", "batch", F.col("x.part").alias("part"))
+    parts = parts.agg(F.min("x.stmt_no").alias("stmt_no"), F.first("head").alias("head"), F.sort_array(F.collect_list(F.struct("i", "x.tuple"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: x["tuple"]), ",")
     text = F.when(F.startswith("head", F.lit("\0")), joined).otherwise(F.concat("head", joined, F.lit(";")))
-    return parts.select("stmt_no", "island", "batch", text.alias("text")).orderBy("stmt_no", "island", "batch")
+    return parts.select("stmt_no", "island", "batch", "part", text.alias("text")).orderBy("stmt_no", "island", "batch", "part")
 
 
 def sample_fixture(statements: DataFrame, rows_per_table: int = 100) -> DataFrame:

@@ -175,12 +175,15 @@ def encoding_census(files: DataFrame, sample: int = 65536) -> DataFrame:
 
 
 def fingerprint_manifest(df: DataFrame, key: str, content: str, chunk: int = 4096) -> DataFrame:
-    """(key, chunk_no, bytes, sha256): hashes of fixed chunks of each row's content."""
+    """(key, chunk_no, bytes, sha256): hashes of fixed chunks of each row's content, made before the chunks become rows."""
     raw = F.col(content).cast("binary")
     last = F.greatest(F.floor((F.octet_length(raw) - 1) / chunk), F.lit(0)).cast("int")
-    rows = df.select(key, raw.alias("_raw"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    part = F.substring("_raw", F.col("chunk_no") * chunk + 1, F.lit(chunk))
-    return rows.select(key, "chunk_no", F.octet_length(part).cast("long").alias("bytes"), F.sha2(part, 256).alias("sha256"))
+
+    def hashed(i):
+        part = F.substring(raw, i * chunk + 1, F.lit(chunk))
+        return F.struct(i.alias("chunk_no"), F.octet_length(part).cast("long").alias("bytes"), F.sha2(part, 256).alias("sha256"))
+
+    return df.select(key, F.inline(F.transform(F.sequence(F.lit(0), last), hashed)))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

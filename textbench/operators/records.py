@@ -40,6 +40,19 @@ def preview(df: DataFrame, order_by: str, rows: int = 20) -> DataFrame:
     return df.orderBy(order_by).limit(rows)
 
 
+def bounded_prefix(df: DataFrame, order_by: str, size: Column, rows: int = 200, most_bytes: int = 4 << 20) -> DataFrame:
+    """The first rows in record order, at most `rows` and at most `most_bytes` of `size` together, with `truncated`: are there more?
+
+    Only rows + 1 rows leave the scan; the running size is taken over those.
+    """
+    few = df.orderBy(order_by).limit(rows + 1).withColumn("_size", size)
+    upto = Window.orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumns({"_upto": F.sum("_size").over(upto), "_place": F.row_number().over(Window.orderBy(order_by))})
+    kept = (F.col("_upto") <= most_bytes) & (F.col("_place") <= rows)
+    few = few.withColumn("truncated", F.min(kept).over(Window.partitionBy()) == F.lit(False))
+    return few.filter(kept).drop("_size", "_upto", "_place")
+
+
 def page(df: DataFrame, key: str, after, rows: int = 500) -> DataFrame:
     """The next rows behind a cursor (keyset paging: the filter reaches the scan)."""
     return df.filter(F.col(key) > F.lit(after)).orderBy(key).limit(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 
 import pandas as pd
@@ -231,6 +232,77 @@ def replace_serialized(c: Column, find: str, put: str) -> Column:
     return run(c)
 
 
+# --- string literals of SQL ---------------------------------------------------------------------------------------------
+
+#: What a statement consists of: comments, quoted identifiers and string literals; `bare` is the text of an unclosed literal.
+_SQL_PART = re.compile(r"--(?=\s|\Z)[^\n]*|\#[^\n]*|/\*.*?(?:\*/|\Z)|`(?:[^`]|``)*`|\"(?:[^\"\\]|\\.|\"\")*\"|'(?P<body>(?:[^'\\]|\\.|'')*)'|(?P<bare>')", re.S)
+#: MySQL's backslash escapes; any other character stands for itself.
+_ESCAPED = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
+_WRITTEN = str.maketrans({"\0": "\\0", "\n": "\\n", "\r": "\\r", "\\": "\\\\", "'": "''", "\x1a": "\\Z"})
+#: Code that may read strings in another way: routines, other delimiters, other escape rules, bulk data.
+_FOREIGN = re.compile(r"(?i)\bDELIMITER\b|NO_BACKSLASH_ESCAPES|\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:DEFINER|PROCEDURE|FUNCTION|TRIGGER|EVENT)\b|\bDO\s+\$|\bCOPY\s|\bSET\s+TERM\b|^GO\s*$", re.M)
+_PHP_PIECE = re.compile(rb"(?:\A|[;{])(?:[sSE]:\d+:\"|[aOC]:\d+:[{\"])")
+
+
+def _unwrapped(raw: bytes) -> list[bytes]:
+    """What a literal may hold in hexadecimal or base64 form."""
+    raw, out = raw.strip(), []
+    digits = raw[2:] if raw[:2].lower() == b"0x" else raw
+    if len(digits) >= 8 and re.fullmatch(rb"(?:[0-9A-Fa-f]{2})+", digits):
+        out.append(bytes.fromhex(digits.decode()))
+    if len(raw) >= 12 and len(raw) % 4 == 0 and re.fullmatch(rb"[A-Za-z0-9+/]+={0,2}", raw):
+        out.append(base64.b64decode(raw))
+    return out
+
+
+def rewrite_literals(statement: str, find: str, put: str) -> tuple[str, int]:
+    """(new statement, replacements): plain replacement in the decoded string literals only, which are then written anew."""
+    count, code = 0, []
+
+    def one(m: re.Match) -> str:
+        nonlocal count
+        if m["bare"]:
+            raise ValueError("a string literal is not closed")
+        if m["body"] is None:
+            return m[0]
+        value = re.sub(r"(?s)\\(.)|''", lambda e: "'" if e[1] is None else _ESCAPED.get(e[1], e[1]), m["body"])
+        if "NO_BACKSLASH_ESCAPES" in value.upper():
+            raise ValueError("a setting of the dump changes how its strings are read")
+        if find in value:
+            raw = value.encode()
+            if any(_PHP_PIECE.search(x) for x in _unwrapped(raw)) or (_PHP_PIECE.search(raw) and not _SERIALIZED.match(raw)):
+                raise ValueError("a literal holds a serialized value in a form that cannot be rewritten")
+            raw, n = rewrite_php(raw, find.encode(), put.encode())
+            value, count = raw.decode(), count + n
+        return "'" + value.translate(_WRITTEN) + "'"
+
+    out, at = [], 0
+    for m in _SQL_PART.finditer(statement):
+        code.append(statement[at : m.start()])
+        out += [code[-1], one(m)]
+        at = m.end()
+    code.append(statement[at:])
+    if _FOREIGN.search(" ".join(code)):
+        raise ValueError("a routine, delimiter, escape mode or bulk load that is not rewritten")
+    return "".join([*out, statement[at:]]), count
+
+
+def replace_in_literals(c: Column, find: str, put: str) -> Column:
+    """struct(text, matches) of a column of dump statements: replaced inside string literals only, serialized lengths kept right.
+
+    Comments and identifiers stay as they are. Routine bodies, DELIMITER, COPY, other escape modes, unclosed literals and
+    serialized values in hexadecimal or base64 form fail the job, so nothing is written.
+    """
+    if not find:
+        raise ValueError("an empty search text")
+
+    @F.pandas_udf("text string, matches int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, 0) if t is None else rewrite_literals(t, find, put) for t in s], columns=["text", "matches"])
+
+    return run(c)
+
+
 # --- encodings and line ends ------------------------------------------------------------------------------------------
 
 #: Encodings and their Python codecs.
@@ -254,18 +326,26 @@ def encode_text(c: Column, target: str, bom: bool | None = None) -> Column:
 
 def decode_bytes(c: Column, source: str) -> Column:
     """Binary to text, without a byte order mark; malformed input fails the job."""
-    codec, mark = ENCODINGS[source], _MARKS.get(source, b"")
+    codec = ENCODINGS[source]
+    if source in _MARKS:
+        skip = F.when(marked(c, source), F.lit(len(_MARKS[source]))).otherwise(F.lit(0))
+        return F.decode(F.substring(c, skip + 1, F.octet_length(c)), source)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: bytes(b).removeprefix(mark).decode(codec) if mark else bytes(b).decode(codec), na_action="ignore")
+        return s.map(lambda b: bytes(b).decode(codec), na_action="ignore")
 
     return run(c)
 
 
+def marked(c: Column, source: str) -> Column:
+    """Does binary content begin with the byte order mark of the encoding?"""
+    return F.startswith(c, F.lit(_MARKS[source])) if source in _MARKS else F.lit(False)
+
+
 def transcode(c: Column, source: str, target: str) -> Column:
     """Binary in one encoding to another; a UTF-8 mark stays with UTF-8."""
-    had = F.startswith(c, F.lit(_MARKS["UTF-8"])) if source == target == "UTF-8" else F.lit(False)
+    had = marked(c, "UTF-8") if source == target == "UTF-8" else F.lit(False)
     text = decode_bytes(c, source)
     return F.when(had, encode_text(text, target, True)).otherwise(encode_text(text, target))
 

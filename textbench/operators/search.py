@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +54,16 @@ def running_places(gaps: Column) -> Column:
     return run(gaps)
 
 
-def _size(*parts: Column) -> Column:
-    return F.struct(sum(map(F.length, parts[1:]), F.length(parts[0])).alias("chars"), sum(map(F.octet_length, parts[1:]), F.octet_length(parts[0])).cast("long").alias("bytes"))
+def _size(*parts: Column, width: Callable[[Column], Column] = F.octet_length) -> Column:
+    return F.struct(sum(map(F.length, parts[1:]), F.length(parts[0])).alias("chars"), sum(map(width, parts[1:]), width(parts[0])).cast("long").alias("bytes"))
 
 
-def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: bool = False) -> Column:
+def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: bool = False, width: Callable[[Column], Column] = F.octet_length) -> Column:
     """Starts (pos in characters, offset in bytes, from 0) of all matches of a literal, overlapping ones too, ascending.
 
     The text is split by the literal's look-ahead, so each piece but perhaps the first starts at a match, and the running
-    lengths of the pieces are the starts; the work is in proportion to the text, whatever the number of matches.
+    lengths of the pieces are the starts; the work is in proportion to the text, whatever the number of matches. `width` tells
+    how many bytes a piece has, for texts that come from another encoding.
     """
     if not pattern:
         raise ValueError("an empty search text")
@@ -75,7 +77,7 @@ def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: b
     # Where the text starts with a match, split makes no empty first piece.
     first = F.when(c.rlike(rf"^{look}"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     pieces = F.concat(first, F.split(F.coalesce(c, F.lit("")), rf"(?={look})", -1))
-    return running_places(F.transform(pieces, lambda s: _size(s)))
+    return running_places(F.transform(pieces, lambda s: _size(s, width=width)))
 
 
 def regex_at(c: Column, pattern: str) -> Column:
@@ -115,6 +117,23 @@ def find_regex(df: DataFrame, c: str, pattern: str, base: str | None = None, ign
     return rows.withColumns(own).drop("m__")
 
 
+def find_encoded(df: DataFrame, c: str, pattern: str, encoding: str, ignore_case: bool = False) -> DataFrame:
+    """A row for each match in binary content of an encoding (UTF-8, UTF-16LE, UTF-16BE, Windows-1251, Windows-1252): the columns
+    of df, pos (characters), offset and length (bytes of the content, its byte order mark included).
+
+    The content is decoded first, so UTF-16 matches are aligned by themselves and a term that the encoding lacks has none.
+    """
+    from textbench.operators.replace import ENCODINGS, decode_bytes, marked
+
+    single = not encoding.startswith("UTF-")
+    width = F.length if single else lambda x: F.octet_length(F.encode(x, encoding))
+    rows = df.withColumn("text__", decode_bytes(F.col(c), encoding))
+    rows = rows.withColumn("m__", F.explode(literal_at(F.col("text__"), pattern, ignore_case, width=width)))
+    mark = F.when(marked(F.col(c), encoding), F.lit(3 if encoding == "UTF-8" else 2)).otherwise(F.lit(0))
+    size = len(pattern) if single else len(pattern.encode(ENCODINGS[encoding]))
+    return rows.withColumns({"pos": F.col("m__.pos"), "offset": F.col("m__.offset") + mark, "length": F.lit(size)}).drop("m__", "text__")
+
+
 def before_offset(matches: DataFrame, order: list[str], upto: dict, k: int | None = None) -> DataFrame:
     """Backward search: the matches that start strictly before a place, nearest first."""
     (name, value), = upto.items()

@@ -12,7 +12,10 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,24 +38,83 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def read_lines(spark: SparkSession, path: str, min_splits: int | None = None) -> DataFrame:
-    """(file, offset, line) of one file: CR, LF and CRLF end lines; offsets count bytes of the file, a byte order mark too."""
-    kinds = ("org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    conf = {"mapreduce.input.fileinputformat.split.maxsize": str(min_splits)} if min_splits else {}
-    rows = spark.sparkContext.newAPIHadoopFile(path, *kinds, conf=conf)
-    return spark.createDataFrame(rows, "offset long, line string").select(F.lit(path).alias("file"), "offset", "line")
+def _pieces_at_cr(raw: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(lines, row, at): texts that end at LF cut at each lone CR; the row each comes from and its byte place in it."""
+    out, row, at = [], [], []
+    for i, x in enumerate(raw):
+        place = 0
+        for part in x.as_py().removesuffix(b"\r").split(b"\r"):
+            out.append(part)
+            row.append(i)
+            at.append(place)
+            place += len(part) + 1
+    return pa.array(out, pa.binary()), np.array(row, np.int64), np.array(at, np.int64)
+
+
+def _relative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(split, rel, no, line): byte and line places from the start of each split, whose rows come one after another."""
+    last, size, count = None, 0, 0
+    for batch in batches:
+        split, raw = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+        length = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        some = pc.any(pc.match_substring(raw, "\r")).as_py()
+        lines, row, at = _pieces_at_cr(raw) if some else (raw, np.arange(len(raw)), np.zeros(len(raw), np.int64))
+        new = np.r_[True, split[1:] != split[:-1]] if len(split) else np.zeros(0, bool)
+        begin = np.cumsum(length) - length
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        rel = begin[row] - begin[first][group[row]] + at
+        lead = np.searchsorted(row, first)
+        no = np.arange(len(row)) - lead[group[row]]
+        if len(split) and split[0] == last:
+            rel[group[row] == 0] += size
+            no[group[row] == 0] += count
+        if len(split):
+            last, size, count = split[-1], int(rel[-1]) + int(length[-1]) - int(at[-1]), int(no[-1]) + 1
+        text = lines.cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+        yield pa.record_batch([pa.array(split[row]), pa.array(rel), pa.array(no, pa.int64()), text], ["split", "rel", "no", "line"])
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.col("_metadata.file_block_start").alias("split"), "value", F.col("_metadata.file_size").alias("size"))
+
+
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(split, rel, no, line) of one file, the rows of a split in file order; splits are those of Spark's text reader."""
+    return _scan(spark, path).select("split", "value").mapInArrow(_relative, "split long, rel long, no long, line string")
+
+
+def _bases(spark: SparkSession, path: str) -> DataFrame:
+    """(split, base, lines, mark): bytes and lines before each split, and the bytes of a byte order mark (that the reader drops).
+
+    Lines never overlap splits as the reader deals them out, so the sums of earlier splits are the place of a split's first line.
+    """
+    value = F.col("value")
+    breaks = F.length(value) - F.length(F.replace(value, F.lit("\r"))) - F.endswith(value, F.lit("\r")).cast("int")
+    sums = _scan(spark, path).groupBy("split").agg(F.sum(F.octet_length(value).cast("long") + 1).alias("bytes"), F.sum((1 + breaks).cast("long")).alias("n"), F.max("size").alias("size"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.max("size").over(Window.partitionBy()) - F.sum("bytes").over(Window.partitionBy()) > 1, F.lit(3)).otherwise(F.lit(0))
+    at = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return sums.select("split", at("bytes").alias("base"), at("n").alias("lines"), mark.alias("mark"))
+
+
+def _placed(rows: DataFrame, bases: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` with their split's bases; `columns` hold places within the split and become offsets in the file. What starts the
+    file starts at 0, before its byte order mark."""
+    rows = rows.join(bases, "split")
+    place = lambda c: F.when((F.col("split") == 0) & (F.col(c) == 0), F.lit(0)).otherwise(F.col(c) + F.col("base") + F.col("mark")).cast("long")
+    return rows.withColumns({c: place(c) for c in columns})
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """`lines` of `read_lines` with line_no from 1: counts of the splits are summed on the driver, lines within their split."""
-    own = lines.withColumn("_split", F.spark_partition_id())
-    ends = sorted((r[0], r[1]) for r in own.groupBy("_split").count().collect())
-    before, total = {}, 0
-    for split, n in ends:
-        before[split], total = total, total + n
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_split")) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_split").orderBy("offset"))
-    return own.withColumn("line_no", (place + shift).cast("long")).drop("_split")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, offset, line) of one file: CR, LF and CRLF end lines; offsets count bytes of the file, a byte order mark too.
+
+    The file is read twice by Spark's text reader, in splits of `spark.sql.files.maxPartitionBytes`: for the sums of each split,
+    and for the lines, which are placed within their split in Arrow batches. A stretch without LF is read as a whole.
+    """
+    rows = _placed(_split_lines(spark, path), _bases(spark, path), ["rel"])
+    return rows.select(F.lit(path).alias("file"), (F.col("no") + F.col("lines") + 1).alias("line_no"), F.col("rel").alias("offset"), "line")
 
 
 # --- delimited text ---------------------------------------------------------------------------------------------------
@@ -104,9 +166,14 @@ def _chained(lines: DataFrame, states: list, step) -> tuple[dict[int, object], d
     """For each split (in file order), the state it starts in and how many units earlier splits have closed."""
 
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, closed, split = {s: s for s in states}, dict.fromkeys(states, 0), None
+        at, closed, split = {}, {}, None
+        done = lambda: pd.DataFrame({"split": split, "s": [str(s) for s in states], "e": [str(at[s]) for s in states], "n": [closed[s] for s in states]})
         for pdf in batches:
-            for line in pdf["line"]:
+            for own, line in zip(pdf["split"], pdf["line"]):
+                if own != split:
+                    if split is not None:
+                        yield done()
+                    at, closed, split = {s: s for s in states}, dict.fromkeys(states, 0), int(own)
                 seen = {}
                 for s in states:
                     now = at[s]
@@ -114,12 +181,10 @@ def _chained(lines: DataFrame, states: list, step) -> tuple[dict[int, object], d
                         seen[now] = step(line, now)
                     at[s], n = seen[now]
                     closed[s] += n
-            if len(pdf):
-                split = int(pdf["split"].iloc[0])
         if split is not None:
-            yield pd.DataFrame({"split": split, "s": [str(s) for s in states], "e": [str(at[s]) for s in states], "n": [closed[s] for s in states]})
+            yield done()
 
-    rows = lines.withColumn("split", F.spark_partition_id()).select("split", "line").mapInPandas(summary, "split int, s string, e string, n long").collect()
+    rows = lines.select("split", "line").mapInPandas(summary, "split long, s string, e string, n long").collect()
     table = {(r.split, r.s): (r.e, r.n) for r in rows}
     start, before, state, total = {}, {}, str(states[0]), 0
     by_name = {str(s): s for s in states}
@@ -130,31 +195,30 @@ def _chained(lines: DataFrame, states: list, step) -> tuple[dict[int, object], d
     return start, before
 
 
-def read_records(spark: SparkSession, path: str, sep: str = ",", split_bytes: int | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """The strict and ragged tier: (record_no, fields ARRAY<STRING>) of a UTF-8 file whose records end with LF or CRLF.
 
     Blank lines are skipped, a byte order mark is dropped, quoted line ends stay (as LF); anything malformed fails the job. A
     lone CR ends a line here. record_no numbers the non-blank records in file order, with gaps where blank lines were.
     """
     sep = delimiter(sep)
-    lines = read_lines(spark, path, split_bytes)
+    lines = _split_lines(spark, path)
     start, before = _chained(lines, [0, 1], _quotes)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, no = None, 0
+        split, state, no = None, None, 0
         for pdf in batches:
             out = []
-            for split, offset, line in zip(pdf["split"], pdf["offset"], pdf["line"]):
-                if state is None:
-                    state, no = start[int(split)], before[int(split)]
-                line = line.removeprefix("﻿") if offset <= 3 else line
-                out.append((no, offset, line, state))
+            for own, at, line in zip(pdf["split"], pdf["no"], pdf["line"]):
+                if own != split:
+                    split, state, no = own, start[int(own)], before[int(own)]
+                out.append((no, own, at, line))
                 state, n = _quotes(line, state)
                 no += n
-            yield pd.DataFrame(out, columns=["no", "offset", "line", "inside"])
+            yield pd.DataFrame(out, columns=["no", "split", "at", "line"])
 
-    cut = lines.withColumn("split", F.spark_partition_id()).select("split", "offset", "line").mapInPandas(pieces, "no long, offset long, line string, inside int")
-    whole = cut.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("parts"))
+    cut = lines.select("split", "no", "line").mapInPandas(pieces, "no long, split long, at long, line string")
+    whole = cut.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("parts"))
 
     @F.pandas_udf("array<string>")
     def parse(s: pd.Series) -> pd.Series:
@@ -243,34 +307,35 @@ def classified(statements: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": F.coalesce(kind, F.lit("other")), "database": database, "table": table, "hazard": hazard}).drop("_body")
 
 
-def read_statements(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """(file, stmt_no, start, end, text, closed, kind, database, table, hazard) of a SQL dump.
 
     Statements end at a `;` outside quotes and comments; start and end are byte offsets; line ends in text are LF. A large dump
     is read in splits; the pieces of a statement meet by its number. What follows the last `;` comes out as not closed, unless
     it is blank.
     """
-    lines = read_lines(spark, path, split_bytes)
+    lines = _split_lines(spark, path)
     start, before = _chained(lines, STATES, _closed)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, no = None, 0
+        split, state, no = None, None, 0
         for pdf in batches:
             out = []
-            for split, offset, line in zip(pdf["split"], pdf["offset"], pdf["line"]):
-                if state is None:
-                    state, no = start[int(split)], before[int(split)]
+            for own, offset, line in zip(pdf["split"], pdf["rel"], pdf["line"]):
+                if own != split:
+                    split, state, no = own, start[int(own)], before[int(own)]
                 state, ends = scan_line(line, state)
                 at = 0
                 for end in ends:
                     lo = offset + len(line[:at].encode())
-                    out.append((no, lo, lo + len(line[at : end + 1].encode()), line[at : end + 1], True))
+                    out.append((no, own, lo, len(line[at : end + 1].encode()), line[at : end + 1], True))
                     no, at = no + 1, end + 1
                 lo = offset + len(line[:at].encode())
-                out.append((no, lo, lo + len(line[at:].encode()), line[at:], False))
-            yield pd.DataFrame(out, columns=["no", "start", "end", "piece", "closed"])
+                out.append((no, own, lo, len(line[at:].encode()), line[at:], False))
+            yield pd.DataFrame(out, columns=["no", "split", "start", "size", "piece", "closed"])
 
-    cut = lines.withColumn("split", F.spark_partition_id()).select("split", "offset", "line").mapInPandas(pieces, "no long, start long, end long, piece string, closed boolean")
+    cut = lines.select("split", "rel", "line").mapInPandas(pieces, "no long, split long, start long, size long, piece string, closed boolean")
+    cut = _placed(cut, _bases(spark, path), ["start"]).withColumn("end", F.col("start") + F.col("size"))
     whole = cut.groupBy("no").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "piece"))).alias("p"), F.max("end").alias("end"), F.bool_or("closed").alias("closed")
     )

@@ -145,9 +145,12 @@ def byte_ranges(files: DataFrame, per_part: int, size: str = "length") -> DataFr
 
 
 def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The bytes of each range: `binaryFile` rows joined by path, with their SHA-256."""
-    rows = ranges.join(files.select("path", "content"), "path")
-    return rows.withColumn("bytes", F.substring("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))).drop("content").withColumn("sha256", F.sha2("bytes", 256))
+    """(path, part, start, end, bytes, sha256): the bytes of each range of `binaryFile` rows. A file meets its ranges once."""
+    own = ranges.groupBy("path").agg(F.collect_list(F.struct("part", "start", "end")).alias("ranges"))
+    piece = lambda r: F.substring("content", r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int"))  # noqa: E731  Spark holds files of 2 GB at most
+    cut = F.transform("ranges", lambda r: F.struct(r["part"].alias("part"), r["start"].alias("start"), r["end"].alias("end"), piece(r).alias("bytes")))
+    rows = files.select("path", "content").join(own, "path").select("path", F.inline(cut))
+    return rows.withColumn("sha256", F.sha2("bytes", 256))
 
 
 def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
@@ -179,7 +182,32 @@ def table_manifest(statements: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def write_by_table(statements: DataFrame, path: str) -> None:
-    """A folder for each table with its statements in order."""
-    named = statements.filter("table IS NOT NULL").withColumn("table_key", F.concat_ws(".", F.nullif("database", F.lit("")), "table"))
-    named.repartition("table_key").sortWithinPartitions("table_key", "start").select("table_key", F.col("text").alias("value")).write.mode("errorifexists").partitionBy("table_key").text(path)
+def split_manifest(statements: DataFrame, bucket: int = 4096) -> DataFrame:
+    """The manifest of a split by table: database, table, name (portable, unique also without regard to case), bytes, regions,
+    first, last, charsets (named in its statements, in lower case and order) and sha256.
+
+    sha256 covers the hashes of the table's statements in order: first of each `bucket` statement numbers, then of those, so a
+    table of any size is hashed without being gathered.
+    """
+    from textbench.functions.exprs import safe_file_name_full
+    from textbench.operators.dump import CHARSET, unique_names
+
+    key = ["database", "table"]
+    rows = statements.filter("table IS NOT NULL")
+    rows = rows.withColumn("names", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CHARSET), F.lit(1)), lambda x: F.lower(x))))
+    hashed = lambda at, what: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what]), ""), 256)
+    parts = rows.withColumn("own", F.sha2("text", 256)).withColumn("bucket", F.floor(F.col("stmt_no") / bucket)).groupBy(*key, "bucket")
+    parts = parts.agg(hashed("stmt_no", "own").alias("own"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.count("*").alias("regions"), F.min("start").alias("first"), F.max("end").alias("last"))
+    out = parts.groupBy(*key).agg(
+        F.sum("bytes").alias("bytes"), F.sum("regions").alias("regions"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("charsets"), hashed("bucket", "own").alias("sha256"),
+    )
+    name = safe_file_name_full(F.concat_ws(".", F.nullif("database", F.lit("")), "table"))
+    return unique_names(out.withColumn("name", name), "name", "first").select(*key, "name", "bytes", "regions", "first", "last", "charsets", "sha256")
+
+
+def write_by_table(statements: DataFrame, path: str, manifest: DataFrame | None = None) -> None:
+    """A folder for each table with its statements in order, named as in `manifest`, by default that of `split_manifest`."""
+    names = (split_manifest(statements) if manifest is None else manifest).select("database", "table", "name")
+    named = statements.filter("table IS NOT NULL").join(names, ["database", "table"])
+    named.repartition("name").sortWithinPartitions("name", "start").select("name", F.col("text").alias("value")).write.mode("errorifexists").partitionBy("name").text(path)
