@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20) -> DataFr
     and longest_run are replaced), whatever their names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "longest_run")]
-    rows = docs.select(F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*names).alias("own"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("own"))
     array = Suffixes(rows.select("k", "doc_id", "text"), long_words)
     gone = array.later(depth).select("k", F.explode(F.sequence("at", F.col("at") + depth - 1)).alias("at")).unionByName(array.later(1).filter("long").select("k", "at"))
     found = gone.groupBy("k").agg(F.collect_set("at").alias("gone"))
