@@ -117,6 +117,11 @@ def has_header(records: DataFrame, file: str = "file", order_by: str = "record_n
     return rows.select(file, F.coalesce(ok, F.lit(False)).alias("header"))
 
 
+def column_guide(df: DataFrame, most: int = 500) -> DataFrame:
+    """(number, name, type) of the first columns by the inferred types: what an export by number needs to name."""
+    return infer_schema(df).filter(F.col("column_no") <= most).select(F.col("column_no").alias("number"), F.col("column").alias("name"), "type")
+
+
 # --- censuses ---------------------------------------------------------------------------------------------------------
 
 

@@ -48,12 +48,20 @@ def region_overlaps(table, spark):
     return D.overlaps(rows, ["l_orderkey"])
 
 
-@query("SELECT range_start, range_end, prior_end FROM (SELECT o_orderkey * 10 AS range_start, o_orderkey * 10 + o_custkey % 200 AS range_end, o_custkey, lag(o_orderkey * 10 + o_custkey % 200) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prior_end FROM orders) WHERE prior_end > range_start")
+_RANGES = "r AS (SELECT o_custkey, o_orderkey * 10 AS \"start\", o_orderkey * 10 + o_custkey % 200 AS \"end\" FROM orders)"
+
+
+@query(f"WITH {_RANGES} SELECT * FROM (SELECT *, max(\"end\") OVER (PARTITION BY o_custkey ORDER BY \"start\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r) WHERE upto > \"start\" OR \"end\" < \"start\"")
 def range_overlap_check(table, spark):
-    from pyspark.sql import Window
+    rows = table("orders").select("o_custkey", (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 200).alias("end"))
+    return D.overlaps(rows, ["o_custkey"])
 
-    rows = table("orders").select("o_custkey", (F.col("o_orderkey") * 10).alias("range_start"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 200).alias("range_end"))
-    return rows.withColumn("prior_end", F.lag("range_end").over(Window.partitionBy("o_custkey").orderBy("range_start"))).filter("prior_end > range_start").drop("o_custkey")
+
+@query("WITH g AS (SELECT n_nationkey * 20000 AS range_start, n_nationkey * 20000 + 12000 AS range_end FROM nation) SELECT o_orderkey, \"start\", \"end\", range_start, range_end FROM (SELECT o_orderkey, o_orderkey * 10 AS \"start\", o_orderkey * 10 + 10 AS \"end\" FROM orders) JOIN g ON \"start\" >= range_start AND \"end\" <= range_end")
+def export_ranges(table, spark):
+    records = table("orders").select("o_orderkey", (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 10).alias("end"))
+    ranges = table("nation").select((F.col("n_nationkey") * 20000).alias("range_start"), (F.col("n_nationkey") * 20000 + 12000).alias("range_end"))
+    return sinks.export_ranges(records, ranges)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -87,6 +95,19 @@ def split_manifest(table, spark):
     return sinks.table_manifest(_statements(table), ["database", "table"])
 
 
+_NOTES = "CASE c_custkey % 3 WHEN 0 THEN 'CREATE TABLE x (a INT) CHARSET=UTF8MB4' WHEN 1 THEN 'CREATE TABLE x (a INT) CHARACTER SET latin1' ELSE c_name END"
+
+
+@query(f"""WITH s AS (SELECT c_mktsegment AS \"table\", c_custkey AS no, {_NOTES} AS t FROM customer),
+h AS (SELECT \"table\", no // 4096 AS b, sha256(string_agg(sha256(t), '' ORDER BY no)) AS own FROM s GROUP BY ALL),
+n AS (SELECT \"table\", string_agg(DISTINCT lower(c), ',' ORDER BY lower(c)) AS charsets FROM (SELECT \"table\", unnest(regexp_extract_all(t, '(CHARSET=|CHARACTER SET )(\\w+)', 2)) AS c FROM s) GROUP BY ALL)
+SELECT 'db' AS \"database\", s.\"table\", 'db.' || s.\"table\" AS name, (7 * count(*))::BIGINT AS bytes, count(*)::BIGINT AS regions, min(no * 10) AS first, max(no * 10 + 7) AS last, any_value(charsets) AS charsets,
+(SELECT sha256(string_agg(own, '' ORDER BY b)) FROM h WHERE h.\"table\" = s.\"table\") AS sha256 FROM s LEFT JOIN n USING (\"table\") GROUP BY s.\"table\" """)
+def split_by_table(table, spark):
+    rows = table("customer").select(F.lit("db").alias("database"), F.col("c_mktsegment").alias("table"), F.col("c_custkey").alias("stmt_no"), F.expr(_NOTES).alias("text"), (F.col("c_custkey") * 10).alias("start"), (F.col("c_custkey") * 10 + 7).alias("end"))
+    return sinks.split_manifest(rows).withColumn("charsets", F.concat_ws(",", "charsets"))
+
+
 # --- schema diff: old and new versions of rows, one table for each part or customer ------------------------------------
 
 

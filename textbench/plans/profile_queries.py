@@ -29,7 +29,7 @@ def infer_schema(table, spark):
 
 @query(f"WITH {_CELLS} SELECT DISTINCT column_no AS number, \"column\" AS name, {_TYPES} AS type FROM c")
 def column_guide(table, spark):
-    return P.infer_schema(_lineitem(table)).filter("column_no <= 500").select(F.col("column_no").alias("number"), F.col("column").alias("name"), "type")
+    return P.column_guide(_lineitem(table))
 
 
 @query(f"WITH {_CELLS} SELECT column_no, \"column\", count(*) FILTER ({_KNOWN}) AS non_null, count(*) FILTER (NOT ({_KNOWN})) AS null_count, count(DISTINCT value) FILTER ({_KNOWN}) AS distinct_count, min(value) FILTER ({_KNOWN}) AS min_value, max(value) FILTER ({_KNOWN}) AS max_value, {_TYPES} AS type FROM c GROUP BY column_no, \"column\"")
@@ -82,13 +82,19 @@ def file_type_census(table, spark):
     return table("documents").select(kind.alias("type"), "n_chars").groupBy("type").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT doc_id, i::INT AS chunk_no, length(c)::BIGINT AS bytes, sha256(c) AS sha256 FROM (SELECT doc_id, i, substr(lang || source, (i * 4 + 1)::BIGINT, 4) AS c FROM (SELECT doc_id, lang, source, unnest(range((length(lang || source) + 3) // 4)) AS i FROM documents))")
+def _chunks(text: str, where: str = "true") -> str:
+    return f"SELECT doc_id, i::INT AS chunk_no, encode(t)[(i * 4096 + 1):(i * 4096 + 4096)] AS c FROM (SELECT doc_id, t, unnest(range(greatest((strlen(t) + 4095) // 4096, 1))) AS i FROM (SELECT doc_id, {text} AS t FROM documents WHERE {where}))"
+
+
+@query(f"SELECT doc_id, chunk_no, octet_length(c)::BIGINT AS bytes, sha256(c) AS sha256 FROM ({_chunks('text')})")
 def content_fingerprint(table, spark):
-    return P.fingerprint_manifest(table("documents").select("doc_id", F.concat("lang", "source").alias("c")), "doc_id", "c", 4)
+    return P.fingerprint_manifest(table("documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("SELECT doc_id, 0 AS chunk_no, CASE doc_id % 10 WHEN 3 THEN 'added' WHEN 4 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (3, 4, 5)")
+@query(f"""WITH a AS ({_chunks('text', 'doc_id % 10 <> 3')}), b AS ({_chunks("CASE doc_id % 10 WHEN 5 THEN text || ' more' ELSE text END", 'doc_id % 10 <> 4')})
+SELECT doc_id, chunk_no, CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id, chunk_no) WHERE sha256(a.c) IS DISTINCT FROM sha256(b.c)""")
 def fingerprint_diff(table, spark):
-    rows = table("documents").select("doc_id", "lang")
-    old, new = rows.filter("doc_id % 10 <> 3"), rows.filter("doc_id % 10 <> 4").withColumn("lang", F.when(F.col("doc_id") % 10 == 5, "xx").otherwise(F.col("lang")))
-    return P.manifest_diff(*(P.fingerprint_manifest(x, "doc_id", "lang") for x in (old, new)), ["doc_id", "chunk_no"])
+    rows = table("documents").select("doc_id", "text")
+    old = rows.filter("doc_id % 10 <> 3")
+    new = rows.filter("doc_id % 10 <> 4").withColumn("text", F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    return P.manifest_diff(*(P.fingerprint_manifest(x, "doc_id", "text") for x in (old, new)), ["doc_id", "chunk_no"])

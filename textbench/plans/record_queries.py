@@ -127,6 +127,11 @@ def preview_rows(table, spark):
     return R.preview(table("orders"), "o_orderkey")
 
 
+@query("SELECT doc_id, text, (SELECT count(*) FROM documents) > count(*) OVER () AS truncated FROM (SELECT *, sum(strlen(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY doc_id) AS place FROM documents) WHERE upto <= 400000 AND place <= 200")
+def prefix_bytes(table, spark):
+    return R.bounded_prefix(table("documents").select("doc_id", "text"), "doc_id", F.octet_length("text"), 200, 400_000)
+
+
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
 _NUMBERS = "CASE doc_id % 6 WHEN 0 THEN '0' || n_chars WHEN 1 THEN '-' || n_chars WHEN 2 THEN n_chars || '.50' WHEN 3 THEN n_chars || 'e5' WHEN 4 THEN '+' || n_chars ELSE source END"
@@ -137,10 +142,10 @@ def json_number_flag(table, spark):
     return table("documents").select("doc_id", F.expr(_NUMBERS).alias("v")).withColumn("is_number", E.json_number(F.col("v")))
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(v, '^[ -\[\]-~]*$') THEN '''' || replace(v, '''', '''''') || '''' ELSE 'CONVERT(X''' || hex(v) || ''' USING utf8mb4)' END AS literal FROM (SELECT doc_id, substr(text, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN '''' WHEN doc_id % 3 = 1 THEN '\' ELSE '' END AS v FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(v, '^[ -\[\]-~]*$') THEN '''' || replace(v, '''', '''''') || '''' ELSE 'CONVERT(X''' || hex(v) || ''' USING utf8mb4)' END AS literal FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '''' WHEN doc_id % 3 = 1 THEN '\' ELSE '' END AS v FROM documents)")
 def sql_literals(table, spark):
     tail = F.when(F.col("doc_id") % 3 == 0, "'").when(F.col("doc_id") % 3 == 1, "\\").otherwise("")
-    return table("documents").select("doc_id", E.sql_literal(F.concat(F.substring("text", 1, 40), tail)).alias("literal"))
+    return table("documents").select("doc_id", E.sql_literal(F.concat("text", tail)).alias("literal"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(v) BETWEEN 1 AND 64 THEN '`' || replace(v, '`', '``') || '`' END AS identifier FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN '`x' ELSE '' END AS v FROM part)")

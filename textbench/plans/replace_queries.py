@@ -64,9 +64,26 @@ def replace_serialized(table, spark):
     return table("pages").select("page_id", R.replace_serialized(value, "example", "replaced-host").alias("r")).select("page_id", "r.text", "r.matches")
 
 
-@query("SELECT doc_id, 'FFFE' || array_to_string(list_transform(string_split(v, ''), lambda c: hex(chr(unicode(c) % 256)) || '00'), '') AS bytes FROM (SELECT doc_id, regexp_replace(lang || source, '[^a-z0-9]', '', 'g') AS v FROM documents)")
+def _utf16(text: str) -> str:
+    """The UTF-16LE bytes of a text in hexadecimal, surrogates included."""
+    unit = "lpad(hex(({u}) % 256), 2, '0') || lpad(hex(({u}) // 256), 2, '0')"
+    one, high, low = (unit.format(u=u) for u in ("unicode(c)", "(55296 + (unicode(c) - 65536) // 1024)", "(56320 + (unicode(c) - 65536) % 1024)"))
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN '' WHEN unicode(c) < 65536 THEN {one} ELSE {high} || {low} END), '')"
+
+
+@query(f"SELECT doc_id, 'FFFE' || {_utf16('text')} AS bytes FROM documents")
 def encode_utf16(table, spark):
-    return table("documents").select("doc_id", F.hex(R.encode_text(F.regexp_replace(F.concat("lang", "source"), "[^a-z0-9]", ""), "UTF-16LE")).alias("bytes"))
+    return table("documents").select("doc_id", F.hex(R.encode_text(F.col("text"), "UTF-16LE")).alias("bytes"))
+
+
+_WRITTEN = r"replace(replace(replace(replace(replace(text, '\', '\\'), chr(39), chr(39) || chr(39)), chr(10), '\n'), chr(13), '\r'), chr(26), '\Z')"
+
+
+@query(f"SELECT doc_id, 'INSERT INTO `the` VALUES (' || doc_id || ', ' || chr(39) || replace({_WRITTEN}, 'the', 'THE') || chr(39) || '); -- the' AS text, ((length(text) - length(replace(text, 'the', ''))) // 3)::INT AS matches FROM documents")
+def replace_literals(table, spark):
+    written = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    row = F.concat(F.lit("INSERT INTO `the` VALUES ("), F.col("doc_id").cast("string"), F.lit(", '"), written, F.lit("'); -- the"))
+    return table("documents").select("doc_id", R.replace_in_literals(row, "the", "THE").alias("r")).select("doc_id", "r.text", "r.matches")
 
 
 @query("SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)) AS text, length(text) - length(replace(text, chr(10), '')) AS n FROM documents")
@@ -74,17 +91,17 @@ def line_endings_crlf(table, spark):
     return table("documents").select("doc_id", R.convert_line_ends(F.col("text"), "\r\n").alias("text"), R.count_line_ends(F.col("text")).cast("long").alias("n"))
 
 
-@query("SELECT line_no, hex(encode(line)) AS bytes FROM (SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, regexp_replace(line, '[^ -~]', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE line_no BETWEEN 100 AND 300")
+@query("SELECT line_no, hex(encode(line)) AS bytes FROM (SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE line_no BETWEEN 100 AND 300")
 def line_range_utf8(table, spark):
     from textbench.plans.record_queries import lines_numbered
 
     rows = lines_numbered(table, spark).filter("line_no BETWEEN 100 AND 300")
-    return rows.select("line_no", F.hex(R.encode_text(F.regexp_replace("line", "[^ -~]", ""), "UTF-8")).alias("bytes"))
+    return rows.select("line_no", F.hex(R.encode_text(F.col("line"), "UTF-8")).alias("bytes"))
 
 
-@query("SELECT line_no, 'FFFE' || array_to_string(list_transform(string_split(line, ''), lambda c: CASE WHEN c = '' THEN '' ELSE hex(c) || '00' END), '') AS bytes FROM (SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, regexp_replace(line, '[^ -~]', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE line_no BETWEEN 100 AND 300")
+@query(f"SELECT line_no, 'FFFE' || {_utf16('line')} AS bytes FROM (SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE line_no BETWEEN 100 AND 300")
 def line_range_utf16(table, spark):
     from textbench.plans.record_queries import lines_numbered
 
     rows = lines_numbered(table, spark).filter("line_no BETWEEN 100 AND 300")
-    return rows.select("line_no", F.hex(R.encode_text(F.regexp_replace("line", "[^ -~]", ""), "UTF-16LE")).alias("bytes"))
+    return rows.select("line_no", F.hex(R.encode_text(F.col("line"), "UTF-16LE")).alias("bytes"))

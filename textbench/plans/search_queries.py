@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textbench.operators import search as S
+from textbench.operators.replace import encode_text
 from textbench.plans.registry import query
 
 _TERM = "the"
@@ -43,6 +44,12 @@ def search_whole_word(table, spark):
     return S.find_plain(_docs(table), "text", _TERM, whole_word=True).select("doc_id", "pos")
 
 
+@query(f"SELECT doc_id, pos::INT AS pos, (2 + 2 * (pos + length(regexp_replace(substr(text, 1, pos::BIGINT), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))))::BIGINT AS \"offset\", 6 AS length FROM ({_places('text', _TERM)}) JOIN documents USING (doc_id)")
+def search_encoded(table, spark):
+    rows = table("documents").select("doc_id", encode_text(F.col("text"), "UTF-16BE").alias("content"))
+    return S.find_encoded(rows, "content", _TERM, "UTF-16BE").select("doc_id", "pos", "offset", "length")
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, 'th[a-z]+e')) AS n FROM documents")
 def search_regex_counts(table, spark):
     return _docs(table).select("doc_id", S.regex_count(F.col("text"), "th[a-z]+e").alias("n"))
