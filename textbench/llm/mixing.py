@@ -11,8 +11,8 @@ from textbench.llm.shared import staged
 
 #: Words are runs of other code points than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Fixed number of hash ranges a source's queue is cut into, and of ranges of virtual time.
-RANGES, TICKS = 4096, 1 << 16
+#: A source's queue is cut into 16 ** DIGITS ranges of its shuffle hash; virtual time into TICKS ranges.
+DIGITS, TICKS = 4, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +60,7 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     carry = carry or []
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.struct(F.lit(0).alias("_"), *carry).alias("more"))
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("o", order).withColumn("cut", F.conv(F.substring("o", 1, 3), 16, 10).cast("int"))
+    rows = rows.withColumn("o", order).withColumn("cut", F.conv(F.substring("o", 1, DIGITS), 16, 10).cast("int"))
     cuts = rows.groupBy("source", "cut").agg(F.sum("size").alias("cut_size"))
     sizes = cuts.groupBy("source").agg(F.sum("cut_size").alias("source_size"))
     goal = targets(sizes, weights, share, most)

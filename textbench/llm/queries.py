@@ -149,6 +149,16 @@ kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS m,
 SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
 
+_OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT t, min(page_id) AS f FROM p GROUP BY t),
+v AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(h, (5 * g + 1)::BIGINT, 5))::INT) AS parts FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(parts, lambda n: array_to_string(list_transform([32768, 1024, 32, 1], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n // s) % 32 + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM v JOIN first USING (t)
+"""
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -193,4 +203,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": _OP2, "op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_ngram_join": _OP2, "op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op7_warc": _OP7, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}

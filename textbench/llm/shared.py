@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from textbench.llm.flat import mix
 
@@ -19,17 +22,39 @@ SLICE_BYTES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new temporary one only where the session names none."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`. Where it is unset, a local session gets a temporary
+    folder that goes with the process; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that staged() and the archive writer have made in this process.
+_MADE: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing else has."""
+    _MADE.append(f"{shared_dir(spark)}/textbench-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this process has staged; to be called once the results that read them are written."""
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/textbench-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -84,9 +109,12 @@ def spread_join(rows: DataFrame, small: DataFrame, counts: DataFrame, on: list[s
     return dealt.join(held, [*on, "part__"], how).drop("part__")
 
 
-def bounded(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """`df` (a staged table), marked for broadcast only if it has at most `most` rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """`df` (a staged table of numbers), marked for broadcast only if its rows, with 32 bytes each for the hash table, take at most
+    `most_bytes`; else Spark shuffles it."""
+    if any(not isinstance(f.dataType, (NumericType, BooleanType)) for f in df.schema):
+        raise TypeError("only columns of a fixed size have a bound")
+    return F.broadcast(df) if df.count() * (32 + 8 * len(df.columns)) <= most_bytes else df
 
 
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

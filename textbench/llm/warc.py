@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.shared import bounded, row_key, shared_dir, staged
+from textbench.llm.shared import bounded, new_path, row_key, spread_join, staged
 
 #: Records of a new archive file until its payloads reach so many bytes; bytes that are read at once.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 20
@@ -206,8 +206,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("k", row_key("page_id", "url", "html"))
     html, last = F.coalesce("html", F.lit("")), F.coalesce("page_id", F.lit(_LAST))
     marks = rows.select("k", last.alias("p"), F.sha1(html.cast("binary")).alias("s"), F.octet_length(html).alias("n")).filter(F.col("n") >= least_bytes)
-    first = marks.groupBy("s", "n").agg(F.min("p").alias("refers_to"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    again = staged(marks.join(first, ["s", "n"]).filter("p > refers_to").select("k", "refers_to").distinct())
+    first = staged(marks.groupBy("s", "n").agg(F.min("p").alias("refers_to"), F.count("*").alias("m")).filter("m > 1"))
+    again = staged(spread_join(marks, first.drop("m"), first, ["s", "n"], ["k"]).filter("p > refers_to").select("k", "refers_to").distinct())
     rows = rows.join(bounded(again), "k", "left").withColumn("revisit", F.col("refers_to").isNotNull())
-    folder = f"{shared_dir(pages.sparkSession)}/textbench-warc-{uuid.uuid4().hex}"
+    folder = new_path(pages.sparkSession, "warc")
     return read_archives(normalise(write_archives(rows, f"{folder}/whole"), f"{folder}/members"), f"{folder}/members")
