@@ -64,7 +64,7 @@ def check_statements(spark, dump):
 def test_inventory_lint_extract(spark, dump):
     st = S.read_statements(spark, dump)
     inv = {r.table: r for r in D.inventory(st).collect()}
-    assert len(inv["alpha"].regions) == 3 and inv["be`ta"].insert_offset is None
+    assert inv["alpha"].regions == D.regions(st).filter("table = 'alpha'").count() == 3 and inv["be`ta"].insert_offset is None
     assert {(r.finding, r.detail) for r in D.lint(st).collect()} >= {("tables without data", "db.be`ta"), ("large table", "alpha")}
     assert {r.name: r.n for r in D.named_settings(st, "charset").collect()} == {"utf8mb4": 2}
     assert D.extract_table(st, "alpha", what="data").count() == 2
@@ -158,6 +158,7 @@ def test_json_markdown_insert(spark):
     assert got[0].value == "INSERT INTO `t` (`a`) VALUES\n('1.50');"
     tuples = spark.createDataFrame([("g", i, "x" * 10) for i in range(10)], "g string, n long, t string")
     assert [r.batch for r in K.byte_batches(tuples, 100, 40, ["g"]).orderBy("n").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
+    assert [r.batch for r in K.byte_batches(tuples, 100, 40, ["g"], block=5).orderBy("n").collect()] == [0, 0, 0, 1, 1, 5, 5, 5, 6, 6]
 
 
 def test_ranges(spark):

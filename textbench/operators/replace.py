@@ -114,7 +114,13 @@ def _python_template(template: str) -> str:
 
 def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = False) -> Column:
     """struct(text, matches, conflicts) of a pass with all rules; each rule's own matches do not overlap, and one that lost is not tried again."""
-    ready = [(re.compile(f), _python_template(r), p) if regex else (f, r, p) for f, r, p in rules]
+    if regex:
+        for f, _, _ in rules:
+            java_pattern(f)  # refuses what the other regex operators refuse
+            if re.search(r"\\[pPzZGQEhHvVRXk]|\(\?[a-zA-Z-]*[ux]|&&", f):
+                raise ValueError(f"{f!r} means different things to the two regex engines")
+    # ASCII classes, word limits and case, as the other regex operators have them.
+    ready = [(re.compile(f, re.ASCII), _python_template(r), p) if regex else (f, r, p) for f, r, p in rules]
 
     @F.pandas_udf("text string, matches int, conflicts int")
     def run(s: pd.Series) -> pd.DataFrame:

@@ -25,7 +25,7 @@ _SQL = f"s AS (SELECT {_KIND} AS kind, o_orderstatus AS \"database\", 't' || o_c
 
 @query(f"WITH {_SQL} SELECT \"database\", \"table\", min(\"start\") FILTER (kind = 'create') AS create_offset, min(\"start\") FILTER (kind <> 'create') AS insert_offset, min(\"start\") AS first_offset, sum(\"end\" - \"start\")::BIGINT AS bytes, count(*)::INT AS regions FROM s GROUP BY ALL")
 def dump_inventory(table, spark):
-    return D.inventory(_statements(table)).withColumn("regions", F.size("regions"))
+    return D.inventory(_statements(table)).withColumn("regions", F.col("regions").cast("int"))
 
 
 _DDL = "CASE doc_id % 4 WHEN 0 THEN 'CREATE TABLE `t` (a INT) DEFAULT CHARSET=UTF8MB4 COLLATE=utf8mb4_bin' WHEN 1 THEN 'CREATE TABLE t (a INT) CHARACTER SET latin1' WHEN 2 THEN 'insert into t values (1)' ELSE text END"

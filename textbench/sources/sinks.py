@@ -69,28 +69,29 @@ def insert_statements(df: DataFrame, table: str, record_no: str, rows: int = 500
     return parts.select("batch", F.concat(F.lit(head), F.array_join(F.transform("p", lambda x: x["t"]), ",\n"), F.lit(";")).alias("value"))
 
 
-def byte_batches(tuples: DataFrame, rows: int, most: int, group: list[str]) -> DataFrame:
-    """`tuples` (group, n, t) with batch: a new one where it would pass `rows` rows or `most` bytes; each group is cut on its own.
+def byte_batches(tuples: DataFrame, rows: int, most: int, group: list[str], block: int = 1 << 17) -> DataFrame:
+    """`tuples` (group, n, t) with batch: a new one where it would pass `rows` rows or `most` bytes, and at each `block` of n.
 
-    Where a batch ends depends on the one before, so a group streams through one task, a batch of rows at a time.
+    Where a batch ends depends on the one before, so a block of a group streams through one task; a large group has many blocks.
+    Batches are numbered in order, from the block's first n on, with gaps between blocks.
     """
 
     def cut(batches):
         key, batch, n, size = None, 0, 0, 0
         for b in batches:
             out = []
-            own = list(zip(*(b.column(b.schema.get_field_index(g)).to_pylist() for g in group)))
+            own = list(zip(*(b.column(b.schema.get_field_index(g)).to_pylist() for g in [*group, "block__"])))
             for k, t in zip(own, b.column(b.schema.get_field_index("t")).to_pylist()):
                 length = len(t.encode()) + 2
                 if k != key:
-                    key, batch, n, size = k, 0, 0, 0
+                    key, batch, n, size = k, k[-1] * block, 0, 0
                 elif n == rows or (n and size + length > most):
                     batch, n, size = batch + 1, 0, 0
                 n, size = n + 1, size + length
                 out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "batch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int64())], [*b.schema.names[:-1], "batch"])
 
-    ordered = tuples.repartition(*group).sortWithinPartitions(*group, "n")
+    ordered = tuples.withColumn("block__", F.floor(F.col("n") / block)).repartition(*group, "block__").sortWithinPartitions(*group, "block__", "n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tuples.schema.fields)
     return ordered.mapInArrow(cut, f"{schema}, batch long")
 
