@@ -36,10 +36,16 @@ def dump_charsets(table, spark):
     return D.named_settings(table("documents").select(F.expr(_DDL).alias("text")), "charset")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'create' WHEN 2 THEN 'insert' ELSE 'other' END AS kind, CASE WHEN doc_id % 4 < 3 THEN 't' END AS \"table\" FROM documents")
+_SOURCE, _LANG = "coalesce(source, 'none')", "coalesce(lang, 'xx')"
+_STATEMENT = f"""CASE doc_id % 4 WHEN 0 THEN concat('CREATE TABLE IF NOT EXISTS `', {_SOURCE}, '` (a INT, b TEXT)') WHEN 1 THEN concat('create table ', {_LANG}, '.`t', doc_id, '` (a INT)')
+WHEN 2 THEN concat('INSERT IGNORE INTO ', {_LANG}, ' . `', {_SOURCE}, '` VALUES (', n_chars, ', X', chr(39), 'AB', chr(39), ')') ELSE concat('REPLACE INTO t', n_chars, ' VALUES (', chr(39), replace(text, chr(39), ''), chr(39), ')') END"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'create' WHEN doc_id % 4 = 2 THEN 'insert' ELSE 'replace' END AS kind, CASE WHEN doc_id % 4 IN (1, 2) THEN {_LANG} ELSE '' END AS "database",
+CASE doc_id % 4 WHEN 1 THEN 't' || doc_id WHEN 3 THEN 't' || n_chars ELSE {_SOURCE} END AS "table" FROM documents""")
 def dump_statements(table, spark):
-    rows = table("documents").select("doc_id", F.concat(F.lit("-- part;\n/* a */ "), F.expr(_DDL)).alias("text"), F.lit(True).alias("closed"))
-    return files.classified(rows).select("doc_id", "kind", "table")
+    rows = table("documents").select("doc_id", F.concat(F.lit("-- part;\n/* a */ "), F.expr(_STATEMENT)).alias("text"), F.lit(True).alias("closed"))
+    return files.classified(rows).select("doc_id", "kind", "database", "table")
 
 
 @query("WITH r AS (SELECT l_orderkey, l_partkey AS \"start\", l_partkey + l_suppkey AS \"end\" FROM lineitem) SELECT * FROM (SELECT *, max(\"end\") OVER (PARTITION BY l_orderkey ORDER BY \"start\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r) WHERE upto > \"start\"")

@@ -58,7 +58,7 @@ def replace_size_estimate(table, spark):
     return R.size_estimate(table("documents"), "text", "the", "seventh")
 
 
-@query()
+@query("SELECT page_id, 'a:1:{s:3:\"url\";s:' || strlen(u) || ':\"' || u || '\";}' AS text, ((length(url) - length(replace(url, 'example', ''))) // 7)::INT AS matches FROM (SELECT page_id, url, replace(url, 'example', 'replaced-host') AS u FROM pages)")
 def replace_serialized(table, spark):
     value = F.concat(F.lit('a:1:{s:3:"url";s:'), F.octet_length("url").cast("string"), F.lit(':"'), F.col("url"), F.lit('";}'))
     return table("pages").select("page_id", R.replace_serialized(value, "example", "replaced-host").alias("r")).select("page_id", "r.text", "r.matches")
