@@ -199,16 +199,22 @@ def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
 def _leaders(sets: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     """Candidate links of each set to one leader of another group: of the buckets of equal minima, the leader it meets most often.
 
-    A bucket is led by its most central set in the first turn, that with the largest share of common shingles (an original
-    rather than an edited copy), and by a random one in later turns.
+    A bucket is led by its most central set, that with the largest share of common shingles (an original rather than an edited
+    copy), in the first two turns, and by a random one in later turns. From the second turn on buckets also hold sets of similar
+    size only: parts of an original, which are like it but not linked, find leaders of their own.
     """
     rows = _grouped(_bands(sets), groups)
     rank = F.xxhash64("k", F.lit(turn))
-    if turn == 0:
-        rows, rank = rows.join(sets.select("k", "share"), "k"), F.struct(-F.col("share"), rank)
+    more = sets.select("k", "share", F.floor(F.log(F.octet_length("set")) / F.log(F.lit(1.2)) + turn / 2).alias("size"))
+    rows = rows.join(more, "k")
+    if turn < 2:
+        rank = F.struct(-F.col("share"), rank)
+    if turn:
+        rows = rows.withColumn("v", F.xxhash64("v", "size"))
     lead = rows.groupBy("band", "v").agg(F.min(F.struct(rank.alias("r"), F.col("k"), F.col("c"))).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    met = rows.join(lead, ["band", "v"]).filter(F.col("c") != F.col("lead.c"))
-    met = met.groupBy("k", F.col("lead.k").alias("b")).agg(F.count("*").alias("m"))
+    lead = staged(lead.select("band", "v", F.col("lead.k").alias("b"), F.col("lead.c").alias("cb"), "m"))
+    met = spread_join(rows, lead.drop("m"), lead, ["band", "v"], ["k"]).filter("c <> cb")
+    met = met.groupBy("k", "b").agg(F.count("*").alias("m"))
     if turn:
         met = met.filter("m > 1")
     return met.groupBy("k").agg(F.max_by("b", F.struct("m", "b")).alias("b")).select(F.col("k").alias("a"), "b")
@@ -354,7 +360,7 @@ def _strays(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return met(staged(some), "e", True).unionByName(met(staged(lost), "l", False)).distinct()
 
 
-def similar_groups(docs: DataFrame, n: int = 5, turns: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 5, turns: int = 3) -> DataFrame:
     """One row for each document: doc_id, n_shingles and component_id, the least doc_id that its links reach.
 
     Documents link when their sets of distinct n-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.75 or more.
