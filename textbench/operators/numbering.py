@@ -15,7 +15,7 @@ def with_range(df: DataFrame, key: str, coarse: int = 256, least: int | None = N
     at = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col(key))), F.lit(1))
     lo = F.get(edges, at - 1).cast("double")
     hi = F.coalesce(F.get(edges, at).cast("double"), lo + 1)
-    part = F.greatest(F.least(F.floor((F.col(key) - lo) / (hi - lo) * fine), F.lit(fine - 1)), F.lit(0))
+    part = F.greatest(F.least(F.floor((F.col(key) - lo) / F.greatest(hi - lo, F.lit(1.0)) * fine), F.lit(fine - 1)), F.lit(0))
     return df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * fine + part).cast("long"))
 
 
