@@ -94,6 +94,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textbench.llm.packing import pack_sequences
+
+    return pack_sequences(_table(spark, sf_dir, "documents"))
+
+
 _OP2 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -197,10 +215,55 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN long USING (doc_id)
 """
 
+_OP11 = r"""
+WITH crc AS (
+  SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))) AS v
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+hs AS (SELECT c, xor(v, 4294967295) % 9 AS h, c - c % 5 AS b FROM crc),
+t AS (SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS bytes,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+both_parts AS (
+  SELECT hs.c, 0 AS part, i, x, bytes FROM hs JOIN t ON t.c = hs.b AND i <= h
+  UNION ALL SELECT hs.c, 1, i, x, bytes FROM hs JOIN t ON t.c = hs.c AND i > h),
+r AS (SELECT c, bytes, row_number() OVER w AS depth, string_agg(x, '') OVER (w ROWS UNBOUNDED PRECEDING) AS k, count(*) OVER (PARTITION BY c) AS size
+      FROM both_parts WINDOW w AS (PARTITION BY c ORDER BY part, i)
+      UNION ALL SELECT c, 0, 0, '', (SELECT count(*) FROM both_parts p WHERE p.c = hs.c) FROM hs),
+n AS (SELECT k, min(c) AS conv_id, min(depth) AS depth, min(bytes) AS bytes, count(*) AS n_convs FROM r GROUP BY k),
+kids AS (SELECT substr(k, 1, strlen(k) - 32) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+below AS (SELECT r.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * f.bytes)::BIGINT AS saved_tokens
+          FROM f JOIN r ON r.c = f.conv_id AND r.depth <= f.depth GROUP BY r.k),
+ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS s FROM r WHERE depth = size GROUP BY k)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(s, '')) AS ends_sha256
+FROM f LEFT JOIN n p ON f.depth > 0 AND p.k = substr(f.k, 1, strlen(f.k) - 32) LEFT JOIN below ON below.k = f.k LEFT JOIN ends ON ends.k = f.k
+"""
+
+_OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m))),
+f AS (SELECT lang, array_to_string(g, ' ') AS phrase, len(g) AS m, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS g FROM f WHERE m > 1 AND a >= 30),
+cut AS (SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.g[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.g[k + 1:], ' ')),
+inner_ AS (SELECT lang, array_to_string(g[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+           FROM (SELECT lang, g, a, s, unnest(range(1, m - s + 2)) AS i FROM c, (VALUES (2), (3)) v(s) WHERE s < m) GROUP BY ALL),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inner_ USING (lang, phrase) JOIN n USING (lang) WHERE 100 * coalesce(longer, 0) < 80 * a
+QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_ngram_join, op3_quality_classifier, op4_mix_sources, op5_substring_dedup, op6_pii, op7_warc, op8_decontaminate, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_ngram_join, op3_quality_classifier, op4_mix_sources, op5_substring_dedup, op6_pii, op7_warc, op8_decontaminate, op9_line_dedup, op10_language_id, op11_prefix_trie, op12_phrases, op13_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": _OP2, "op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op7_warc": _OP7, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_ngram_join": _OP2, "op4_mix_sources": _OP4, "op5_substring_dedup": _OP5, "op7_warc": _OP7, "op8_decontaminate": _OP8, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11, "op12_phrases": _OP12}

@@ -122,14 +122,16 @@ def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return m & np.uint64(bits - 1), (m >> np.uint64(32)) & np.uint64(bits - 1)
 
 
-def bitmap(hashes: DataFrame, n: int) -> np.ndarray | None:
-    """A bitmap of the long column h of `hashes` (n rows), or None if it would pass MAX_BITS.
+def bitmap(hashes: DataFrame, n: int, clamp: bool = False) -> np.ndarray | None:
+    """A bitmap of the long column h of `hashes` (n rows); if it would pass MAX_BITS, None, or, with `clamp`, one of MAX_BITS, which
+    tells less apart.
 
     Tasks set bits in slices, slices are OR-ed by key, and only the fixed-size bitmap reaches the driver.
     """
     bits = max(1 << 20, 1 << int(16 * max(n, 1) - 1).bit_length())
-    if bits > MAX_BITS:
+    if bits > MAX_BITS and not clamp:
         return None
+    bits = min(bits, MAX_BITS)
 
     def partial(batches):
         own: dict[int, np.ndarray] = {}
