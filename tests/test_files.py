@@ -278,3 +278,101 @@ def test_encoding_census(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {(r.encoding, r.bom, r.guess): r.files for r in P.encoding_census(S.read_binary(spark, f"file://{tmp_path}")).collect()}
     assert got == {("UTF-8", False, False): 1, ("UTF-8", True, False): 1, ("UTF-16LE", False, True): 1, ("Windows-1251", False, True): 1, ("Windows-1252", False, True): 1}
+
+
+# --- many files -------------------------------------------------------------------------------------------------------
+
+FOLDER = {
+    "a.sql": "insert into t values (1);\n(2);\n",
+    "b.sql": "insert into u values (9);\n",
+    "c.sql": "/* open ; comment\n" * 9 + "*/ insert into v values ('x;\n" + "y\n" * 40 + "z');\n-- it's\nselect 1; # don't; \nselect `a;\nb`",
+    "d.sql": "",
+    "e.sql": "select \"q\\\"; ;\";\n" * 25 + "unfinished 'text ;",
+}
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    path = tmp_path_factory.mktemp("many")
+    for name, text in FOLDER.items():
+        (path / name).write_text(text)
+    return path
+
+
+def by_file(rows, *columns):
+    return sorted((r.file.rsplit("/", 1)[1], *(getattr(r, c) for c in columns)) for r in rows)
+
+
+@pytest.mark.parametrize(("split", "fan"), [(None, 256), (23, 2)])
+def test_a_folder_is_the_union_of_its_files(spark, folder, split, fan):
+    columns = ("stmt_no", "start", "end", "text", "closed", "kind", "table")
+    want = []
+    for name in FOLDER:
+        want += by_file(S.read_statements(spark, f"file://{folder}/{name}").collect(), *columns)
+    with splits(spark, split):
+        got = by_file(S.read_statements(spark, f"file://{folder}", fan=fan).collect(), *columns)
+    assert got == sorted(want)
+    assert [r[1:5] for r in got if r[0] == "a.sql"] == [(1, 0, 25, "insert into t values (1);"), (2, 26, 30, "(2);")]
+    assert [r[4] for r in got if r[0] == "b.sql"] == ["insert into u values (9);"]
+    for name, _, start, end, text, closed, *_ in got:
+        assert not closed or FOLDER[name].encode()[start:end].decode() == text
+    with splits(spark, split):
+        lines = S.read_lines(spark, [f"file://{folder}/{n}" for n in ("a.sql", "c.sql")]).collect()
+    want = [(n, i, at, x.decode()) for n in ("a.sql", "c.sql") for i, (at, x) in enumerate(cut_lines(FOLDER[n].encode()), 1)]
+    assert by_file(lines, "line_no", "offset", "line") == sorted(want)
+
+
+@pytest.mark.parametrize("split", [None, 13])
+def test_records_of_a_folder(spark, tmp_path, split):
+    rng = random.Random(3)
+    want = []
+    for name in ("x.csv", "y.csv", "z.csv"):
+        data = [["".join(rng.choice(['"', ",", "\n", "a", "é", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))] for _ in range(30)]
+        data = [r for r in data if r != [""]]
+        with (tmp_path / name).open("w", newline="") as out:
+            csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows(data)
+        want += [(name, r) for r in data]
+    with splits(spark, split):
+        got = S.read_records(spark, f"file://{tmp_path}", fan=2).orderBy("file", "record_no").collect()
+    assert [(r.file.rsplit("/", 1)[1], r.fields) for r in got] == want
+
+
+def test_states_compose_over_ten_thousand_splits(spark):
+    rng = random.Random(1)
+    rows, want = [], []
+    for f, n in ((1, 10_000), (2, 700), (3, 1)):
+        state, before = 0, 0
+        for i in range(n):
+            fn = [(rng.randrange(3), rng.randrange(4)) for _ in range(3)]
+            rows.append((f, 17 * i, fn))
+            want.append((f, 17 * i, state, before))
+            state, before = fn[state][0], before + fn[state][1]
+    table = spark.createDataFrame(rows, "f long, split long, fn array<struct<e:int,n:bigint>>").repartition(5)
+    assert sorted(map(tuple, S.start_states(table, 3, 10_000, 16).collect())) == want
+
+
+UNITS = ["a\r\nb\rc\nd\r", "", "﻿one\n上海Ċਊ\r\r\n\n\rx", "਀ഀA", "\n\n\n", "\u000aਊ਀\u000dഊ", "ends\r\n", "😀  long " * 9 + "\n", "\rੁ\r\n䄊\r\n"]
+
+
+@pytest.mark.parametrize("encoding", ["UTF-16LE", "UTF-16BE"])
+@pytest.mark.parametrize("split", [None, 3])
+def test_lines_of_utf16(spark, tmp_path, encoding, split):
+    want = []
+    for i, text in enumerate(UNITS):
+        (tmp_path / f"{i}.txt").write_bytes(text.encode(encoding))
+        found = [m for m in re.finditer(r"([^\r\n]*)(\r\n|\r|\n|\Z)", text) if m.end() > m.start()]
+        want += [(f"{i}.txt", n, len(text[: m.start()].encode(encoding)), m[1].removeprefix("﻿")) for n, m in enumerate(found, 1)]
+    with splits(spark, split):
+        got = S.read_lines(spark, f"file://{tmp_path}", encoding).collect()
+    assert by_file(got, "line_no", "offset", "line") == sorted(want)
+
+
+def test_utf16_anchors(spark, tmp_path):
+    path = tmp_path / "u.txt"
+    path.write_bytes("a\r\nb\r\nc\r\nd\r\n".encode("UTF-16LE"))
+    with splits(spark, 3):
+        lines = S.read_lines(spark, f"file://{path}", "utf-16le")
+        assert [tuple(r) for r in N.anchors(lines, 2).orderBy("line_no").collect()] == [(1, 0), (3, 12)]
+    for data, encoding in ((b"\0\n\0\r\0A", "UTF-16LE"), (b"\n\0\r\0A\0", "UTF-16BE")):
+        path.write_bytes(data)
+        assert [(r.line_no, r.offset) for r in S.read_lines(spark, f"file://{path}", encoding).collect()] == [(1, 0)]

@@ -1,8 +1,8 @@
 """File sources: lines with byte offsets, binary files, strict delimited records, and dump statements, all splittable.
 
 Records and statements can hold line ends, and what a line means depends on all before it. Each split first reports, for every
-state it could start in, the state it ends in and how many units it closes; the driver chains these few numbers; a second pass
-reads each split from its true state.
+state it could start in, the state it ends in and how many units it closes; these functions are put together in a tree; a second
+pass reads each split from its true state. A path may name many files; each is read as if it were alone.
 """
 
 from __future__ import annotations
@@ -52,69 +52,226 @@ def _pieces_at_cr(raw: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _relative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(split, rel, no, line): byte and line places from the start of each split, whose rows come one after another."""
+    """(f, split, rel, no, line): byte and line places from the start of each split, whose rows come one after another."""
     last, size, count = None, 0, 0
     for batch in batches:
-        split, raw = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+        f, split, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary())
+        if not len(raw):
+            continue
         length = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         some = pc.any(pc.match_substring(raw, "\r")).as_py()
         lines, row, at = _pieces_at_cr(raw) if some else (raw, np.arange(len(raw)), np.zeros(len(raw), np.int64))
-        new = np.r_[True, split[1:] != split[:-1]] if len(split) else np.zeros(0, bool)
+        new = np.r_[True, (split[1:] != split[:-1]) | (f[1:] != f[:-1])]
         begin = np.cumsum(length) - length
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         rel = begin[row] - begin[first][group[row]] + at
         lead = np.searchsorted(row, first)
         no = np.arange(len(row)) - lead[group[row]]
-        if len(split) and split[0] == last:
+        if (f[0], split[0]) == last:
             rel[group[row] == 0] += size
             no[group[row] == 0] += count
-        if len(split):
-            last, size, count = split[-1], int(rel[-1]) + int(length[-1]) - int(at[-1]), int(no[-1]) + 1
+        last, size, count = (f[-1], split[-1]), int(rel[-1]) + int(length[-1]) - int(at[-1]), int(no[-1]) + 1
         text = lines.cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
-        yield pa.record_batch([pa.array(split[row]), pa.array(rel), pa.array(no, pa.int64()), text], ["split", "rel", "no", "line"])
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select(F.col("_metadata.file_block_start").alias("split"), "value", F.col("_metadata.file_size").alias("size"))
-
-
-def _split_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(split, rel, no, line) of one file, the rows of a split in file order; splits are those of Spark's text reader."""
-    return _scan(spark, path).select("split", "value").mapInArrow(_relative, "split long, rel long, no long, line string")
-
-
-def _bases(spark: SparkSession, path: str) -> DataFrame:
-    """(split, base, lines, mark): bytes and lines before each split, and the bytes of a byte order mark (that the reader drops).
-
-    Lines never overlap splits as the reader deals them out, so the sums of earlier splits are the place of a split's first line.
+        yield pa.record_batch([pa.array(f[row]), pa.array(split[row]), pa.array(rel), pa.array(no, pa.int64()), text], ["f", "split", "rel", "no", "line"])
+
+
+class Splits:
+    """Files, a path or a folder or several, in the splits of Spark's text reader. A split is known by f, a hash of its file's path,
+    and by where it starts, so that nothing of one file meets another's."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str]):
+        rows = spark.read.option("lineSep", "\n").text(path)
+        self.rows = rows.select(
+            F.xxhash64("_metadata.file_path").alias("f"),
+            F.col("_metadata.file_block_start").alias("split"),
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_size").alias("size"),
+        )
+        read = lambda key: int(spark._jsparkSession.sessionState().conf().getConfString(key).rstrip("b"))
+        total = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        least = max(1, min(read("spark.sql.files.maxPartitionBytes"), max(read("spark.sql.files.openCostInBytes"), total // spark.sparkContext.defaultParallelism)))
+        #: No more splits than this.
+        self.most = len(rows.inputFiles()) + total // least + 1
+
+    def of_few(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """`rows` with what `table` has of their split: a row for each split at most, so it is broadcast up to 100,000 of them."""
+        return rows.join(F.broadcast(table) if self.most <= 100_000 else table, ["f", "split"])
+
+    def lines(self) -> DataFrame:
+        """(f, split, rel, no, line): the rows of a split in file order."""
+        return self.rows.select("f", "split", "value").mapInArrow(_relative, "f long, split long, rel long, no long, line string")
+
+    def in_order(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """of_few() of lines whose order within their split stays."""
+        rows = self.of_few(rows, table)
+        return rows if self.most <= 100_000 else rows.repartition("f", "split").sortWithinPartitions("f", "split", "no")
+
+    def bases(self) -> DataFrame:
+        """(f, split, file, base, lines, mark): bytes and lines before each split, and the bytes of a byte order mark (that the reader drops).
+
+        Lines never overlap splits as the reader deals them out, so the sums of earlier splits are the place of a split's first line.
+        """
+        value = F.col("value")
+        breaks = F.length(value) - F.length(F.replace(value, F.lit("\r"))) - F.endswith(value, F.lit("\r")).cast("int")
+        sums = self.rows.groupBy("f", "split").agg(F.sum(F.octet_length(value).cast("long") + 1).alias("bytes"), F.sum((1 + breaks).cast("long")).alias("n"), F.max("size").alias("size"), F.max("file").alias("file"))
+        own = Window.partitionBy("f")
+        before = own.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        mark = F.when(F.max("size").over(own) - F.sum("bytes").over(own) > 1, F.lit(3)).otherwise(F.lit(0))
+        at = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        return sums.select("f", "split", "file", at("bytes").alias("base"), at("n").alias("lines"), mark.alias("mark"))
+
+    def placed(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """`rows` with file and lines (before their split); `columns` hold places within the split and become offsets in the file.
+        What starts the file starts at 0, before its byte order mark."""
+        rows = self.of_few(rows, self.bases())
+        place = lambda c: F.when((F.col("split") == 0) & (F.col(c) == 0), F.lit(0)).otherwise(F.col(c) + F.col("base") + F.col("mark")).cast("long")
+        return rows.withColumns({c: place(c) for c in columns}).drop("base", "mark")
+
+
+#: Functions of so many splits are put together in one row.
+FAN = 256
+_STEP = "array<struct<e:int,n:bigint>>"
+
+
+def start_states(summaries: DataFrame, states: int, most: int, fan: int = FAN) -> DataFrame:
+    """(f, split, state, before): for each split, the state that it starts in and how many units earlier splits of its file close.
+
+    summaries: (f, split, fn), fn[s] the state (e) behind the split and the units (n) it closes if it starts in state s. Such
+    functions compose, whatever the state before turns out to be: `fan` neighbours become one, these again, up to one for
+    each file (most: no file has more splits); then the true states go down the same tree.
+    """
+    i = F.row_number().over(Window.partitionBy("f").orderBy("split")) - 1
+    rows = summaries.select("f", "split", i.cast("long").alias("i"), F.col("fn").cast(_STEP).alias("fn"))
+    found = _descended(rows.select("f", "i", "fn"), states, most, fan)
+    return rows.select("f", "i", "split").join(found, ["f", "i"]).select("f", "split", "state", "before")
+
+
+def _descended(rows: DataFrame, states: int, most: int, fan: int) -> DataFrame:
+    blocks = rows.groupBy("f", F.floor(F.col("i") / fan).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "fn"))).alias("parts"))
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("before"))
+    if most <= fan:
+        blocks = blocks.withColumn("at", start)
+    else:
+        same = F.array(*[F.struct(F.lit(s).alias("e"), F.lit(0).cast("long").alias("n")) for s in range(states)]).cast(_STEP)
+        after = lambda a, x: F.transform(a, lambda s: F.struct(x["fn"][s["e"]]["e"].alias("e"), (s["n"] + x["fn"][s["e"]]["n"]).alias("n"))).cast(_STEP)
+        whole = blocks.select("f", F.col("b").alias("i"), F.aggregate("parts", same, after).alias("fn"))
+        found = _descended(whole, states, -(-most // fan), fan)
+        blocks = blocks.join(found.select("f", F.col("i").alias("b"), F.struct("state", "before").alias("at")), ["f", "b"])
+    kind = "struct<out:array<struct<i:bigint,state:int,before:bigint>>,state:int,before:bigint>"
+
+    def down(a, x):
+        own = F.struct(x["i"].alias("i"), a["state"].alias("state"), a["before"].alias("before"))
+        to = x["fn"][a["state"]]
+        return F.struct(F.concat(a["out"], F.array(own)).alias("out"), to["e"].alias("state"), (a["before"] + to["n"]).alias("before")).cast(kind)
+
+    zero = F.struct(F.array().cast("array<struct<i:bigint,state:int,before:bigint>>").alias("out"), F.col("at.state").alias("state"), F.col("at.before").alias("before")).cast(kind)
+    return blocks.select("f", F.inline(F.aggregate("parts", zero, down)["out"]))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """(file, line_no, offset, line) of each file of a path: CR, LF and CRLF end lines; offsets count bytes of the file, a byte order
+    mark too. encoding: UTF-8 (or any that has ASCII's bytes for line ends; its bytes are passed on), UTF-16LE or UTF-16BE.
+
+    The files are read twice by Spark's text reader, in splits of `spark.sql.files.maxPartitionBytes`: for the sums of each split,
+    and for the lines, which are placed within their split in Arrow batches. A stretch without LF is read as a whole.
     """
-    value = F.col("value")
-    breaks = F.length(value) - F.length(F.replace(value, F.lit("\r"))) - F.endswith(value, F.lit("\r")).cast("int")
-    sums = _scan(spark, path).groupBy("split").agg(F.sum(F.octet_length(value).cast("long") + 1).alias("bytes"), F.sum((1 + breaks).cast("long")).alias("n"), F.max("size").alias("size"))
-    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.max("size").over(Window.partitionBy()) - F.sum("bytes").over(Window.partitionBy()) > 1, F.lit(3)).otherwise(F.lit(0))
-    at = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    return sums.select("split", at("bytes").alias("base"), at("n").alias("lines"), mark.alias("mark"))
+    splits = Splits(spark, path)
+    if encoding.upper() in ("UTF-16LE", "UTF-16BE"):
+        return _unit_lines(splits, encoding.upper())
+    rows = splits.placed(splits.lines(), ["rel"])
+    return rows.select("file", (F.col("no") + F.col("lines") + 1).alias("line_no"), F.col("rel").alias("offset"), "line")
 
 
-def _placed(rows: DataFrame, bases: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` with their split's bases; `columns` hold places within the split and become offsets in the file. What starts the
-    file starts at 0, before its byte order mark."""
-    rows = rows.join(bases, "split")
-    place = lambda c: F.when((F.col("split") == 0) & (F.col(c) == 0), F.lit(0)).otherwise(F.col(c) + F.col("base") + F.col("mark")).cast("long")
-    return rows.withColumns({c: place(c) for c in columns})
+def _whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, split, rel, value, size): what lies between bytes 0A, with its byte place in the split."""
+    last, at = None, 0
+    for batch in batches:
+        raw, rel = batch.column(2).cast(pa.binary()), []
+        for key, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), pc.binary_length(raw).to_pylist()):
+            if key != last:
+                last, at = key, 0
+            rel.append(at)
+            at += n + 1
+        yield pa.record_batch([*batch.columns[:2], pa.array(rel, pa.int64()), raw, batch.column(3)], ["f", "split", "rel", "value", "size"])
+
+
+def unit_breaks(data: bytes, start: int, cr: bytes, crlf: bool) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes, ended) of the stretches of `data`, which starts at offset `start`, between CR units at even offsets; crlf: a
+    CR at the very end belongs to the LF behind it."""
+    at, p = 0, data.find(cr)
+    while p >= 0:
+        if (start + p) % 2:
+            p = data.find(cr, p + 1)
+            continue
+        if crlf and p + 2 == len(data):
+            data = data[:p]
+            break
+        yield start + at, data[at:p], True
+        at = p + 2
+        p = data.find(cr, at)
+    yield start + at, data[at:], False
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, offset, line) of one file: CR, LF and CRLF end lines; offsets count bytes of the file, a byte order mark too.
+def _units(little: bool):
+    """Cuts pieces between bytes 0A at the line ends of UTF-16: units at even offsets. An LF unit shows at one piece alone, in
+    little endian at the start of the piece behind it (0A, then 00), in big endian at the end of the piece before it."""
+    cr = b"\r\0" if little else b"\0\r"
 
-    The file is read twice by Spark's text reader, in splits of `spark.sql.files.maxPartitionBytes`: for the sums of each split,
-    and for the lines, which are placed within their split in Arrow batches. A stretch without LF is read as a whole.
-    """
-    rows = _placed(_split_lines(spark, path), _bases(spark, path), ["rel"])
-    return rows.select(F.lit(path).alias("file"), (F.col("no") + F.col("lines") + 1).alias("line_no"), F.col("rel").alias("offset"), "line")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, no = None, 0
+        for batch in batches:
+            out = []
+            for f, split, o, v, size, behind in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (f, split) != key:
+                    key, no = (f, split), 0
+                e = o + len(v)
+                if little:
+                    lf = o > 0 and o % 2 == 1 and v[:1] == b"\0"
+                    start, data = (o + 1, v[1:]) if lf else (o, v) if not o else (o - 1, b"\n" + v)
+                    if lf:
+                        out.append((f, split, no, o - 1, b"", True))
+                        no += 1
+                    found = unit_breaks(data, start, cr, e < size and behind == 0)
+                else:
+                    lf = e < size and e % 2 == 1 and v[-1:] == b"\0"
+                    found = unit_breaks(v[:-1] if lf else v + b"\n" * (e < size), o, cr, lf)
+                for at, part, ended in found:
+                    out.append((f, split, no, at, part, ended))
+                    no += ended
+                if not little and lf:
+                    out.append((f, split, no, e - 1, b"", True))
+                    no += 1
+            columns = list(zip(*out)) if out else [[] for _ in range(6)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["f", "split", "no", "at", "part", "ended"])
+
+    return cut
+
+
+def _unit_lines(splits: Splits, encoding: str) -> DataFrame:
+    """read_lines() for UTF-16. Pieces of a line, which are cut at any byte 0A, meet by its number."""
+    pieces = splits.rows.select("f", "split", "value", "size").mapInArrow(_whole_pieces, "f long, split long, rel long, value binary, size long")
+    bases = splits.bases().select("f", "split", "file", "base")
+    # the first byte behind a piece's own 0A: that of the next piece, which may start the next split
+    heads = pieces.filter("rel = 0").select("f", "split", F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("int").alias("head"))
+    heads = heads.select("f", "split", F.lead("head").over(Window.partitionBy("f").orderBy("split")).alias("next_head"))
+    rows = splits.of_few(splits.of_few(pieces, bases), heads)
+    own = Window.partitionBy("f", "split").orderBy("rel")
+    behind = F.coalesce(F.lead(F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("int")).over(own), F.when(F.lead("rel").over(own).isNull(), F.col("next_head")))
+    rows = rows.withColumn("behind", behind).select("f", "split", (F.col("base") + F.col("rel")).alias("o"), "value", "size", "behind")
+    cut = rows.mapInArrow(_units(encoding == "UTF-16LE"), "f long, split long, no long, at long, part binary, ended boolean")
+    counts = cut.groupBy("f", "split").agg(F.count_if("ended").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = splits.of_few(splits.of_few(cut, counts.select("f", "split", before.alias("before"))), bases.select("f", "split", "file"))
+    whole = cut.groupBy("f", "file", (F.col("no") + F.col("before") + 1).alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("at", "ended", "part"))).alias("p"))
+    data = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["part"]))
+    ended = F.exists("p", lambda x: x["ended"])
+    begin = F.element_at("p", 1)["at"]
+    rows = whole.select("file", "line_no", begin.alias("offset"), data.alias("data"), ended.alias("ended")).filter("ended OR octet_length(data) > 0")
+    text = F.regexp_replace(F.decode("data", encoding), "^\ufeff", "")
+    return rows.select("file", "line_no", "offset", F.when(F.col("offset") == 0, text).otherwise(F.decode("data", encoding)).alias("line"))
 
 
 # --- delimited text ---------------------------------------------------------------------------------------------------
@@ -126,12 +283,6 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def _quotes(line: str, state: int) -> tuple[int, int]:
-    """State (1: inside quotes) behind a line, and 1 if a record ends with it."""
-    state = (state + line.count('"')) % 2
-    return state, int(state == 0)
-
-
 def parse_record(text: str, sep: str) -> list[str]:
     """One record, strictly: a quote inside a bare field or text behind a closing quote is an error."""
     if len(text.encode()) > MAX_RECORD:
@@ -162,70 +313,94 @@ def parse_record(text: str, sep: str) -> list[str]:
     return fields
 
 
-def _chained(lines: DataFrame, states: list, step) -> tuple[dict[int, object], dict[int, int]]:
-    """For each split (in file order), the state it starts in and how many units earlier splits have closed."""
-
-    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, closed, split = {}, {}, None
-        done = lambda: pd.DataFrame({"split": split, "s": [str(s) for s in states], "e": [str(at[s]) for s in states], "n": [closed[s] for s in states]})
-        for pdf in batches:
-            for own, line in zip(pdf["split"], pdf["line"]):
-                if own != split:
-                    if split is not None:
-                        yield done()
-                    at, closed, split = {s: s for s in states}, dict.fromkeys(states, 0), int(own)
-                seen = {}
-                for s in states:
-                    now = at[s]
-                    if now not in seen:
-                        seen[now] = step(line, now)
-                    at[s], n = seen[now]
-                    closed[s] += n
-        if split is not None:
-            yield done()
-
-    rows = lines.select("split", "line").mapInPandas(summary, "split long, s string, e string, n long").collect()
-    table = {(r.split, r.s): (r.e, r.n) for r in rows}
-    start, before, state, total = {}, {}, str(states[0]), 0
-    by_name = {str(s): s for s in states}
-    for split in sorted({r.split for r in rows}):
-        start[split], before[split] = by_name[state], total
-        state, n = table[split, state]
-        total += n
-    return start, before
-
-
-def read_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The strict and ragged tier: (record_no, fields ARRAY<STRING>) of a UTF-8 file whose records end with LF or CRLF.
+def _quotes_before(batch: pa.RecordBatch, carried: int, new: np.ndarray) -> np.ndarray:
+    """Whether an odd number of quotes stands behind each line, counted from its split's start; carried: from earlier batches."""
+    n = pc.count_substring(batch.column(batch.schema.get_field_index("line")), '"').to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(n)
+    first = np.flatnonzero(np.r_[True, new[1:]])
+    group = np.searchsorted(first, np.arange(len(n)), "right") - 1
+    base = np.where(new[first], (run - n)[first], -carried)
+    return (run - base[group]) % 2
+
+
+def _fresh(batch: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where a split starts in a batch with rows, and the batch's last split."""
+    f, split = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    return np.r_[(f[0], split[0]) != last, (f[1:] != f[:-1]) | (split[1:] != split[:-1])], (f[-1], split[-1])
+
+
+_SUMMARY = f"f long, split long, fn {_STEP}"
+
+
+def _told(key: tuple, ends: list[int], counts: list[int]) -> pa.RecordBatch:
+    fn = pa.array([[{"e": e, "n": n} for e, n in zip(ends, counts)]], pa.list_(pa.struct([("e", pa.int32()), ("n", pa.int64())])))
+    return pa.record_batch([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), fn], ["f", "split", "fn"])
+
+
+def _record_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split, the state (1: inside quotes) behind it and the records it ends, from either state at its start."""
+    last, odd, counts = None, 0, [0, 0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new, key = _fresh(batch, last)
+        behind = _quotes_before(batch, odd, new)
+        f, split = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = [*np.flatnonzero(np.r_[True, new[1:]]), len(behind)]
+        for lo, hi in zip(edges, edges[1:]):
+            if new[lo]:
+                if last is not None:
+                    yield _told(last, [odd, 1 - odd], counts)
+                last, counts = (f[lo], split[lo]), [0, 0]
+            ones = int(behind[lo:hi].sum())
+            counts = [counts[0] + hi - lo - ones, counts[1] + ones]
+            odd = int(behind[hi - 1])
+        last = key
+    if last is not None:
+        yield _told(last, [odd, 1 - odd], counts)
+
+
+def _record_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, split, no, at, line): each line with the number of its record."""
+    last, odd, ended = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new, last = _fresh(batch, last)
+        state, before = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        behind = _quotes_before(batch, odd, new)
+        closed = ((behind + state) % 2 == 0).astype(np.int64)
+        run = np.cumsum(closed)
+        first = np.flatnonzero(np.r_[True, new[1:]])
+        group = np.searchsorted(first, np.arange(len(run)), "right") - 1
+        base = np.where(new[first], (run - closed)[first], -ended)
+        no = before + run - closed - base[group]
+        odd, ended = int(behind[-1]), int(run[-1] - base[-1])
+        yield pa.record_batch([*batch.columns[:2], pa.array(no), *batch.columns[2:4]], ["f", "split", "no", "at", "line"])
+
+
+def read_records(spark: SparkSession, path: str | list[str], sep: str = ",", fan: int = FAN) -> DataFrame:
+    """The strict and ragged tier: (file, record_no, fields ARRAY<STRING>) of UTF-8 files whose records end with LF or CRLF.
 
     Blank lines are skipped, a byte order mark is dropped, quoted line ends stay (as LF); anything malformed fails the job. A
-    lone CR ends a line here. record_no numbers the non-blank records in file order, with gaps where blank lines were.
+    lone CR ends a line here. record_no numbers the non-blank records of a file in order, with gaps where blank lines were.
     """
     sep = delimiter(sep)
-    lines = _split_lines(spark, path)
-    start, before = _chained(lines, [0, 1], _quotes)
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, state, no = None, None, 0
-        for pdf in batches:
-            out = []
-            for own, at, line in zip(pdf["split"], pdf["no"], pdf["line"]):
-                if own != split:
-                    split, state, no = own, start[int(own)], before[int(own)]
-                out.append((no, own, at, line))
-                state, n = _quotes(line, state)
-                no += n
-            yield pd.DataFrame(out, columns=["no", "split", "at", "line"])
-
-    cut = lines.select("split", "no", "line").mapInPandas(pieces, "no long, split long, at long, line string")
-    whole = cut.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("parts"))
+    splits = Splits(spark, path)
+    lines = splits.lines().select("f", "split", F.col("no").alias("at"), "line")
+    starts = start_states(lines.mapInArrow(_record_summary, _SUMMARY), 2, splits.most, fan)
+    rows = splits.in_order(lines.withColumnRenamed("at", "no"), starts).select("f", "split", F.col("no").alias("at"), "line", "state", "before")
+    cut = rows.mapInArrow(_record_pieces, "f long, split long, no long, at long, line string")
+    whole = cut.groupBy("f", "no").agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("parts"))
 
     @F.pandas_udf("array<string>")
     def parse(s: pd.Series) -> pd.Series:
         return s.map(lambda t: parse_record(t, sep))
 
-    rows = whole.select("no", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("text")).filter("text <> ''")
-    return rows.select((F.col("no") + 1).alias("record_no"), parse("text").alias("fields"))
+    rows = whole.select("f", "no", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("text")).filter("text <> ''")
+    names = splits.rows.select("f", "file").distinct()
+    rows = rows.join(F.broadcast(names) if splits.most <= 100_000 else names, "f")
+    return rows.select("file", (F.col("no") + 1).alias("record_no"), parse("text").alias("fields"))
 
 
 def csv_line(fields: list[str], sep: str = ",") -> str:
@@ -262,9 +437,28 @@ def scan_line(line: str, state: str) -> tuple[str, list[int]]:
             state = "*" if token == "/*" else token
 
 
-def _closed(line: str, state: str) -> tuple[str, int]:
-    state, ends = scan_line(line, state)
-    return state, len(ends)
+#: Lines without any of these leave every state as it is.
+_MATTERS = r"['\"`;#*\\]|--|/"
+
+
+def _dump_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split, the state behind it and the statements it ends, from every state it may start in."""
+    states = range(len(STATES))
+    last, at, counts = None, list(states), [0] * len(STATES)
+    for batch in batches:
+        matters = pc.match_substring_regex(batch.column(2), _MATTERS).to_numpy(zero_copy_only=False)
+        for f, split, line, may in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), matters):
+            if (f, split) != last:
+                if last is not None:
+                    yield _told(last, at, counts)
+                last, at, counts = (f, split), list(states), [0] * len(STATES)
+            if may:
+                text = line.as_py()
+                step = {s: scan_line(text, STATES[s]) for s in set(at)}
+                counts = [n + len(step[s][1]) for n, s in zip(counts, at)]
+                at = [STATES.index(step[s][0]) for s in at]
+    if last is not None:
+        yield _told(last, at, counts)
 
 
 _HEAD = r"(?s)^(?:\s+|--[^\n]*(?:\n|\z)|#[^\n]*(?:\n|\z)|/\*(?!!).*?\*/)*"
@@ -307,50 +501,54 @@ def classified(statements: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": F.coalesce(kind, F.lit("other")), "database": database, "table": table, "hazard": hazard}).drop("_body")
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(file, stmt_no, start, end, text, closed, kind, database, table, hazard) of a SQL dump.
+def read_statements(spark: SparkSession, path: str | list[str], fan: int = FAN) -> DataFrame:
+    """(file, stmt_no, start, end, text, closed, kind, database, table, hazard) of SQL dumps, a file or a folder of them.
 
-    Statements end at a `;` outside quotes and comments; start and end are byte offsets; line ends in text are LF. A large dump
-    is read in splits; the pieces of a statement meet by its number. What follows the last `;` comes out as not closed, unless
-    it is blank.
+    Statements end at a `;` outside quotes and comments; start and end are byte offsets, stmt_no counts within a file; line ends in
+    text are LF. A large dump is read in splits; the pieces of a statement meet by its number. What follows the last `;` comes out
+    as not closed, unless it is blank.
     """
-    lines = _split_lines(spark, path)
-    start, before = _chained(lines, STATES, _closed)
+    splits = Splits(spark, path)
+    lines = splits.lines()
+    starts = start_states(lines.select("f", "split", "line").mapInArrow(_dump_summary, _SUMMARY), len(STATES), splits.most, fan)
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, state, no = None, None, 0
-        for pdf in batches:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, no = None, None, 0
+        for batch in batches:
             out = []
-            for own, offset, line in zip(pdf["split"], pdf["rel"], pdf["line"]):
-                if own != split:
-                    split, state, no = own, start[int(own)], before[int(own)]
+            for f, split, offset, line, begin, before in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (f, split) != last:
+                    last, state, no = (f, split), STATES[begin], before
                 state, ends = scan_line(line, state)
                 at = 0
                 for end in ends:
                     lo = offset + len(line[:at].encode())
-                    out.append((no, own, lo, len(line[at : end + 1].encode()), line[at : end + 1], True))
+                    out.append((f, no, split, lo, len(line[at : end + 1].encode()), line[at : end + 1], True))
                     no, at = no + 1, end + 1
                 lo = offset + len(line[:at].encode())
-                out.append((no, own, lo, len(line[at:].encode()), line[at:], False))
-            yield pd.DataFrame(out, columns=["no", "split", "start", "size", "piece", "closed"])
-
-    cut = lines.select("split", "rel", "line").mapInPandas(pieces, "no long, split long, start long, size long, piece string, closed boolean")
-    cut = _placed(cut, _bases(spark, path), ["start"]).withColumn("end", F.col("start") + F.col("size"))
-    whole = cut.groupBy("no").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "piece"))).alias("p"), F.max("end").alias("end"), F.bool_or("closed").alias("closed")
+                out.append((f, no, split, lo, len(line[at:].encode()), line[at:], False))
+            columns = list(zip(*out)) if out else [[] for _ in range(7)]
+            kinds = (*[pa.int64()] * 5, pa.string(), pa.bool_())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["f", "no", "split", "start", "size", "piece", "closed"])
+
+    rows = splits.in_order(lines, starts).select("f", "split", "rel", "line", "state", "before")
+    cut = rows.mapInArrow(pieces, "f long, no long, split long, start long, size long, piece string, closed boolean")
+    cut = splits.placed(cut, ["start"]).withColumn("end", F.col("start") + F.col("size"))
+    whole = cut.groupBy("f", "no").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "piece"))).alias("p"), F.max("end").alias("end"), F.bool_or("closed").alias("closed"), F.max("file").alias("file")
     )
     text = F.array_join(F.transform("p", lambda x: x["piece"]), "\n")
     lead = F.length(F.regexp_extract(text, r"^\s*", 0))
     first = F.filter("p", lambda x: F.trim(x["piece"]) != "")
     lo = F.get(first, F.lit(0))
     begin = lo["start"] + F.octet_length(F.regexp_extract(lo["piece"], r"^\s*", 0))
-    rows = whole.select(F.lit(path).alias("file"), (F.col("no") + 1).alias("stmt_no"), begin.alias("start"), "end", F.substring(text, lead + 1, F.length(text)).alias("text"), "closed")
+    rows = whole.select("file", (F.col("no") + 1).alias("stmt_no"), begin.alias("start"), "end", F.substring(text, lead + 1, F.length(text)).alias("text"), "closed")
     return classified(rows.filter("text <> ''"))
 
 
 def refuse_hazards(statements: DataFrame) -> DataFrame:
     """`statements`, or an error that names the first hazard: to be called before anything is written."""
-    bad = statements.filter("hazard IS NOT NULL").orderBy("stmt_no").select("stmt_no", "hazard").limit(1).collect()
+    bad = statements.filter("hazard IS NOT NULL").orderBy("file", "stmt_no").select("file", "stmt_no", "hazard").limit(1).collect()
     if bad:
-        raise ValueError(f"statement {bad[0][0]}: {bad[0][1]}")
+        raise ValueError(f"{bad[0][0]}, statement {bad[0][1]}: {bad[0][2]}")
     return statements
