@@ -186,8 +186,9 @@ def _likened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = staged(pairs)
     x = sets.select(F.col("k").alias("a"), F.col("set").alias("x")).join(bounded(pairs), "a")
-    y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(staged(pairs.select("b").distinct())), "b")
-    x = x.join(y, "b")
+    led = staged(pairs.groupBy("b").agg(F.count("*").alias("m")))
+    y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(led.select("b")), "b")
+    x = spread_join(x, y, led, ["b"], ["a"])
     return x.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
 
 

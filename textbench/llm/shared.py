@@ -102,7 +102,10 @@ def spread_join(rows: DataFrame, small: DataFrame, counts: DataFrame, on: list[s
     shuffle partition at most, whatever the data, so the table of parts is broadcast.
     """
     spark = rows.sparkSession
-    share = max(1000, (counts.agg(F.sum("m")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every, most = counts.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    share = max(1000, every // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if most <= share:
+        return rows.join(small, on, how)
     parts = F.broadcast(counts.filter(F.col("m") > share).select(*on, F.ceil(F.col("m") / share).cast("int").alias("parts__")))
     dealt = rows.join(parts, on, "left").withColumn("part__", F.pmod(F.xxhash64(*by), F.coalesce("parts__", F.lit(1))).cast("int")).drop("parts__")
     held = small.join(parts, on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
