@@ -7,13 +7,16 @@ import re
 
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from textbench.functions import exprs as E
 from textbench.operators import dump as D
 from textbench.operators import navigate as N
 from textbench.operators import profile as P
 from textbench.operators import schemadiff as X
 from textbench.sources import files as S
+from textbench.sources import ranges as R
 from textbench.sources import sinks as K
 
 DUMP = """-- MySQL dump
@@ -217,7 +220,7 @@ def test_split_by_table(spark, tmp_path):
     rows = [("create", "", "T", "CREATE TABLE T (a INT) CHARSET=UTF8MB4;"), ("insert", "", "T", "INSERT INTO T VALUES (1);"), ("create", "", "t", "CREATE TABLE t (a INT) CHARACTER SET latin1;"), ("insert", "x/y", "a b", "INSERT INTO `a b` VALUES ('z');"), ("other", None, None, "SET a = 1;"), ("insert", "", "T", "INSERT INTO T VALUES (2);")]
     df = statement_rows(spark, rows)
     got = {(r.database, r.table): r for r in K.split_manifest(df, 2).collect()}
-    assert {k: r.name for k, r in got.items()} == {("", "T"): "T", ("", "t"): "t_02", ("x/y", "a b"): "x_y.a_b"}
+    assert {k: r.name for k, r in got.items()} == {("", "T"): "T", ("", "t"): "t_02", ("x/y", "a b"): "x_y_a_b"}
     assert got["", "T"].charsets == ["utf8mb4"] and got["", "t"].charsets == ["latin1"] and got["x/y", "a b"].charsets == []
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     own = [(1, rows[0][3]), (2, rows[1][3]), (6, rows[5][3])]
@@ -225,7 +228,7 @@ def test_split_by_table(spark, tmp_path):
     assert got["", "T"].sha256 == sha("".join(buckets)) and (got["", "T"].bytes, got["", "T"].regions, got["", "T"].first, got["", "T"].last) == (150, 3, 0, 550)
     K.write_by_table(df, f"file://{tmp_path}/out")
     back = {p.name.removeprefix("name="): "".join(f.read_text() for f in sorted(p.glob("*.txt"))) for p in (tmp_path / "out").glob("name=*")}
-    assert back == {"T": "\n".join(t for _, t in own) + "\n", "t_02": rows[2][3] + "\n", "x_y.a_b": rows[3][3] + "\n"}
+    assert back == {"T": "\n".join(t for _, t in own) + "\n", "t_02": rows[2][3] + "\n", "x_y_a_b": rows[3][3] + "\n"}
     with pytest.raises(Exception, match="(?i)exist"):
         K.write_by_table(df, f"file://{tmp_path}/out")
 
@@ -376,3 +379,157 @@ def test_utf16_anchors(spark, tmp_path):
     for data, encoding in ((b"\0\n\0\r\0A", "UTF-16LE"), (b"\n\0\r\0A\0", "UTF-16BE")):
         path.write_bytes(data)
         assert [(r.line_no, r.offset) for r in S.read_lines(spark, f"file://{path}", encoding).collect()] == [(1, 0)]
+
+
+# --- names and identities ---------------------------------------------------------------------------------------------
+
+
+def brute_names(names, most=180):
+    import unicodedata
+
+    key = lambda s: unicodedata.normalize("NFC", s).casefold()
+    used, out = {}, []
+    for name in names:
+        n = used[key(name)] = used.get(key(name), 0) + 1
+        while n > 1:
+            end = f"_{n:02d}"
+            tried = name.encode()[: most - len(end)].decode(errors="ignore") + end
+            if key(tried) not in used:
+                used[key(tried)] = 1
+                break
+            n += 1
+        out.append(name if n == 1 else tried)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names(spark, seed):
+    rng = random.Random(seed)
+    pool = ["a", "A", "a_02", "A_02", "a_02_02", "b_07", "b", "B_03", "é", "é", "É_02", "x" * 180, "X" * 180, "x" * 177 + "_02", "x" * 99 + "_0", "x" * 60, "X" * 60, "x" * 60 + "_02", "", "_02", "straße", "STRASSE", "c_1", "c_1"]
+    names = [rng.choice(pool) for _ in range(120)] if seed else ["a", "A", "a_02"]
+    got = D.unique_names(spark.createDataFrame(list(enumerate(names)), "i long, name string").repartition(4), "name", "i").orderBy("i").collect()
+    assert [r.name for r in got] == brute_names(names)
+    keys = spark.createDataFrame([tuple(r) for r in got], "i long, name string").select(E.portable_key(F.col("name")).alias("k"))
+    assert keys.distinct().count() == len(names)
+    assert D.unique_names(spark.createDataFrame([], "i long, name string"), "name", "i").count() == 0
+
+
+def test_names_of_tables(spark):
+    tables = ["Users", "users", "é", "é", "CON", "lpt1...   ", "a.b", "a/b", "a_b_02", "界" * 300, "界" * 300]
+    rows = spark.createDataFrame(list(enumerate(tables)), "i long, t string")
+    got = [r.name for r in D.unique_names(rows.withColumn("name", E.safe_file_name_full(F.col("t"))), "name", "i").orderBy("i").collect()]
+    assert got[:9] == ["Users", "users_02", "é", "é_02", "_CON", "_lpt1", "a_b", "a_b_02", "a_b_02_02"]
+    assert all(len(n.encode()) <= 180 for n in got) and got[9] != got[10] and "_" in got[9]
+
+
+def ddl_rows(spark, *texts):
+    return spark.createDataFrame([("create", "", "t", t) for t in texts], "kind string, database string, table string, text string")
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "change", "added"),
+    [
+        ("(`id` int)", "(id int)", "unchanged", set()),
+        ("(MixedCase int)", '("MixedCase" int)', "changed", {'"MixedCase"'}),
+        ("(`Order` int)", "(Order int)", "changed", {"Order"}),
+        ("(ID int)", "(id int)", "changed", {"id"}),
+        ("(`key` int)", '("key" int)', "changed", {'"key"'}),
+        ("(`order` int, a int)", "(`order` int, `a` int)", "unchanged", set()),
+        ("(a int, PRIMARY KEY (`a`), KEY k (`a`))", "(a int, PRIMARY KEY (a), KEY `k` (a))", "unchanged", set()),
+        ("(a int, PRIMARY KEY (`A`))", "(a int, PRIMARY KEY (A))", "changed", set()),
+        ("(a varchar(9) DEFAULT '`x`')", "(a varchar(9) DEFAULT 'x')", "changed", set()),
+    ],
+)
+def test_identity_of_quoted_names(spark, old, new, change, added):
+    a, b = ddl_rows(spark, f"CREATE TABLE t {old};"), ddl_rows(spark, f"CREATE TABLE t {new};")
+    assert X.diff_dumps(a, b).first().change == change
+    found = X.diff_columns(X.column_rows(X.parse_tables(a)), X.column_rows(X.parse_tables(b)), ["database", "table"], "identity").collect()
+    assert {r.identity for r in found if r.change == "added"} == added
+
+
+# --- positioned ranges ------------------------------------------------------------------------------------------------
+
+
+def test_a_sparse_file_is_cut_by_position(spark, tmp_path):
+    path, target = tmp_path / "big.bin", tmp_path / "parts"
+    size = 5 * (1 << 30) + 11
+    with path.open("wb") as f:
+        for at, raw in ((0, b"head\r\n\xff\xfe"), ((1 << 31) - 3, b"\r\nover a seam\xc3"), (size - 4, b"tail")):
+            f.seek(at)
+            f.write(raw)
+    starts = [(0, 9 << 20), ((1 << 31) - (1 << 20), (1 << 31) + 1), ((1 << 31) + 1, (1 << 31) + 100), (size - 77, size)]
+    ranges = spark.createDataFrame([(f"file:{path}", i, lo, hi) for i, (lo, hi) in enumerate(starts)], "path string, part long, start long, end long")
+    manifest = R.copy_ranges(ranges, f"file://{target}")
+    assert [(m["start"], m["end"]) for m in manifest] == starts
+    assert sorted(p.name for p in target.iterdir() if not p.name.startswith(".")) == ["manifest.json", *(f"part-{i:05d}" for i in range(4))]
+    with path.open("rb") as f:
+        for m in manifest:
+            f.seek(m["start"])
+            own = f.read(m["bytes"])
+            assert (target / f"part-{m['part']:05d}").read_bytes() == own and m["sha256"] == hashlib.sha256(own).hexdigest()
+    found = R.find_in_files(spark, f"file://{path}", "tail", per_task=1 << 30).collect()
+    assert [r.offset for r in found] == [size - 4]
+    path.write_bytes(bytes(range(256)) * 5)
+    got = R.split_by_size(spark, f"file://{path}", f"file://{tmp_path}/small", 500)
+    assert b"".join((tmp_path / "small" / f"part-{m['part']:05d}").read_bytes() for m in got) == bytes(range(256)) * 5 and len(got) == 3
+    with pytest.raises(FileExistsError):
+        R.split_by_size(spark, f"file://{path}", f"file://{target}", 500)
+
+
+def test_a_failing_copy_leaves_nothing(spark, tmp_path):
+    path = tmp_path / "x.bin"
+    path.write_bytes(b"0123456789")
+    ranges = lambda *rows: spark.createDataFrame([(f"file:{path}", *r) for r in rows], "path string, part long, start long, end long")
+    for bad in (((0, 0, 6), (1, 5, 9)), ((0, 5, 11),), ((0, 4, 2),), ((0, 0, 2), (0, 2, 3)), ((0, -1, 2),)):
+        with pytest.raises(ValueError):
+            R.copy_ranges(ranges(*bad), f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+    with pytest.raises(Exception, match="ends before"):  # the second range fails in its task
+        R_check, R.checked_ranges = R.checked_ranges, lambda ranges, sizes: ranges
+        try:
+            R.copy_ranges(ranges((0, 0, 3), (1, 8, 40)), f"file://{tmp_path}/out")
+        finally:
+            R.checked_ranges = R_check
+    assert not (tmp_path / "out").exists()
+    got = R.copy_ranges(ranges((1, 7, 10), (0, 2, 5)), f"file://{tmp_path}/out")
+    assert [(tmp_path / "out" / f"part-{i:05d}").read_bytes() for i in range(2)] == [b"234", b"789"] and [m["bytes"] for m in got] == [3, 3]
+
+
+def test_lines_are_exported_with_their_bytes(spark, tmp_path):
+    raw = b"\xef\xbb\xbfone\r\ntwo\rthree\n\xff four\r\nfive"
+    (tmp_path / "l.txt").write_bytes(raw)
+    for i, (first, last, want) in enumerate([(2, 3, b"two\rthree\n"), (1, 1, b"\xef\xbb\xbfone\r\n"), (4, 99, b"\xff four\r\nfive")]):
+        got = R.export_lines(spark, f"file://{tmp_path}/l.txt", f"file://{tmp_path}/o{i}", first, last, per_part=4)
+        assert b"".join((tmp_path / f"o{i}" / f"part-{m['part']:05d}").read_bytes() for m in got) == want
+    with pytest.raises(ValueError, match="fewer"):
+        R.export_lines(spark, f"file://{tmp_path}/l.txt", f"file://{tmp_path}/o9", 6, 7)
+
+
+@pytest.mark.parametrize(("per_task", "block"), [(1 << 20, 1 << 20), (7, 3), (1, 1), (5, 100)])
+def test_matches_over_seams(spark, tmp_path, per_task, block):
+    raw = "aaa Boundary b\nbound\r\nary café écafé Café_ boundarý boundary xaaaax ".encode() + b"\xff boundary \xffboundary " + b"A" * 40
+    (tmp_path / "s.txt").write_bytes(raw)
+    (tmp_path / "t.txt").write_bytes(b"boundary")
+    (tmp_path / "none.txt").write_bytes(b"")
+    cases = [("boundary", False, False), ("boundary", True, False), ("boundary", False, True), ("aa", False, False), ("d\r\na", False, False), ("café", False, True), ("aaaaa", True, False)]
+    for text, fold, word in cases:
+        want = []
+        for name, data in (("s.txt", raw), ("t.txt", b"boundary")):
+            low, n = (data.lower(), text.lower().encode()) if fold else (data, text.encode())
+            for at in range(len(low)):
+                if low[at : at + len(n)] != n:
+                    continue
+                before, behind = data[:at].decode(errors="surrogateescape")[-1:], data[at + len(n) :].decode(errors="surrogateescape")[:1]
+                odd = lambda c: "\ud800" <= c <= "\udfff" or c == "_" or regex.match(r"[\p{L}\p{Nd}\p{M}]", c)
+                if not word or not any(c and odd(c) for c in (before, behind)):
+                    want.append((name, at, len(n)))
+        got = R.find_in_files(spark, f"file://{tmp_path}", text, fold, word, per_task=per_task, block=block).collect()
+        assert sorted((r.path.rsplit("/", 1)[1], r.offset, r.length) for r in got) == want, text
+
+
+def test_utf16_matches_are_aligned(spark, tmp_path):
+    (tmp_path / "u").write_bytes("aŁ䄀Aab ab".encode("UTF-16LE"))
+    got = R.find_in_files(spark, f"file://{tmp_path}/u", "A", encoding="UTF-16LE", per_task=3, block=2).collect()
+    assert [(r.offset, r.length) for r in got] == [(6, 2)]
+    got = R.find_in_files(spark, f"file://{tmp_path}/u", "ab", whole_word=True, encoding="UTF-16LE").collect()
+    assert [r.offset for r in got] == [14]

@@ -88,29 +88,41 @@ DEVICES = ["con", "prn", "aux", "nul"] + [f"{d}{i}" for d in ("com", "lpt") for
 
 
 def safe_file_name(c: Column) -> Column:
-    """Runs of other characters than letters, digits, dot, dash and underscore become one underscore; ends are trimmed, device
-    names get a prefix, an empty name is `table`. For long and non-ASCII names use `safe_file_name_full`."""
-    t = F.regexp_replace(F.regexp_replace(text(c), r"[^\p{L}\p{N}._-]+", "_"), r"^[_\-.]+|[_\-.]+\z", "")
+    """Runs of other characters than letters, digits, dash and underscore become one underscore; ends are trimmed, device names get
+    a prefix, an empty name is `table`. For long and non-ASCII names use `safe_file_name_full`."""
+    t = F.regexp_replace(F.regexp_replace(text(c), r"^\s+|\s+\z", ""), r"[^\p{L}\p{Nd}_-]+", "_")
+    t = F.regexp_replace(t, r"^[_-]+|[_-]+\z", "")
     t = F.when(t == "", "table").otherwise(t)
-    return F.when(F.lower(F.split_part(t, F.lit("."), F.lit(1))).isin(DEVICES), F.concat(F.lit("_"), t)).otherwise(t)
+    return F.when(F.lower(t).isin(DEVICES), F.concat(F.lit("_"), t)).otherwise(t)
 
 
 def safe_file_name_full(c: Column, most: int = 180) -> Column:
-    """`safe_file_name` of the composed (NFC) form; names of more than `most` bytes are cut and end in a hash of the whole."""
+    """`safe_file_name` of the composed (NFC) form; names of more than `most` bytes are cut and end in a hash of the composed name."""
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+        return s.map(lambda x: unicodedata.normalize("NFC", x.strip()), na_action="ignore")
 
     @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        def one(x: str) -> str:
-            raw = x.encode()
-            return x if len(raw) <= most else raw[: most - 17].decode(errors="ignore") + "_" + hashlib.sha256(raw).hexdigest()[:16]
+    def cut(s: pd.Series, whole: pd.Series) -> pd.Series:
+        def one(x: str, full: str) -> str:
+            raw, end = x.encode(), "_" + hashlib.sha256(full.encode()).hexdigest()[:16]
+            return x if len(raw) <= most else (raw[: most - len(end)].decode(errors="ignore") + end).strip("_-")
 
-        return s.map(one, na_action="ignore")
+        return pd.Series([one(x, y) for x, y in zip(s, whole)])
 
-    return cut(safe_file_name(composed(text(c))))
+    full = composed(text(c))
+    return cut(safe_file_name(full), full)
+
+
+def portable_key(c: Column) -> Column:
+    """What names that a file system may take for one have in common: the composed (NFC) form without regard to case."""
+
+    @F.pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
+
+    return folded(text(c))
 
 
 _UNITS = ["KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]

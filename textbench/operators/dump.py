@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.functions.exprs import portable_key
+
 KEY = ["database", "table"]
 DATA = ("insert", "replace")
 
@@ -93,11 +99,57 @@ def overlaps(ranges: DataFrame, group: list[str], order: str = "start") -> DataF
     return ranges.withColumn("upto", before).filter("upto > start OR end < start")
 
 
-def unique_names(df: DataFrame, name: str, order_by: str) -> DataFrame:
-    """Names that are equal but for case get _02, _03, ... in order."""
-    place = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order_by))
-    number = F.lpad(place.cast("string"), F.greatest(F.lit(2), F.length(place.cast("string"))), F.lit("0"))
-    return df.withColumn(name, F.when(place == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number)))
+#: Names of one root can get in each other's way: the numbers that an allocation adds, at the end or cut off by the length, do not
+#: count. A root is taken from so many characters.
+_ROOT = r"(?:_[0-9]*)+\z"
+_ROOTED = 60
+
+
+def allocate(names: Iterable[tuple[str, str]], most: int = 180) -> Iterator[str]:
+    """Names in order, from pairs (name, key): one whose key is taken gets _02, _03, ... from its place among the equal ones on,
+    until nothing has that key, whether it was a name or was given."""
+    used: dict[str, int] = {}
+    for name, key in names:
+        used[key] = n = used.get(key, 0) + 1
+        while n > 1:
+            end = f"_{n:02d}"
+            tried = name.encode()[: most - len(end)].decode(errors="ignore") + end
+            folded = unicodedata.normalize("NFC", tried).casefold()
+            if folded not in used:
+                used[folded], name = 1, tried
+                break
+            n += 1
+        yield name
+
+
+def unique_names(df: DataFrame, name: str, order_by: str, most: int = 180) -> DataFrame:
+    """`df` with names (of at most `most` bytes) that differ also in their composed form and without regard to case: an equal one
+    gets _02, _03, ... in the order of `order_by`, past all numbers that are names themselves (see allocate()).
+
+    Only names whose root (the name without such numbers) has two equal ones can change; the names of such a root stream in order
+    through one task, all others stay where they are.
+    """
+    rows = df.withColumn("_key", portable_key(F.col(name))).withColumn("_root", F.regexp_replace(F.substring("_key", 1, _ROOTED), _ROOT, ""))
+    twice = rows.groupBy("_root", "_key").count().filter("count > 1").select("_root").distinct()
+    alone = rows.join(twice, "_root", "left_anti").select(*df.columns)
+    shared = rows.join(twice, "_root", "left_semi").repartition("_root").sortWithinPartitions("_root", order_by)
+    columns = df.columns
+    at, key, root = columns.index(name), len(columns), len(columns) + 1
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent, given = None, deque(), None
+        for batch in batches:
+            out = []
+            for n, k, r in zip(*(batch.column(i).to_pylist() for i in (at, key, root))):
+                if r != last or given is None:
+                    last, sent = r, deque()
+                    given = allocate(iter(sent.popleft, None), most)
+                sent.append((n, k))
+                out.append(next(given))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(key)], columns)
+
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == name else f.dataType.simpleString()}" for f in df.schema.fields)
+    return alone.unionByName(shared.select(*df.columns, "_key", "_root").mapInArrow(named, kinds))
 
 
 # --- reshape ----------------------------------------------------------------------------------------------------------

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,8 @@ def parse_rules(lines: DataFrame, line: str = "line", order_by: str = "line_no")
 def replace_batch(c: Column, rules: list[tuple[str, str, int]]) -> Column:
     """Literal rules (find, put, priority) in one pass: earliest start, then lower priority, then longer, then the earlier rule.
 
-    One alternation in that order finds the winners; what they become is looked up in a map.
+    One alternation in that order finds the winners; what they become is looked up in a map. That suits a few rules, as every
+    one is tried at every place; batch_result() takes thousands at the cost of one.
     """
     ranked = sorted(dict.fromkeys((p, -len(f), i, f, r) for i, (f, r, p) in enumerate(rules)))
     first: dict[str, str] = {}
@@ -87,17 +90,11 @@ def replace_batch(c: Column, rules: list[tuple[str, str, int]]) -> Column:
     return F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(c)
 
 
-def _ranked_matches(text: str, rules: list[tuple[re.Pattern | str, str, int]]) -> tuple[list, int]:
+def _ranked_matches(text: str, rules: list[tuple[re.Pattern, str, int]]) -> tuple[list, int]:
     """Winners in text order, and how many other matches overlap one."""
     every = []
     for i, (find, put, priority) in enumerate(rules):
-        if isinstance(find, str):
-            at = text.find(find)
-            while at >= 0:
-                every.append((at, priority, -len(find), i, at + len(find), put))
-                at = text.find(find, at + len(find))
-        else:
-            every += [(m.start(), priority, m.start() - m.end(), i, m.end(), m.expand(put)) for m in find.finditer(text) if m.end() > m.start()]
+        every += [(m.start(), priority, m.start() - m.end(), i, m.end(), m.expand(put)) for m in find.finditer(text) if m.end() > m.start()]
     won, end, lost = [], 0, 0
     for m in sorted(every):
         if m[0] >= end:
@@ -108,34 +105,101 @@ def _ranked_matches(text: str, rules: list[tuple[re.Pattern | str, str, int]]) -
     return won, lost
 
 
+#: A rule set is held whole by every worker.
+MAX_RULES = 100_000
+_FOLD = {i: i + 32 for i in range(65, 91)}
+
+
+class Literals:
+    """Literal rules (find, put, priority) as one automaton, which goes over a text once, however many rules there are.
+
+    Of the matches that start first, the one of the lowest priority, then the longest, then of the earliest rule wins. All other
+    matches that start inside it, also its own rule's and each of those that share its search text, are conflicts.
+    """
+
+    def __init__(self, rules: list[tuple[str, str, int]], ignore_case: bool = False, whole_word: bool = False):
+        import ahocorasick
+
+        if not rules or len(rules) > MAX_RULES:
+            raise ValueError(f"1 to {MAX_RULES:,} rules")
+        self.ignore_case, self.whole_word = ignore_case, whole_word
+        found: dict[str, tuple[tuple[int, int], str, int]] = {}
+        for i, (find, put, priority) in enumerate(rules):
+            if not find:
+                raise ValueError("rules need a search text")
+            if ignore_case and not find.isascii():
+                raise ValueError("case is ignored for ASCII search texts only")
+            key = find.translate(_FOLD) if ignore_case else find
+            rank, own, n = found.get(key, ((priority, i), put, 0))
+            found[key] = (*min((rank, own), ((priority, i), put)), n + 1)
+        self.automaton = ahocorasick.Automaton()
+        for key, ((priority, i), put, n) in found.items():
+            self.automaton.add_word(key, (len(key), priority, i, put, n))
+        self.automaton.make_automaton()
+
+    def replaced(self, text: str) -> tuple[str, int, int]:
+        """(text, matches, conflicts) after one pass."""
+        low = text.translate(_FOLD) if self.ignore_case else text
+        of_word = _word_character() if self.whole_word else None
+        every = []
+        for last, (size, priority, i, put, n) in self.automaton.iter(low):
+            start = last + 1 - size
+            if of_word and ((start and of_word(text[start - 1])) or (last + 1 < len(text) and of_word(text[last + 1]))):
+                continue
+            every.append((start, priority, -size, i, put, n))
+        every.sort()
+        parts, at, matches, conflicts = [], 0, 0, 0
+        for start, _, size, _, put, n in every:
+            if start < at:
+                conflicts += n
+                continue
+            parts += [text[at:start], put]
+            at, matches, conflicts = start - size, matches + 1, conflicts + n - 1
+        return "".join([*parts, text[at:]]), matches, conflicts
+
+
+@functools.cache
+def _word_character():
+    import regex
+
+    return regex.compile(_WORD).match
+
+
 def _python_template(template: str) -> str:
     return re.sub(r"\$\{(\w+)\}|\$(\w+)", lambda m: rf"\g<{m[1] or m[2]}>", template.replace("\\", r"\\"))
 
 
-def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = False) -> Column:
-    """struct(text, matches, conflicts) of a pass with all rules; each rule's own matches do not overlap, and one that lost is not tried again."""
+def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = False, ignore_case: bool = False, whole_word: bool = False) -> Column:
+    """struct(text, matches, conflicts) of a pass with all rules: literals by one automaton (see Literals); with `regex`, patterns,
+    each of whose own matches do not overlap, and one that lost is not tried again. A null text has no matches."""
     if regex:
+        if ignore_case or whole_word:
+            raise ValueError("patterns say themselves what case and words they want")
         for f, _, _ in rules:
             java_pattern(f)  # refuses what the other regex operators refuse
             if re.search(r"\\[pPzZGQEhHvVRXk]|\(\?[a-zA-Z-]*[ux]|&&", f):
                 raise ValueError(f"{f!r} means different things to the two regex engines")
-    # ASCII classes, word limits and case, as the other regex operators have them.
-    ready = [(re.compile(f, re.ASCII), _python_template(r), p) if regex else (f, r, p) for f, r, p in rules]
-
-    @F.pandas_udf("text string, matches int, conflicts int")
-    def run(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in s:
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            won, lost = _ranked_matches(text, ready)
-            parts, at = [], 0
-            for m in won:
-                parts += [text[at : m[0]], m[5]]
-                at = m[4]
-            out.append(("".join([*parts, text[at:]]), len(won), lost))
-        return pd.DataFrame(out, columns=["text", "matches", "conflicts"])
+        # ASCII classes, word limits and case, as the other regex operators have them.
+        ready = [(re.compile(f, re.ASCII), _python_template(r), p) for f, r, p in rules]
+    else:
+        literals = Literals(rules, ignore_case, whole_word)
+
+    def one(text: str | None) -> tuple[str | None, int, int]:
+        if text is None:
+            return None, 0, 0
+        if not regex:
+            return literals.replaced(text)
+        won, lost = _ranked_matches(text, ready)
+        parts, at = [], 0
+        for m in won:
+            parts += [text[at : m[0]], m[5]]
+            at = m[4]
+        return "".join([*parts, text[at:]]), len(won), lost
+
+    @F.arrow_udf("struct<text:string,matches:int,conflicts:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        columns = list(zip(*(one(t.as_py()) for t in texts))) if len(texts) else [[], [], []]
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.int32()))], ["text", "matches", "conflicts"])
 
     return run(c)
 

@@ -13,7 +13,49 @@ _NAME = r"(?:`((?:[^`]|``)+)`|\"([^\"]+)\"|([\w$]+))"
 _OPTION = re.compile(r"(?i)\b(ENGINE|AUTO_INCREMENT|(?:DEFAULT\s+)?(?:CHARSET|CHARACTER\s+SET)|(?:DEFAULT\s+)?COLLATE|ROW_FORMAT|COMMENT)\s*=?\s*('(?:[^'\\]|\\.|'')*'|[\w.]+)")
 _INDEX = re.compile(r"(?i)^(UNIQUE\s+)?(?:FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\b")
 _CONSTRAINT = re.compile(r"(?i)^(CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK)\b")
-PARSED = "columns array<struct<name:string,definition:string,place:int>>, constraints array<string>, indexes array<string>, options array<struct<name:string,value:string>>, modifiers string, status string, reason string"
+#: Words with a meaning of their own in column types, column clauses and table elements; quoted, they are names.
+KEYWORDS = frozenset(
+    """
+    array as asc auto_increment autoincrement bigint binary bit blob bool boolean by
+    cascade case cast char character check collate column comment compression conflict
+    constraint create current_date current_time current_timestamp date datetime decimal
+    default deferrable delete desc distinct double else end enum exists false first float
+    foreign generated identity if in initially int integer interval key last localtime
+    localtimestamp long match mediumint national no not null numeric on primary real
+    references restrict set smallint spatial stored table text then time timestamp tinyint
+    true unique unsigned update using uuid values varchar varying virtual when with without
+    zerofill zone precision always rowid engine charset fulltext index temporary temp
+    unlogged replace or partition inherits strict tablespace
+
+    bigserial box bytea cidr clob dec geometry geometrycollection inet json jsonb line linestring
+    longblob longtext macaddr mediumblob mediumtext money nchar nvarchar point polygon serial
+    smallserial tinyblob tinytext varbinary xml year
+
+    day hour minute month second signed to
+
+    column_format encoding invisible srid statistics storage visible
+
+    action btree deferred full hash immediate include inherit nulls parser partial simple where
+    """.split()
+)
+_BARE = re.compile(r"[a-z_][a-z0-9_$]*\Z")
+_SPELT = re.compile(r"'(?:[^'\\]|\\.|'')*'|`((?:[^`]|``)*)`|\"((?:[^\"]|\"\")*)\"", re.S)
+
+
+def identity(quote: str, value: str) -> str:
+    """What tells a name from others: a quoted one is the bare one only if it is portable (lower case) and no keyword."""
+    if not quote or (_BARE.match(value) and value not in KEYWORDS):
+        return value
+    return f"{quote}{value}{quote}"
+
+
+def _named(text: str) -> str:
+    """`text` with quoted names that are as good as bare ones without their quotes."""
+    bare = lambda m: m[0] if m[0][0] == "'" else identity(m[0][0], (m[1] or "").replace("``", "`") if m[0][0] == "`" else (m[2] or "").replace('""', '"'))
+    return _SPELT.sub(bare, text)
+
+
+PARSED = "columns array<struct<name:string,definition:string,place:int,identity:string>>, constraints array<string>, indexes array<string>, options array<struct<name:string,value:string>>, modifiers string, status string, reason string"
 
 
 def _canonical(text: str) -> str:
@@ -55,12 +97,13 @@ def parse_table(ddl: str) -> tuple:
     columns, constraints, indexes = [], [], []
     for part in _elements(text[head.end() : end]):
         if _INDEX.match(part):
-            indexes.append(part)
+            indexes.append(_named(part))
         elif _CONSTRAINT.match(part):
-            constraints.append(part)
+            constraints.append(_named(part))
         elif m := re.match(rf"(?s){_NAME}\s+(.+)", part):
             name = (m[1] or m[2] or m[3]).replace("``", "`")
-            columns.append({"name": name, "definition": m[4], "place": len(columns) + 1})
+            quote = part[0] if part[0] in "`\"" else ""
+            columns.append({"name": name, "definition": _named(m[4]), "place": len(columns) + 1, "identity": identity(quote, name)})
         else:
             return unknown(f"element {part[:40]!r}")
     tail = text[end + 1 :].strip()
@@ -104,14 +147,15 @@ def diff_values(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     return x.join(y, keys, "full").withColumn("change", change).filter("change IS NOT NULL").select(*keys, "change", F.col("x.v").alias("old"), F.col("y.v").alias("new"))
 
 
-def diff_columns(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns added, removed or with another definition."""
-    return diff_values(a, b, [*keys, "name"], "definition")
+def diff_columns(a: DataFrame, b: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """Columns added, removed or with another definition. name: the column that tells columns apart, `identity` for those of
+    column_rows(), where quotes may make another name of one."""
+    return diff_values(a, b, [*keys, name], "definition")
 
 
-def diff_order(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def diff_order(a: DataFrame, b: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
     """Tables with the same columns in another order."""
-    names = lambda df, as_: df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]).alias(as_))
+    names = lambda df, as_: df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(name).alias("name")))), lambda s: s["name"]).alias(as_))
     both = names(a, "old").join(names(b, "new"), keys)
     return both.filter((F.col("old") != F.col("new")) & (F.array_sort("old") == F.array_sort("new")))
 
@@ -135,7 +179,8 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: list[str], content: list[str])
 
 
 def diff_dumps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """`diff_tables` of two statement tables."""
+    """`diff_tables` of two statement tables. Columns are the same by identity and definition, whatever their quotes."""
     content = ["columns", "constraints", "indexes", "options", "modifiers"]
-    sides = [parse_tables(x).withColumns({"constraints": F.array_sort("constraints"), "indexes": F.array_sort("indexes")}) for x in (a, b)]
+    bare = F.transform("columns", lambda c: F.struct(c["identity"].alias("identity"), c["definition"].alias("definition")))
+    sides = [parse_tables(x).withColumns({"columns": bare, "constraints": F.array_sort("constraints"), "indexes": F.array_sort("indexes")}) for x in (a, b)]
     return diff_tables(*sides, ["database", "table"], content)

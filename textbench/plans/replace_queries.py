@@ -33,6 +33,24 @@ def replace_batch_conflicts(table, spark):
     return table("documents").select("doc_id", got.alias("r")).select("doc_id", "r.matches", "r.conflicts")
 
 
+_WORDS = r"[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+"
+
+
+@query(f"""
+WITH rules AS (SELECT w, row_number() OVER (ORDER BY w) AS i FROM (
+    SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(p_name, '[A-Za-z]+')) FROM part)) WHERE length(w) > 3),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS x, unnest(range(len(regexp_extract_all(text, '{_WORDS}')))) AS at FROM documents),
+r AS (SELECT doc_id, string_agg(CASE WHEN i IS NULL THEN x ELSE '<' || i || '>' END, '' ORDER BY at) AS text, count(i)::INT AS matches
+      FROM t LEFT JOIN rules ON w = translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(matches, 0)::INT AS matches, 0::INT AS conflicts FROM documents d LEFT JOIN r USING (doc_id)""")
+def replace_batch_many(table, spark):
+    """Every word of the benchmark and of the parts' names is a rule: thousands, in one pass."""
+    some = lambda name, c: table(name).select(F.explode(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    words = some("benchmark", "text").unionByName(some("part", "p_name")).select(F.lower("w").alias("w")).filter("length(w) > 3").distinct()
+    rules = [(r.w, f"<{i}>", i) for i, r in enumerate(words.orderBy("w").limit(R.MAX_RULES + 1).collect(), 1)]
+    return table("documents").select("doc_id", R.batch_result(F.col("text"), rules, ignore_case=True, whole_word=True).alias("r")).select("doc_id", "r.text", "r.matches", "r.conflicts")
+
+
 @query()
 def replace_batch_regex(table, spark):
     rules = [(r"(?P<a>[a-z])\w*ing\b", "${a}-ing", 1), (r"\bth\w+", "TH", 0)]
