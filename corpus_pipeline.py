@@ -24,6 +24,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    """`docs` with the row key k that the operators give them, whatever whole-number type doc_id has."""
+    return docs.withColumn("k", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a mean probability of 0.5 or more; null and letterless texts go."""
     return identify_languages(docs).filter("lang_pred <> 'und' AND lang_score >= 0.5").select(*COLUMNS)
@@ -31,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; only those that lose all their words go."""
-    out = dedup_lines(docs.select(*COLUMNS)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
+    out = dedup_lines(docs.select(*COLUMNS), longest=False).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
@@ -45,12 +50,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without a benchmark window."""
     hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = staged(hits.filter(F.size("spans") > 0).select("k").distinct())
-    return docs.withColumn("k", row_key("doc_id", "text")).join(bounded(gone), "k", "left_anti").select(*COLUMNS)
+    return _with_key(docs).join(bounded(gone), "k", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix; of rows that agree in doc_id and text, one stays with what the mix takes of all of them."""
-    keyed = docs.select(*COLUMNS).withColumn("k", row_key("doc_id", "text"))
+    keyed = _with_key(docs.select(*COLUMNS))
     taken = mix_sources(keyed, carry=["k"]).filter("taken > 0")
     taken = taken.groupBy("k", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
     return keyed.dropDuplicates(["k"]).join(taken, "k").select(*COLUMNS, "size", "source_size", "target", "taken")
