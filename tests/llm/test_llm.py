@@ -494,7 +494,8 @@ def test_suffix_array(spark, monkeypatch, width, factor):
     monkeypatch.setattr(line_dedup.Suffixes, "FACTOR", factor)
     rows = [(d, t) for d, t in line_rows("runs") if d and d < 25]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.col("doc_id"))
-    array = line_dedup.Suffixes(df, 20)
+    array = line_dedup.Suffixes(df, 20, (1, 2))
+    array.finish()
     names = {}
     for d, t in rows:
         for i, x in enumerate(t.split("\n")):
@@ -521,6 +522,21 @@ def test_suffix_array(spark, monkeypatch, width, factor):
         if a != b:
             both = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert lcp.get(place[at], 0) == both
+    starts = defaultdict(set)
+    for r in array.intervals.collect():
+        starts[r.from_2].add(suffix[r.k, r.at][:2])
+    assert all(len(s) == 1 for s in starts.values()) and len(starts) == len({s[:2] for s in suffix.values()})
+
+
+def test_lines_go_by_the_array(spark, monkeypatch):
+    """Without the order of the suffixes nothing can be told to repeat."""
+    rows = [(d, t) for d, t in line_rows("runs") if d and d < 25]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = line_dedup.dedup_lines(df, longest=False)
+    assert kept.agg(F.sum("n_removed")).first()[0] > 0 and kept.filter("longest_run IS NOT NULL").isEmpty()
+    ordered = line_dedup._ordered
+    monkeypatch.setattr(line_dedup, "_ordered", lambda groups, depths=(): ordered(groups.withColumn("parts", F.array(F.monotonically_increasing_id())), depths))
+    assert line_dedup.dedup_lines(df, longest=False).agg(F.sum("n_removed")).first()[0] == 0
 
 
 # --- 7 ----------------------------------------------------------------------------------------------------------------
@@ -583,6 +599,15 @@ def test_pipeline(spark, tmp_path, corpus):
     assert hashlib and sum(r.taken for r in final) > sum(len(split(t)) for d, t, *_ in rows if d in kept["decontaminate"])
 
 
+def test_pipeline_with_an_int_doc_id(spark, tmp_path, corpus):
+    import corpus_pipeline
+
+    item = prose(71, 30)
+    docs = spark.createDataFrame([(1, item, "en", "s", 1), (2, prose(3, 60), "en", "s", 1)], "doc_id int, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_pipeline_awkward_tables(spark, tmp_path, awkward):
     import corpus_pipeline
 

@@ -22,28 +22,39 @@ def _numbered(lines: Column) -> Column:
     return F.filter(every, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _ordered(groups: DataFrame) -> DataFrame:
-    """`groups`, unique in `parts`, in the order of that array: `before`, the sum of m over all earlier rows, and `prior`, the row before.
+def _agree(x: Column, y: Column) -> Column:
+    """How many leading elements two arrays share."""
+    differ = F.zip_with(x, y, lambda a, b: F.when(a == b, F.lit(0)).otherwise(F.lit(1)))
+    return F.coalesce(F.nullif(F.array_position(differ, F.lit(1)), F.lit(0)) - 1, F.least(F.size(x), F.size(y)).cast("long")).cast("int")
 
-    The rows are dealt out by ranges of `parts`; only the sums and last rows of the ranges meet in one place.
+
+def _ordered(groups: DataFrame, depths: tuple[int, ...] = ()) -> DataFrame:
+    """`groups`, unique in `parts`, in the order of that array: `before`, the sum of m over all earlier rows, `prior`, the row before,
+    and for each of `depths` (elements of parts) `from_<depth>`, the `before` of the first row of the run of neighbours that share
+    so many leading elements with the one before them.
+
+    The rows are dealt out by ranges of `parts`; only the sums, last rows and last starts of the ranges meet in one place.
     """
     rows = staged(groups.repartitionByRange("parts").sortWithinPartitions("parts").withColumn("id", F.monotonically_increasing_id()))
     rows = rows.withColumn("part", F.shiftrightunsigned("id", 33)).withColumn("own", F.struct("parts", "one"))
     earlier = Window.orderBy("part")
+    above = earlier.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("part").agg(F.sum("m").alias("s"), F.max_by("own", "id").alias("end"))
-    sums = sums.select("part", F.coalesce(F.sum("s").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lag("end").over(earlier).alias("last"))
+    sums = sums.select("part", F.coalesce(F.sum("s").over(above), F.lit(0)).alias("base"), F.lag("end").over(earlier).alias("last"))
     within = Window.partitionBy("part").orderBy("id")
     rows = rows.withColumns({"before": F.coalesce(F.sum("m").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "prior": F.lag("own").over(within)})
     rows = rows.join(F.broadcast(sums), "part").withColumns({"before": F.col("before") + F.col("base"), "prior": F.coalesce("prior", "last")})
+    if depths:
+        same = F.when(F.col("prior").isNull(), F.lit(0)).otherwise(_agree(F.col("prior.parts"), F.col("parts")))
+        rows = rows.withColumn("same", same).withColumns({f"from_{d}": F.when(F.col("same") < d, F.col("before")) for d in depths})
+        starts = rows.groupBy("part").agg(*[F.max(f"from_{d}").alias(f"last_{d}") for d in depths])
+        starts = starts.select("part", *[F.max(f"last_{d}").over(above).alias(f"last_{d}") for d in depths])
+        upto = within.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.join(F.broadcast(starts), "part").withColumns({f"from_{d}": F.coalesce(F.max(f"from_{d}").over(upto), f"last_{d}") for d in depths})
+        rows = rows.drop("same", *[f"last_{d}" for d in depths])
     return rows.drop("id", "part", "own", "base", "last")
 
 
-def _agree(x: Column, y: Column) -> Column:
-    """How many leading elements two arrays share."""
-    differ = F.zip_with(x, y, lambda a, b: F.when(a == b, F.lit(0)).otherwise(F.lit(1)))
-    return F.coalesce(F.nullif(F.array_position(differ, F.lit(1)), F.lit(0)) - 1, F.least(F.size(x), F.size(y)).cast("long")).cast("int")
-
-
 class Suffixes:
     """The suffix array of the repeated lines of documents, by prefix doubling.
 
@@ -53,16 +64,20 @@ class Suffixes:
     FACTOR suffixes, each behind what the one before it covers (two doublings at once). Only stretches as long as what has
     been compared go on, so the rounds shrink.
 
-    levels[j]: (d, k, at, end, size, long, parts): the arrays by which round j sorts; an element covers step[j] lines.
+    levels[j]: (d, k, at, end, size, parts): the arrays by which round j sorts; an element covers step[j] lines.
     array: (d, k, at, end, rank, m): each suffix's place in the array, and how many suffixes are equal to it.
+    intervals: (d, k, at, end, long, from_<depth>): for each of `depths`, the place in the array where the interval of suffixes
+    begins that share so many lines. They show after the first sort; the rounds behind it are done when array or splits are asked.
     splits: (rank, level, same, a, b): the suffixes at `rank` and those before them part in round `level` behind `same` equal
     elements of `parts`; a and b are a place (k, at) of each.
     """
 
     WIDTH, FACTOR = 64, 4
 
-    def __init__(self, docs: DataFrame, long_words: int):
-        """docs: k, doc_id, text."""
+    def __init__(self, docs: DataFrame, long_words: int, depths: tuple[int, ...]):
+        """docs: k, doc_id, text; depths: of WIDTH lines at most."""
+        if not all(0 < d <= self.WIDTH for d in depths):
+            raise ValueError(f"runs of 1 to {self.WIDTH} lines")
         sep = r"\x20\x09-\x0D"
         long = rf"^[{sep}]*(?:[^{sep}]+[{sep}]+){{{long_words - 1}}}[^{sep}]"
         lines = F.transform(_numbered(F.split(F.coalesce("text", F.lit("")), "\n", -1)), lambda s: F.struct(F.xxhash64(s["x"]).alias("h"), s["x"].rlike(long).alias("long")))
@@ -76,24 +91,38 @@ class Suffixes:
         rows = rows.withColumns({"end": F.max("at").over(own) + 1, "size": F.count("*").over(own).cast("int")})
         rows = rows.withColumn("parts", F.collect_list("h").over(own.orderBy("at").rowsBetween(0, self.WIDTH - 1)))
         self.levels, self.step, self.array, self.splits = [staged(rows.drop("stretch", "h"))], [1], None, None
+        self.intervals, self.depths = None, depths
         known = self.levels[0].withColumns({"rank": F.lit(0).cast("long"), "m": F.lit(2).cast("long")})
-        while known is not None:
-            known = self._sorted(known)
+        self.open = self._sorted(known)
+
+    def finish(self) -> None:
+        """All rounds that are left."""
+        while self.open is not None:
+            self.open = self.open(self)
 
-    def _sorted(self, rows: DataFrame) -> DataFrame | None:
-        """Sorts the groups (equal rank, m > 1) of `rows` by their parts; the rows of the next round, if there is one.
+    def _sorted(self, rows: DataFrame):
+        """Sorts the groups (equal rank, m > 1) of `rows` by their parts; the next round, if there is one.
 
         Equal suffixes shorter than an element of `parts` are in their place; some of them may lie in shorter stretches.
         """
         level, cover = len(self.levels) - 1, self.step[-1] * (self.FACTOR if len(self.levels) > 1 else self.WIDTH)
         groups = rows.filter((F.col("m") > 1) & (F.col("end") - F.col("at") >= self.step[-1])).groupBy("rank", "parts").agg(F.count("*").alias("m"), F.min(F.struct("k", "at")).alias("one"))
-        groups = _ordered(groups)
+        depths = self.depths if self.intervals is None else ()
+        own_from = [f"from_{d}" for d in depths]
+        groups = _ordered(groups, depths)
         start = groups.groupBy("rank").agg(F.min("before").alias("base"))
         groups = staged(groups.join(start, "rank").withColumn("new", F.col("rank") + F.col("before") - F.col("base")).drop("base"))
         split = groups.filter("new > rank").select(F.col("new").alias("rank"), F.lit(level).alias("level"), _agree(F.col("prior.parts"), F.col("parts")).alias("same"), F.col("prior.one").alias("a"), F.col("one").alias("b"))
         self.splits = split if self.splits is None else self.splits.unionByName(split)
-        rows = spread_join(rows, groups.select("parts", "new", F.col("m").alias("n")), groups.select("parts", "m"), ["parts"], ["k", "at"], "left")
-        rows = staged(rows.select(*_PLACE, "end", "size", "long", F.coalesce("new", "rank").alias("rank"), F.coalesce("n", "m").alias("m")))
+        rows = spread_join(rows, groups.select("parts", "new", F.col("m").alias("n"), *own_from), groups.select("parts", "m"), ["parts"], ["k", "at"], "left")
+        kept = ["long"] if depths else []
+        rows = staged(rows.select(*_PLACE, "end", "size", *kept, *own_from, F.coalesce("new", "rank").alias("rank"), F.coalesce("n", "m").alias("m")))
+        if depths:
+            self.intervals, rows = rows.select(*_PLACE, "end", "long", *own_from), rows.drop("long", *own_from)
+        return lambda self: self._next(rows, cover)
+
+    def _next(self, rows: DataFrame, cover: int):
+        """Prepares and does the next round."""
         open_, more = F.col("size") >= cover, (F.col("m") > 1) & (F.col("end") - F.col("at") > cover)
         more = rows.agg(F.bool_or(more)).first()[0]
         done = rows.filter(~open_) if more else rows
@@ -106,7 +135,7 @@ class Suffixes:
         rows = staged(rows.filter(open_).withColumn("parts", F.filter(F.array("rank", *behind), lambda r: r.isNotNull())))
         self.levels.append(rows.drop("rank", "m"))
         self.step.append(cover)
-        return rows
+        return self._sorted(rows)
 
     def common(self) -> DataFrame:
         """(rank, lcp): how many lines the suffixes at a rank share with those before it in the array; 0 where there is no row.
@@ -127,29 +156,30 @@ class Suffixes:
 
     def longest(self) -> DataFrame:
         """(k, longest): the most lines that a document has in a row which also stand at another place."""
+        self.finish()
         lcp = staged(self.common())
-        rows = self.array.withColumn("after", F.col("rank") + F.col("m"))
-        rows = rows.join(lcp.withColumnRenamed("lcp", "x"), "rank", "left").join(lcp.select(F.col("rank").alias("after"), F.col("lcp").alias("y")), "after", "left")
-        own = F.when(F.col("m") > 1, F.col("end") - F.col("at")).otherwise(F.greatest(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))))
-        return rows.groupBy("k").agg(F.max(own).cast("long").alias("longest"))
+        alone = self.array.filter("m = 1").withColumn("after", F.col("rank") + 1)  # each with a rank of its own
+        alone = alone.join(lcp.withColumnRenamed("lcp", "x"), "rank", "left").join(lcp.select(F.col("rank").alias("after"), F.col("lcp").alias("y")), "after", "left")
+        alone = alone.select("k", F.greatest(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))).alias("n"))
+        equal = self.array.filter("m > 1").select("k", (F.col("end") - F.col("at")).alias("n"))
+        return alone.unionByName(equal).groupBy("k").agg(F.max("n").cast("long").alias("longest"))
 
     def later(self, depth: int) -> DataFrame:
-        """(k, at, long): the places whose first `depth` lines (WIDTH at most) also start at an earlier place: all but the first of
-        each interval of the array with a common prefix of `depth` lines or more."""
-        if not 0 < depth <= self.WIDTH:
-            raise ValueError(f"runs of 1 to {self.WIDTH} lines")
-        rows = self.levels[0].filter(F.col("at") + depth <= F.col("end")).select(*_PLACE, "long", F.slice("parts", 1, depth).alias("parts"))
-        first = staged(rows.groupBy("parts").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("m")).filter("m > 1"))
-        out = spread_join(rows, first.drop("m"), first, ["parts"], ["k", "at"])
+        """(k, at, long): the places whose first `depth` lines (one of `depths`) also start at an earlier place: all but the first of
+        each interval of the array whose suffixes share so many lines."""
+        rows = self.intervals.filter(F.col("at") + depth <= F.col("end")).select(*_PLACE, "long", F.col(f"from_{depth}").alias("interval"))
+        first = staged(rows.groupBy("interval").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("m")).filter("m > 1"))
+        out = spread_join(rows, first.drop("m"), first, ["interval"], ["k", "at"])
         return out.filter(F.struct(*_PLACE) > F.col("first")).select("k", "at", "long")
 
 
-def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20, longest: bool = True) -> DataFrame:
     """The documents with n_lines, n_removed, longest_run and `text` without the later copies of repeated runs of lines.
 
     A run counts from `depth` lines on, and a single line from `long_words` words on; its first copy, by (doc_id, line), stays.
     Lines end at LF; blank lines are neither counted in runs nor deleted. A run may repeat in another document or in its own.
-    longest_run: the most non-blank lines in a row that also stand, in a row, at another place.
+    longest_run: the most non-blank lines in a row that also stand, in a row, at another place. Without `longest` it is null, and
+    the suffix array is sorted only as deep as runs of `depth` lines need.
 
     Defined cases: null text stays null, with 0 lines; a null doc_id counts as larger than any; rows that agree in doc_id and
     text are one document and fare alike; an empty table gives an empty result; extra columns pass through (n_lines, n_removed
@@ -157,10 +187,10 @@ def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20) -> DataFr
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "longest_run")]
     rows = docs.select(F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("own"))
-    array = Suffixes(rows.select("k", "doc_id", "text"), long_words)
+    array = Suffixes(rows.select("k", "doc_id", "text"), long_words, tuple(sorted({1, depth})))
     gone = array.later(depth).select("k", F.explode(F.sequence("at", F.col("at") + depth - 1)).alias("at")).unionByName(array.later(1).filter("long").select("k", "at"))
     found = gone.groupBy("k").agg(F.collect_set("at").alias("gone"))
-    found = array.longest().join(found, "k", "left")
+    found = array.longest().join(found, "k", "left") if longest else found.withColumn("longest", F.lit(None).cast("long"))
 
     def kept(s):
         at = let(F.struct(_numbered(s["lines"]).alias("x"), s["gone"].alias("g")), lambda y: F.transform(y["g"], lambda p: y["x"][p]["i"]))
@@ -178,4 +208,4 @@ def dedup_lines(docs: DataFrame, depth: int = 2, long_words: int = 20) -> DataFr
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
     removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n - F.col("cut.n"))
     own = [F.col("cut.text").alias("text") if c == "text" else F.col("own")[c].alias(c) for c in names]
-    return out.select(*own, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"))
+    return out.select(*own, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), (F.coalesce("longest", F.lit(0)) if longest else F.col("longest")).cast("long").alias("longest_run"))

@@ -71,9 +71,9 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
-def row_key(*cols: str) -> Column:
+def row_key(*cols: str | Column) -> Column:
     """A 64-bit key of the row's own values; rows that agree in them share it, and their results."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    return F.xxhash64(*cols)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
