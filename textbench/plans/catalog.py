@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textbench.plans import dump_queries, profile_queries, record_queries, replace_queries, search_queries, sink_queries  # noqa: F401
+from textbench.plans import dump_queries, file_queries, profile_queries, record_queries, replace_queries, search_queries, sink_queries  # noqa: F401
 from textbench.plans.registry import ORACLES, QUERIES
 
 

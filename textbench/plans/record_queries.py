@@ -172,24 +172,24 @@ def unique_names(table, spark):
     return unique(table("part").select("p_partkey", F.col("p_brand").alias("name")), "name", "p_partkey")
 
 
-_NUMBERED = "CASE c_custkey % 7 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN c_mktsegment || '_02' WHEN 3 THEN c_mktsegment || '_0' || (c_custkey % 9 + 1) ELSE c_name END"
+_NUMBERED = "CASE s_suppkey % 7 WHEN 0 THEN 'Zone' || (s_nationkey % 3) WHEN 1 THEN 'zone' || (s_nationkey % 3) WHEN 2 THEN 'ZONE' || (s_nationkey % 3) || '_02' WHEN 3 THEN 'Zone' || (s_nationkey % 3) || '_0' || (s_suppkey % 9 + 1) ELSE s_name END"
 
 
 @query(f"""
-WITH RECURSIVE n AS (SELECT c_custkey, {_NUMBERED} AS name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
-g AS (SELECT 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, INTEGER) AS used, NULL::BIGINT AS c_custkey, ''::VARCHAR AS name
+WITH RECURSIVE n AS (SELECT s_suppkey, {_NUMBERED} AS name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier),
+g AS (SELECT 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, INTEGER) AS used, NULL::BIGINT AS s_suppkey, ''::VARCHAR AS name
   UNION ALL
-  SELECT s.i, CASE WHEN k = 1 THEN map_concat(used, MAP {{lower(base): 1}}) ELSE map_concat(used, MAP {{lower(base): k, lower(base || suffix): 1}}) END, s.c_custkey, base || suffix
-  FROM (SELECT n.i, n.c_custkey, n.name AS base, g.used, coalesce(g.used[lower(n.name)], 0) + 1 AS k,
+  SELECT s.i, CASE WHEN k = 1 THEN map_concat(used, MAP {{lower(base): 1}}) ELSE map_concat(used, MAP {{lower(base): k, lower(base || suffix): 1}}) END, s.s_suppkey, base || suffix
+  FROM (SELECT n.i, n.s_suppkey, n.name AS base, g.used, coalesce(g.used[lower(n.name)], 0) + 1 AS k,
                CASE WHEN coalesce(g.used[lower(n.name)], 0) = 0 THEN '' ELSE (SELECT '_' || lpad(j::VARCHAR, greatest(2, length(j::VARCHAR))::INT, '0')
                  FROM range(20) t(x), (SELECT coalesce(g.used[lower(n.name)], 0) + 1 + x AS j) WHERE g.used[lower(n.name || '_' || lpad(j::VARCHAR, greatest(2, length(j::VARCHAR))::INT, '0'))] IS NULL ORDER BY j LIMIT 1) END AS suffix
         FROM g JOIN n ON n.i = g.i + 1) s)
-SELECT c_custkey, name FROM g WHERE i > 0""")
+SELECT s_suppkey, name FROM g WHERE i > 0""")
 def unique_names_taken(table, spark):
     """Names that other names' numbers have already."""
     from textbench.operators.dump import unique_names as unique
 
-    return unique(table("customer").select("c_custkey", F.expr(_NUMBERED).alias("name")), "name", "c_custkey")
+    return unique(table("supplier").select("s_suppkey", F.expr(_NUMBERED).alias("name")), "name", "s_suppkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT o_orderkey, o_orderkey::BIGINT * o_custkey AS n FROM orders)")

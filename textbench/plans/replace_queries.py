@@ -39,8 +39,8 @@ _WORDS = r"[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+"
 @query(f"""
 WITH rules AS (SELECT w, row_number() OVER (ORDER BY w) AS i FROM (
     SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(p_name, '[A-Za-z]+')) FROM part)) WHERE length(w) > 3),
-t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS x, unnest(range(len(regexp_extract_all(text, '{_WORDS}')))) AS at FROM documents),
-r AS (SELECT doc_id, string_agg(CASE WHEN i IS NULL THEN x ELSE '<' || i || '>' END, '' ORDER BY at) AS text, count(i)::INT AS matches
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}')) AS x, unnest(range(len(regexp_extract_all(text, '{_WORDS}')))) AS pos FROM documents),
+r AS (SELECT doc_id, string_agg(CASE WHEN i IS NULL THEN x ELSE '<' || i || '>' END, '' ORDER BY pos) AS text, count(i)::INT AS matches
       FROM t LEFT JOIN rules ON w = translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY doc_id)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(matches, 0)::INT AS matches, 0::INT AS conflicts FROM documents d LEFT JOIN r USING (doc_id)""")
 def replace_batch_many(table, spark):
