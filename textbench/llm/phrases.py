@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.flat import FOLD, mix, slices, words
-from textbench.llm.shared import bitmap, in_bitmap, spread_join, staged
+from textbench.llm.shared import bitmap, in_bitmap, rows_of, spread_join, staged
 from textbench.operators.numbering import with_running
 
 DEPTH = 4
@@ -49,8 +49,8 @@ class _Text:
 class _Counter:
     """Counts of rows of numbers, told apart by a 64-bit key; holds the different ones until there are HELD of them."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.parts, self.size = names, [], 0
+    def __init__(self):
+        self.parts, self.size = [], 0
 
     def add(self, key: np.ndarray, columns: list[np.ndarray], count: np.ndarray | None = None) -> None:
         key, at, of = np.unique(key, return_index=True, return_inverse=True)
@@ -64,26 +64,42 @@ class _Counter:
             columns = [np.concatenate(c) for c in zip(*(p[1] for p in parts))]
             self.add(np.concatenate([p[0] for p in parts]), columns, np.concatenate([p[2] for p in parts]))
 
-    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+    def told(self, last: bool = False) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """What has been counted, (columns, counts), once there is enough of it."""
         if self.size > 2 * HELD or last:
             self.merged()
         if self.size > HELD or last:
             for _, columns, count in self.parts:
-                yield pa.record_batch([*(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns), pa.array(count)], [*self.names, "c"])
+                yield columns, count
             self.parts, self.size = [], 0
 
 
-def _counted(docs: DataFrame, names: list[str], types: str, each: Callable[[_Text, _Counter], None]) -> DataFrame:
-    """What `each` adds to the counter of its task for every slice of the texts; counts are partial, by task."""
+def _as_rows(names: list[str]) -> Callable[[list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]]:
+    return lambda columns, count: iter([pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(count)], [*names, "c"])])
+
+
+def _as_blocks(columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(g, block): the numbers of each group (the first column) together, as one block of bytes."""
+    order = np.argsort(columns[0], kind="stable")
+    g, rest = columns[0][order], np.column_stack([*(c.view(np.int64) for c in columns[1:]), count])[order]
+    edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else np.zeros(0, np.int64)
+    blocks = [rest[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]
+    yield pa.record_batch([pa.array(g[edges[:-1]]), pa.array(blocks, pa.binary())], ["g", "block"])
+
+
+def _counted(docs: DataFrame, written: Callable[[list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], types: str, each: Callable[[_Text, _Counter], None]) -> DataFrame:
+    """What `each` adds to the counter of its task for every slice of the texts, as `written`; counts are partial, by task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(names)
+        counter = _Counter()
         for batch in batches:
             lang = batch.column(1).to_numpy().view(np.uint64)
             for lo, hi, buf, off in slices(batch.column(0)):
                 each(_Text(buf, off, lang[lo:hi]), counter)
-                yield from counter.batches()
-        yield from counter.batches(last=True)
+                for found in counter.told():
+                    yield from written(*found)
+        for found in counter.told(last=True):
+            yield from written(*found)
 
     return docs.select("text", "lh").mapInArrow(rows, types)
 
@@ -138,7 +154,7 @@ class _Prefixes:
 
     def __init__(self, docs: DataFrame, frequent: DataFrame, least: int, budget: int):
         spark = docs.sparkSession
-        common = spark.sparkContext.broadcast(bitmap(frequent.select("h"), frequent.count(), clamp=True))
+        common = spark.sparkContext.broadcast(bitmap(frequent.select("h"), rows_of(frequent), clamp=True))
 
         def pairs(x: _Text, counter: _Counter) -> None:
             ok = in_bitmap(common.value, x.h)
@@ -146,9 +162,9 @@ class _Prefixes:
             s = _chain(x.h[at], x.behind(1)[at])
             counter.add(s, [s])
 
-        level = _counted(docs, ["s"], "s long, c long", pairs).groupBy("s").agg(F.sum("c").alias("f"))
+        level = _counted(docs, _as_rows(["s"]), "s long, c long", pairs).groupBy("s").agg(F.sum("c").alias("f"))
         level = staged(level.filter(F.col("f") >= least))
-        self.open = spark.sparkContext.broadcast(bitmap(level.select(F.col("s").alias("h")), level.count(), clamp=True))
+        self.open = spark.sparkContext.broadcast(bitmap(level.select(F.col("s").alias("h")), rows_of(level), clamp=True))
         total = level.agg(F.sum("f")).first()[0] or 0
         share = total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.budget = max(min(budget, 1000), min(budget, share))
@@ -179,7 +195,7 @@ class _Prefixes:
             s = _chain(s[own], h[d][own])
             counter.add(s, [s])
 
-        return _counted(docs, ["s"], "s long, c long", each)
+        return _counted(docs, _as_rows(["s"]), "s long, c long", each)
 
     def suffixes(self) -> Callable[[_Text], tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         """A function to (places, word hashes, depth) of the suffixes of a slice that start with an open pair, cut before the first
@@ -198,7 +214,8 @@ class _Prefixes:
         return of
 
     def dealt(self, docs: DataFrame) -> DataFrame:
-        """(g, lead, h1, ..., c): the suffixes with the group and length of their prefix; counts are partial, by task."""
+        """(g, block): the suffixes by the group of their prefix, rows of numbers: the length of the prefix, the suffix and its count,
+        which is partial, by task."""
         of, heavy, ends = self.suffixes(), self.heavy, self.ends
 
         def each(x: _Text, counter: _Counter) -> None:
@@ -213,8 +230,7 @@ class _Prefixes:
             g = np.searchsorted(ends, own.view(np.int64), "right") - 1
             counter.add(s, [np.maximum(g, 0), lead, *h])
 
-        names = ["g", "lead", *_H]
-        return _counted(docs, names, ", ".join(f"{n} long" for n in [*names, "c"]), each)
+        return _counted(docs, _as_blocks, "g long, block binary", each)
 
 
 def _subtrees(dealt: DataFrame, least: int) -> DataFrame:
@@ -223,9 +239,10 @@ def _subtrees(dealt: DataFrame, least: int) -> DataFrame:
     several groups, and their parts are added."""
 
     def build(table: pa.Table) -> pa.Table:
-        h = [table.column(c).to_numpy().view(np.uint64) for c in _H]
+        rows = np.frombuffer(b"".join(table.column("block").to_pylist()), np.int64).reshape(-1, DEPTH + 2)
+        h = [rows[:, i].view(np.uint64) for i in range(1, DEPTH + 1)]
         order = np.lexsort(h[::-1])
-        h, lead, c = [x[order] for x in h], table.column("lead").to_numpy()[order], table.column("c").to_numpy()[order]
+        h, lead, c = [x[order] for x in h], rows[order, 0], rows[order, -1]
         out, new = [], np.zeros(len(c), bool)
         new[:1] = True
         for d in range(DEPTH):
