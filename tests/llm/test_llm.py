@@ -347,22 +347,78 @@ def test_pii_base_spans(spark, docs):
         assert got[i].base == base(t) and set(filter(None, got[i].base.split(","))) <= set(got[i].spans.split(","))
 
 
-def test_pii_held_out():
-    field, held = pii.train(pii.labelled_table()), pii.labelled_table(12)
-    x = pii._flat([[w for w, _ in s] for s in held])
-    labels = field.decode(x)
+def pii_items(own):
+    kind = (np.asarray(own, int) + 1) // 2
+    opens = [i for i, k in enumerate(kind) if k and not (i and kind[i - 1] == k and own[i] % 2 == 0)]
+    return {(i, next((j for j in range(i + 1, len(own)) if kind[j] != kind[i] or own[j] % 2), len(own)), kind[i]) for i in opens}
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.labelled_table())
 
-    def items(own):
-        kind = (np.asarray(own, int) + 1) // 2
-        opens = [i for i, k in enumerate(kind) if k and not (i and kind[i - 1] == k and own[i] % 2 == 0)]
-        return {(i, next((j for j in range(i + 1, len(own)) if kind[j] != kind[i] or own[j] % 2), len(own)), kind[i]) for i in opens}
 
-    found = [items(labels[x.first[i] : x.first[i + 1]]) for i in range(len(held))]
-    want = [items(np.array([label for _, label in s])) for s in held]
+def test_pii_held_out(field):
+    held = pii.labelled_table(12)
+    x = pii._flat([[w for w, _ in s] for s in held])
+    labels = field.decode(x)
+    found = [pii_items(labels[x.first[i] : x.first[i + 1]]) for i in range(len(held))]
+    want = [pii_items(np.array([label for _, label in s])) for s in held]
     hits = sum(len(a & b) for a, b in zip(found, want))
     assert hits / sum(map(len, found)) > 0.94 and hits / sum(map(len, want)) > 0.92
 
 
+def added(field, text):
+    raw = text.encode()
+    x = pii.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), pii.SPACED)
+    return [text[a:b] for _, a, b in pii.added_spans(raw, x.starts, x.ends, field.decode(x), pii.base_spans(text))]
+
+
+#: Not made by the labelled table's patterns; places and numbers are invented.
+FINDS = {
+    "reach jane dot doe at mail dot org please": ["jane dot doe at mail dot org"],
+    "My number is (617) 555-0142, after six.": ["(617) 555-0142"],
+    "Please call 617 555 0199 before noon": ["617 555 0199"],
+    "Telefon: 0301 234567": ["0301 234567"],
+    "contact: max.muster (at) firma dot de": ["max.muster (at) firma dot de"],
+    "ring 212-555-0186": ["212-555-0186"],
+    "you can write to jo at shop dot net": ["jo at shop dot net"],
+}
+NONE = [
+    "rows 100 200 3000 of 250 300 4000", "isbn 978-316-1484", "tel (at) 5", "the years 1998 1999 2000 2001 were good", "pp. 100-200-3000", "part no. 555-123-4567",
+    "meet me at the dot line at noon", "In 2020 we sold 250 300 4000 units", "order 4711 0815 1234", "see section 3.1.2 and table 4 at page 17", "built in 1899, 1901 and 1905",
+    "AB-1234-5678 is the model", "a dot at the end of line two", "ratio 12 34 56 78 90 at 25%", "2024-01-02 10:20:30 INFO done in 1234567 ms", "we met at mail and dot came later",
+]
+
+
+def test_pii_finds_and_hard_negatives(field):
+    got = {s: added(field, s) for s in FINDS}
+    right = sum(got[s] == want for s, want in FINDS.items())
+    false = {s: found for s in NONE if (found := added(field, s))}
+    assert right >= len(FINDS) - 1 and not false, (got, false)
+
+
+def test_pii_decoding_is_that_of_whole_texts(field):
+    rng = np.random.default_rng(3)
+    held = pii.labelled_table(13)
+    words = [w for s in held for w, _ in s]
+    quiet = ["the", "of", "and", "note", "que", "les"]
+    texts = [[str(w) for w in rng.choice(words, 60)] if i % 2 else [w for w, _ in held[i]] + quiet * int(rng.integers(0, 6)) + [w for w, _ in held[i + 1]] + ["the"] * int(rng.integers(0, 9)) for i in range(200)]
+    x = pii._flat([[], *texts, ["word"], ["555-123-4567"]])
+    score, got = field.scores(x), field.decode(x)
+    assert field.settled(score, x).mean() > 0.3
+    for lo, hi in zip(x.first, x.first[1:]):
+        if hi == lo:
+            continue
+        best, back = score[lo], []
+        for t in range(lo + 1, hi):
+            to = best[:, None] + field.moves
+            back.append(to.argmax(0))
+            best = to.max(0) + score[t]
+        total = lambda y: score[np.arange(lo, hi), y].sum() + field.moves[y[:-1], y[1:]].sum()  # noqa: B023, E731
+        assert total(got[lo:hi]) == pytest.approx(best.max(), abs=1e-3)
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -604,7 +660,7 @@ def test_pipeline_with_an_int_doc_id(spark, tmp_path, corpus):
 
     item = prose(71, 30)
     docs = spark.createDataFrame([(1, item, "en", "s", 1), (2, prose(3, 60), "en", "s", 1)], "doc_id int, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
 
 
