@@ -67,14 +67,21 @@ def lint(statements: DataFrame) -> DataFrame:
     """(level, finding, detail): empty tables, DEFINER clauses, mixed charsets or collations and the largest tables; one row that says so if there is nothing."""
     made, data = statements.filter("kind = 'create'").select(*KEY).distinct(), statements.filter(F.col("kind").isin(*DATA)).select(*KEY).distinct()
     name = lambda: F.concat_ws(".", F.nullif("database", F.lit("")), "table")
-    listed = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(c)), 1, 8), ", ")
+
+
+    def listed(names: DataFrame) -> DataFrame:
+        """How many names there are, and the first eight of them."""
+        first = names.select(F.lit(0).cast("long").alias("n"), "name").orderBy("name").limit(8)
+        both = first.unionByName(names.agg(F.count("*").alias("n")).withColumn("name", F.lit(None).cast("string")))
+        return both.agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+
     row = lambda df, level, finding, detail, when: df.filter(when).select(F.lit(level).alias("level"), F.lit(finding).alias("finding"), detail.alias("detail"))
-    empty = empty_tables(made, data, KEY).agg(F.count("*").alias("n"), listed(name()).alias("names"))
+    empty = listed(empty_tables(made, data, KEY).select(name().alias("name")))
     definers = counters(statements).filter("name = 'definers'")
     out = row(empty, "warn", "tables without data", F.col("names"), F.col("n") > 0)
     out = out.unionByName(row(definers, "warn", "DEFINER clauses", F.col("value").cast("string"), F.col("value") > 0))
     for what, level in (("charset", "warn"), ("collation", "info")):
-        some = named_settings(statements, what).agg(F.count("*").alias("n"), listed(F.col("name")).alias("names"))
+        some = listed(named_settings(statements, what).select("name"))
         out = out.unionByName(row(some, level, f"more than one {what}", F.col("names"), F.col("n") > 1))
     none = out.agg(F.count("*").alias("n"))
     largest = inventory(statements).orderBy(F.desc("bytes"), *KEY).limit(3).select(F.lit("info").alias("level"), F.lit("large table").alias("finding"), name().alias("detail"))

@@ -8,11 +8,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.functions.exprs import ascii_fold
-
 #: What counts as part of a word: letters, decimal digits, marks and the underscore.
 _WORD = r"[\p{L}\p{Nd}\p{M}_]"
 
@@ -70,10 +68,11 @@ def literal_at(c: Column, pattern: str, ignore_case: bool = False, whole_word: b
     if ignore_case:
         if not pattern.isascii():
             raise ValueError("case is ignored for ASCII search texts only")
-        c, pattern = ascii_fold(c), "".join(ch.lower() if ch.isascii() else ch for ch in pattern)
     look = quoted(pattern)
     if whole_word:
         look = rf"(?<!{_WORD}){look}(?!{_WORD})"
+    if ignore_case:
+        look = rf"(?i:{look})"  # without its Unicode flag, Java's own case-ignoring match is that of A-Z alone
     # Where the text starts with a match, split makes no empty first piece.
     first = F.when(c.rlike(rf"^{look}"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     pieces = F.concat(first, F.split(F.coalesce(c, F.lit("")), rf"(?={look})", -1))
@@ -103,7 +102,7 @@ def find_plain(df: DataFrame, c: str, pattern: str, base: str | None = None, ign
 
     base: the column with the row's own byte offset. The cheap containment test comes first and drops most rows.
     """
-    test = F.contains(ascii_fold(F.col(c)), F.lit(pattern.lower())) if ignore_case else F.contains(F.col(c), F.lit(pattern))
+    test = F.col(c).rlike(f"(?i){quoted(pattern)}") if ignore_case else F.contains(F.col(c), F.lit(pattern))
     rows = df.filter(test).withColumn("m__", F.explode(literal_at(F.col(c), pattern, ignore_case, whole_word)))
     length = F.lit(len(pattern.encode()))
     return rows.withColumns({"pos": F.col("m__.pos"), "offset": _based(base) + F.col("m__.offset"), "length": length}).drop("m__")
@@ -166,8 +165,7 @@ def preview(c: Column, at: Column, chars: int, radius: int = 160, most: int = 51
 def search_page(matches: DataFrame, order: list[str], size: int = 1000) -> DataFrame:
     """The first matches in order, each with `truncated`: are there more?"""
     page = matches.orderBy(*order).limit(size + 1)
-    more = page.agg((F.count("*") > size).alias("truncated"))
-    return page.orderBy(*order).limit(size).join(F.broadcast(more))
+    return page.withColumn("truncated", F.count("*").over(Window.partitionBy()) > size).orderBy(*order).limit(size)
 
 
 def harvest(df: DataFrame, c: str, pattern: str, ignore_case: bool = False) -> DataFrame:

@@ -107,7 +107,7 @@ _NOTES = "CASE c_custkey % 3 WHEN 0 THEN 'CREATE TABLE x (a INT) CHARSET=UTF8MB4
 @query(f"""WITH s AS (SELECT c_mktsegment AS \"table\", c_custkey AS no, {_NOTES} AS t FROM customer),
 h AS (SELECT \"table\", no // 4096 AS b, sha256(string_agg(sha256(t), '' ORDER BY no)) AS own FROM s GROUP BY ALL),
 n AS (SELECT \"table\", string_agg(DISTINCT lower(c), ',' ORDER BY lower(c)) AS charsets FROM (SELECT \"table\", unnest(regexp_extract_all(t, '(CHARSET=|CHARACTER SET )(\\w+)', 2)) AS c FROM s) GROUP BY ALL)
-SELECT 'db' AS \"database\", s.\"table\", 'db.' || s.\"table\" AS name, (7 * count(*))::BIGINT AS bytes, count(*)::BIGINT AS regions, min(no * 10) AS first, max(no * 10 + 7) AS last, any_value(charsets) AS charsets,
+SELECT 'db' AS \"database\", s.\"table\", 'db_' || s.\"table\" AS name, (7 * count(*))::BIGINT AS bytes, count(*)::BIGINT AS regions, min(no * 10) AS first, max(no * 10 + 7) AS last, any_value(charsets) AS charsets,
 (SELECT sha256(string_agg(own, '' ORDER BY b)) FROM h WHERE h.\"table\" = s.\"table\") AS sha256 FROM s LEFT JOIN n USING (\"table\") GROUP BY s.\"table\" """)
 def split_by_table(table, spark):
     rows = table("customer").select(F.lit("db").alias("database"), F.col("c_mktsegment").alias("table"), F.col("c_custkey").alias("stmt_no"), F.expr(_NOTES).alias("text"), (F.col("c_custkey") * 10).alias("start"), (F.col("c_custkey") * 10 + 7).alias("end"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,16 +165,26 @@ def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
 def export_ranges(records: DataFrame, ranges: DataFrame) -> DataFrame:
     """Records (start, end) that lie in one of a few ordered ranges (range_start, range_end); overlapping ranges are refused.
 
-    The ranges are a caller's short list and are checked to be one before they are broadcast.
+    The ranges are a caller's list of at most 10,000, sorted on the driver; each record finds the last one that starts at or before
+    it by bisection.
     """
-    n = ranges.count()
-    if n > MAX_PARTS:
+    listed = ranges.select("range_start", "range_end").limit(MAX_PARTS + 1).collect()
+    if len(listed) > MAX_PARTS:
         raise ValueError("more than 10,000 ranges")
-    before = F.lag("range_end").over(Window.orderBy("range_start"))
-    if ranges.withColumn("b", before).filter("b > range_start OR range_end < range_start").limit(1).collect():
+    listed = sorted((r.range_start, r.range_end) for r in listed)
+    if any(hi < lo for lo, hi in listed) or any(a[1] > b[0] for a, b in zip(listed, listed[1:])):
         raise ValueError("ranges overlap")
-    on = (records["start"] >= ranges["range_start"]) & (records["end"] <= ranges["range_end"])
-    return records.join(F.broadcast(ranges), on).orderBy("range_start", "start")
+    bounds = np.array(listed, np.int64).reshape(-1, 2)
+
+    @F.arrow_udf("int")
+    def within(start: pa.Array, end: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds[:, 0], start.to_numpy(zero_copy_only=False), "right") - 1
+        ok = (at >= 0) & (end.to_numpy(zero_copy_only=False) <= bounds[np.maximum(at, 0), 1]) if len(bounds) else np.zeros(len(start), bool)
+        return pa.array(at, pa.int32(), mask=~ok)
+
+    named = ranges.withColumn("range_no__", within(F.col("range_start"), F.col("range_start")))
+    found = records.withColumn("range_no__", within(F.col("start").cast("long"), F.col("end").cast("long"))).filter("range_no__ IS NOT NULL")
+    return found.join(F.broadcast(named), "range_no__").drop("range_no__").orderBy("range_start", "start")
 
 
 def table_manifest(statements: DataFrame, key: list[str]) -> DataFrame:
@@ -211,4 +222,6 @@ def write_by_table(statements: DataFrame, path: str, manifest: DataFrame | None
     """A folder for each table with its statements in order, named as in `manifest`, by default that of `split_manifest`."""
     names = (split_manifest(statements) if manifest is None else manifest).select("database", "table", "name")
     named = statements.filter("table IS NOT NULL").join(names, ["database", "table"])
-    named.repartition("name").sortWithinPartitions("name", "start").select("name", F.col("text").alias("value")).write.mode("errorifexists").partitionBy("name").text(path)
+    # by ranges of (name, start): a large table is written by many tasks, and its files are in the order of their names
+    dealt = named.repartitionByRange("name", "start").sortWithinPartitions("name", "start")
+    dealt.select("name", F.col("text").alias("value")).write.mode("errorifexists").partitionBy("name").text(path)
