@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from textbench.llm.shared import arrow_rows, staged
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words kept with their ids in a Python worker; a full table is emptied.
+#: Words kept with their ids in a Python worker, twice.
 KEPT = 1 << 18
 #: Longer texts are cut into words in stretches of about so many characters.
 STRETCH = 1 << 20
@@ -30,38 +32,58 @@ _OTHER = re.compile("[^\x00-ɏ‐-‧]")
 _BREAK = re.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
 
 
+def packed(tokenizer, text: str) -> bytes:
+    return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _byte_names() -> dict[int, int]:
+    """How a byte-level vocabulary writes bytes: printable ones of Latin-1 as they are, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
+
+
 class _Kept(dict):
-    """The ids of each word, as little-endian 32-bit numbers; a missing word is asked of the tokenizer."""
+    """The ids of each word, as little-endian 32-bit numbers; a missing word is asked of the tokenizer's model. Of two generations of
+    KEPT words the older one goes when the younger is full."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.model, self.names, self.older = tokenizer.model, _byte_names(), {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = packed(self.tokenizer, word)
+        out = self.older.get(word)
+        if out is None:
+            out = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(self.names))]).tobytes()
+        self[word] = out
         return out
 
 
-def packed(tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def _cut_as_usual(path: str) -> bool:
+    """Is this a byte-level BPE that neither changes the text nor cuts it otherwise than _CUT?"""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    cut = found.get("pre_tokenizer") or {}
+    return found.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and found["model"]["type"] == "BPE"
 
 
 @functools.cache
 def encoder(path: str):
     """A function from a text to its ids as little-endian 32-bit numbers, those of the tokenizer in the file `path`.
 
-    The tokenizer works word by word, so a word's ids are asked once and kept; texts with other code points than the cut into
-    words is spelt out for, or with a special token's name, go to the tokenizer whole.
+    A byte-level BPE works word by word, so a word's ids are asked once and kept; texts with other code points than the cut into
+    words is spelt out for, or with a special token's name, go to the tokenizer whole, as do those of other tokenizers.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kept = _Kept(tokenizer)
-    names = [getattr(t, "content", t) for t in tokenizer.get_added_tokens_decoder().values()]
+    kept, usual = _Kept(tokenizer), _cut_as_usual(path)
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> bytes:
-        if _OTHER.search(text) or any(name in text for name in names):
+        if not usual or _OTHER.search(text) or any(name in text for name in names):
             return packed(tokenizer, text)
         out, at = [], 0
         while at < len(text):
