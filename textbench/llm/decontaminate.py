@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textbench.llm.flat import ALNUM, Words, anchors, slices, words
-from textbench.llm.shared import bitmap, in_bitmap, keyed, staged
+from textbench.llm.shared import bitmap, in_bitmap, keyed, spread_join, staged
 
 _ROWS = "k long, doc_id long, n_words long, at array<int>, len array<int>, h array<long>, g array<long>"
 
@@ -75,7 +75,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 4)
 
     Winnowing keeps the smallest k-gram hash of each window of `span` words, so each shared window shares a fingerprint at
     the same place. Document fingerprints are first held against a bitmap of the items' fingerprints (fixed size; left out
-    if there are too many), then each hit is extended to its whole window, which is joined by two 64-bit hashes.
+    if there are too many), then each hit is extended to its whole window, which is joined by two 64-bit hashes, a window of many documents over several tasks; the ids that
+    stand behind a window are those of the benchmark at most.
 
     Defined cases: null, empty or word-less texts have no words and no hits; items without words or with a null id hit
     nothing; repeated item_ids count once; repeated documents each get a row; an empty benchmark leaves all clean.
@@ -87,7 +88,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 4)
     cand = rows.filter(F.size("at") > 0).dropDuplicates(["k"])
     cand = cand.select("k", F.explode(F.arrays_zip("at", "len", "h", "g")).alias("w")).select("k", "w.*")
     known = items.groupBy("h", "g", "len").agg(F.collect_set("item_id").alias("ids"))
-    hits = cand.join(known, ["h", "g", "len"])
+    often = staged(cand.groupBy("h", "g", "len").agg(F.count("*").alias("m")))
+    hits = spread_join(cand, known, often, ["h", "g", "len"], ["k", "at"])
     hits = hits.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("spans"), F.flatten(F.collect_set("ids")).alias("items"))
     hits = hits.withColumn("items", F.array_distinct("items"))
     none = {"spans": "array<struct<at:int,len:int>>", "items": "array<bigint>"}

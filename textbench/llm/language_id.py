@@ -122,14 +122,14 @@ def _spread(most: int):
     return rows
 
 
-def fit(docs: DataFrame, sample: int = 2000, windows_of_text: int = 40) -> Net | None:
+def fit(docs: DataFrame, sample: int = 2000, windows_of_text: int = 40, most_langs: int = 1000) -> Net | None:
     """A network learned from about `sample` texts (twice that at most), as many for each language as it has, up to an even
     share; picked by hash among the rows that are not held out, with a text and a language. None without any.
 
-    Only windows reach the driver: `windows_of_text` of 256 bytes of each text at most, evenly spread over it.
+    The `most_langs` languages with most rows are learned, so that a column of anything does not fill the driver. Only windows reach it: `windows_of_text` of 256 bytes of each text at most, evenly spread over it.
     """
     rows = docs.filter(F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     rank = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20))
