@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.shared import spread_join, staged
@@ -11,12 +11,12 @@ from textbench.llm.shared import spread_join, staged
 HUB = 10_000
 
 
-def _hung(both: DataFrame, least: DataFrame, most: int) -> DataFrame:
+def _hung(both: DataFrame, most: int) -> DataFrame:
     """`both` (a, b) with m, the least of a and its neighbours. The neighbours of a hub are spread over tasks."""
     if most <= HUB:
-        return both.join(least.select("a", "m"), "a")
-    least = staged(least)
-    return spread_join(both, least.select("a", "m"), least.select("a", F.col("n").alias("m")), ["a"], ["b"])
+        return both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    least = staged(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("m")))
+    return spread_join(both, least.select("a", F.least("a", "least").alias("least")), least, ["a"], ["b"]).withColumnRenamed("least", "m")
 
 
 def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
@@ -26,12 +26,11 @@ def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-    hung = _hung(both, least, most)
+    hung = _hung(both, most)
     if large:
         out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return out.filter("a <> b").distinct()
 
 
@@ -56,4 +55,6 @@ def components(links: DataFrame) -> DataFrame:
     while not done:
         edges = staged(_star(_star(edges, True, most), False, most))
         done, most = _shape(edges)
-    return edges.select(F.col("a").alias("k"), F.col("b").alias("c"))
+    out = edges.select(F.col("a").alias("k"), F.col("b").alias("c"))
+    out.seen_when_staged = edges.seen_when_staged
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textbench.llm.components import components
 from textbench.llm.flat import SPACED, Words, mix, slices, words
-from textbench.llm.shared import arrow_rows, bitmap, bounded, in_bitmap, keyed, later_copies, spread_join, staged
+from textbench.llm.shared import arrow_rows, bitmap, bounded, in_bitmap, keyed, later_copies, rows_of, spread_join, staged
 
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -128,7 +128,7 @@ def _found(sets: DataFrame, hashes: DataFrame) -> DataFrame:
 
     The shingles are held against a bitmap, or joined with `hashes` if there are too many for one.
     """
-    bits = bitmap(hashes, hashes.count())
+    bits = bitmap(hashes, rows_of(hashes))
     if bits is None:
         found = _members(sets, False).select("k", F.shiftrightunsigned("h", 16).alias("h")).join(hashes, "h", "left_semi")
         found = found.groupBy("k").agg(F.count("*").cast("int").alias("found"))
@@ -187,7 +187,7 @@ def _likened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = staged(pairs)
     x = sets.select(F.col("k").alias("a"), F.col("set").alias("x")).join(bounded(pairs), "a")
     led = staged(pairs.groupBy("b").agg(F.count("*").alias("m")))
-    y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(led.select("b")), "b")
+    y = sets.select(F.col("k").alias("b"), F.col("set").alias("y")).join(bounded(led).drop("m"), "b")
     x = spread_join(x, y, led, ["b"], ["a"])
     return x.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
 
@@ -198,7 +198,8 @@ def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _leaders(sets: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
-    """Candidate links of each set to one leader of another group: of the buckets of equal minima, the leader it meets most often.
+    """Candidate links of each set to one leader of another group (groups: k and c): of the buckets of equal minima, the leader it
+    meets most often.
 
     A bucket is led by its most central set, that with the largest share of common shingles (an original rather than an edited
     copy), in the first two turns, and by a random one in later turns. From the second turn on buckets also hold sets of similar
@@ -383,7 +384,7 @@ def similar_groups(docs: DataFrame, n: int = 5, turns: int = 3) -> DataFrame:
     docs = docs.join(bounded(copies), "k", "left").withColumn("skip", F.coalesce("skip", F.lit(False)))
     first = docs.filter("NOT skip")
     hashes = staged(_prefix_hashes(first, n).groupBy("h").count().filter("count > 1").select("h"))
-    bits = bitmap(hashes, hashes.count())
+    bits = bitmap(hashes, rows_of(hashes))
     if bits is None:
         hits = _prefix_hashes(first, n).join(hashes, "h", "left_semi").groupBy("k").agg(F.count("*").alias("hits"))
         docs = docs.join(hits, "k", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
@@ -392,12 +393,16 @@ def similar_groups(docs: DataFrame, n: int = 5, turns: int = 3) -> DataFrame:
     rows = staged(_sets(docs.select("text", "k", "doc_id", "t1", "t2", "t3", "skip", "hits"), n, bits))
     sets = staged(_pruned(rows.filter("set IS NOT NULL").select("k", "set")))
     joined = lambda groups, links: components(groups.toDF("a", "b").unionByName(links))
-    near, groups = None, sets.sparkSession.createDataFrame([], "k long, c long")
+    near, led = None, staged(sets.sparkSession.createDataFrame([], "k long, c long"))
     for turn in range(turns):
         with arrow_rows(sets.sparkSession, 256):
-            new = staged(_likened(_leaders(sets, groups, turn), sets))
+            new = staged(_likened(_leaders(sets, led, turn), sets))
         near = new if near is None else near.unionByName(new)
-        groups = joined(groups, new.filter("link").select("a", "b"))
+        if turn + 1 < turns:  # the first leader that a set is linked to stands for its group
+            more = new.filter("link").select(F.col("a").alias("k"), F.col("b").alias("c"))
+            led = staged(more if not turn else led.unionByName(more.join(bounded(led), "k", "left_anti")))
+    links = near.filter("link").select("a", "b")
+    groups = components(links)
     homes = joined(groups, near.filter("NOT link").select("a", "b"))
     led = _grouped(near.groupBy(F.col("b").alias("k")).agg(F.count("*").alias("m")), homes)
     pivots = staged(led.groupBy(F.col("c").alias("g")).agg(F.max_by("k", F.struct("m", "k")).alias("p")))

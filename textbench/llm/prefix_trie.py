@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.flat import mix
-from textbench.llm.shared import bounded, spread_join, staged
+from textbench.llm.shared import bounded, rows_of, spread_join, staged
 
 #: Rows of one conversation (or conversations of one node) that are ordered in one piece; longer ones are ordered in pieces.
 PIECE = 1 << 16
@@ -93,10 +93,11 @@ def _numbered(rows: DataFrame, key: list[str], order: list[str], counts: DataFra
 
     Keys of more than `piece` rows are numbered over ranges of (key, order), whose sizes alone meet in one place.
     """
-    long = bounded(staged(counts.filter(F.col("m") > piece).select(*key)))
+    found = staged(counts.filter(F.col("m") > piece).select(*key))
+    long = bounded(found)
     own = Window.partitionBy(*key).orderBy(*order)
     short = rows.join(long, key, "left_anti").withColumn("i", F.row_number().over(own).cast("long"))
-    if long.isEmpty():
+    if not rows_of(found):
         return short
     many = rows.join(long, key, "left_semi").withColumn("tie__", F.monotonically_increasing_id())
     many = many.repartitionByRange(*key, *order, "tie__").sortWithinPartitions(*key, *order, "tie__").drop("tie__")
@@ -202,9 +203,10 @@ def _ends(ends: DataFrame, piece: int) -> DataFrame:
     joined in pieces, which one task reads in order, hashing as it goes."""
     counts = staged(ends.groupBy("g1", "g2").agg(F.count("*").alias("m")))
     listed = lambda df, *key: df.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.cast("string")), ",").alias("s"))
-    long = bounded(staged(counts.filter(F.col("m") > piece).select("g1", "g2")))
+    found = staged(counts.filter(F.col("m") > piece).select("g1", "g2"))
+    long = bounded(found)
     out = listed(ends.join(long, ["g1", "g2"], "left_anti"), "g1", "g2").select("g1", "g2", F.sha2("s", 256).alias("ends_sha256"))
-    if long.isEmpty():
+    if not rows_of(found):
         return out
     many = ends.join(long, ["g1", "g2"], "left_semi")
     many = _numbered(many, ["g1", "g2"], ["c"], counts, piece).withColumn("part", F.floor((F.col("i") - 1) / piece))

@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -53,10 +53,22 @@ def drop_staged(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as a table in the shared folder and read again: cuts lineage and survives lost executors.
+
+    While it is written, its rows are counted, and the column m, if it has one, summed up, so that no job has to ask later.
+    """
+    path, seen = new_path(df.sparkSession), Observation()
+    often = [F.sum("m").alias("sum_m"), F.max("m").alias("max_m")] if dict(df.dtypes).get("m") in ("int", "bigint") else []
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *often).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.seen_when_staged = seen.get
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """How many rows a table has; for a staged one no job is needed."""
+    seen = getattr(df, "seen_when_staged", None)
+    return df.count() if seen is None else seen["rows"]
 
 
 @contextlib.contextmanager
@@ -102,7 +114,9 @@ def spread_join(rows: DataFrame, small: DataFrame, counts: DataFrame, on: list[s
     shuffle partition at most, whatever the data, so the table of parts is broadcast.
     """
     spark = rows.sparkSession
-    every, most = counts.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    seen = getattr(counts, "seen_when_staged", {})
+    every, most = (seen["sum_m"], seen["max_m"]) if "sum_m" in seen else counts.agg(F.sum("m"), F.max("m")).first()
+    every, most = every or 0, most or 0
     share = max(1000, every // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if most <= share:
         return rows.join(small, on, how)
@@ -117,7 +131,7 @@ def bounded(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     `most_bytes`; else Spark shuffles it."""
     if any(not isinstance(f.dataType, (NumericType, BooleanType)) for f in df.schema):
         raise TypeError("only columns of a fixed size have a bound")
-    return F.broadcast(df) if df.count() * (32 + 8 * len(df.columns)) <= most_bytes else df
+    return F.broadcast(df) if rows_of(df) * (32 + 8 * len(df.columns)) <= most_bytes else df
 
 
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.flat import SPACED, anchors, mix, slices, words
-from textbench.llm.shared import bitmap, bounded, in_bitmap, keyed, later_copies, staged
+from textbench.llm.shared import bitmap, bounded, in_bitmap, keyed, later_copies, rows_of, staged
 
 #: Anchor hashes are cut to 48 bits for the first count, which may only let too much through.
 _CUT = np.uint64(16)
@@ -83,7 +83,7 @@ def repeats(docs: DataFrame, span: int = 13, k: int = 5) -> DataFrame:
     docs = docs.withColumn("d", F.coalesce("doc_id", F.lit(_LAST)))
     hashes = seeds(docs, span, k).groupBy("h").count().filter("count > 1").select("h")
     hashes = staged(hashes)
-    bits = bitmap(hashes, hashes.count())
+    bits = bitmap(hashes, rows_of(hashes))
     if bits is not None:
         found = _extended(docs.select("text", "k", "d"), span, k, bits)
     else:
