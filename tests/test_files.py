@@ -533,3 +533,20 @@ def test_utf16_matches_are_aligned(spark, tmp_path):
     assert [(r.offset, r.length) for r in got] == [(6, 2)]
     got = R.find_in_files(spark, f"file://{tmp_path}/u", "ab", whole_word=True, encoding="UTF-16LE").collect()
     assert [r.offset for r in got] == [14]
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 16])
+def test_lines_through_an_index(spark, tmp_path, block):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfone\r\ntwo\rthree\n\nfive\r\n\r\r\nlast")
+    (tmp_path / "b.txt").write_bytes(b"".join(b"line %d\n" % i for i in range(1, 3001)))
+    lines = S.read_lines(spark, f"file://{tmp_path}").cache()
+    index = N.anchors(lines, 3, ("file",))
+    asked = lines.filter("line_no % 7 IN (0, 1, 3)").select("file", "line_no").unionByName(lines.select("file", F.lit(9999).cast("long").alias("line_no")).distinct())
+    if block < 100:
+        asked = asked.filter("file LIKE '%a.txt'")
+    got = R.lines_at(asked, index, block)
+    want = lines.join(asked, ["file", "line_no"])
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(map(tuple, want.select("file", "line_no", "offset", "line").collect()))
+    if block == 5:
+        assert got.agg(F.max("bytes_read")).first()[0] <= 25  # three lines at most, whatever the file's size
+    lines.unpersist()

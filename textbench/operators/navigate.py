@@ -13,9 +13,9 @@ def anchor_step(lines: int, least: int = 1000) -> int:
     return max(least, -(-lines // MAX_ANCHORS))
 
 
-def anchors(lines: DataFrame, step: int) -> DataFrame:
-    """(line_no, offset) of every `step`-th line."""
-    return lines.filter((F.col("line_no") - 1) % step == 0).select("line_no", "offset")
+def anchors(lines: DataFrame, step: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, line_no, offset) of every `step`-th line; keep: `file`, where there are several."""
+    return lines.filter((F.col("line_no") - 1) % step == 0).select(*keep, "line_no", "offset")
 
 
 def floor_lookup(queries: DataFrame, table: DataFrame, key: str, carry: list[str], group: list[str] | None = None) -> DataFrame:

@@ -210,3 +210,58 @@ def find_in_files(
     ranges = byte_ranges(file_sizes(spark, path).filter("length > 0"), per_task).select("path", "start", "end")
     tasks = 4 * spark.sparkContext.defaultParallelism
     return ranges.repartition(tasks, "path", "start").mapInArrow(search, "path string, offset long, length int")
+
+
+_ENDS = re.compile(rb"\r\n|\r|\n")
+
+
+def _lines_from(source, at: int, block: int) -> Iterator[tuple[int, bytes, int]]:
+    """(offset, line, bytes read so far) of the lines of an opened file from offset `at`, the start of a line, on."""
+    source.seek(at)
+    held, begin, read, over = b"", at, 0, False
+    while True:
+        place = 0
+        for m in _ENDS.finditer(held):
+            if m[0] == b"\r" and m.end() == len(held) and not over:
+                break  # an LF may follow
+            yield begin + place, held[place : m.start()], read
+            place = m.end()
+        if over:
+            if place < len(held):
+                yield begin + place, held[place:], read
+            return
+        held, begin = held[place:], begin + place
+        more = source.read(block)
+        over, held, read = not more, held + more, read + len(more)
+
+
+def lines_at(queries: DataFrame, anchors: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(file, line_no, offset, line, bytes_read) of the lines asked for (file, line_no), through a sparse index.
+
+    anchors (file, line_no, offset): where some lines start, as navigate.anchors() takes them once from read_lines(), the file kept. A query finds
+    the last anchor at or before its line, and its task seeks there and reads no further than that line: neither the
+    table of lines nor the file is scanned. Lines behind the end of a file have no row. For files whose line ends are bytes CR and
+    LF.
+    """
+    from textbench.operators.navigate import floor_lookup
+
+    index = anchors.select("file", "line_no", F.col("line_no").alias("anchor_line"), F.col("offset").alias("anchor"))
+    asked = queries.select("file", F.col("line_no").cast("long").alias("line_no")).distinct()
+    found = floor_lookup(asked, index, "line_no", ["anchor_line", "anchor"], ["file"]).filter("anchor IS NOT NULL")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, line_no, first, anchor in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                store, own = _opened(name)
+                with store.open_input_file(own) as source:
+                    for i, (at, line, read) in enumerate(_lines_from(source, anchor, block), first):
+                        if i == line_no:
+                            out.append((name, line_no, at, (line.removeprefix(b"\xef\xbb\xbf") if not at else line).decode(errors="replace"), read))
+                            break
+            columns = list(zip(*out)) if out else [[] for _ in range(5)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "line_no", "offset", "line", "bytes_read"])
+
+    rows = found.select("file", "line_no", "anchor_line", "anchor")
+    return rows.mapInArrow(look, "file string, line_no long, offset long, line string, bytes_read long")
