@@ -114,6 +114,18 @@ def split_by_table(table, spark):
     return sinks.split_manifest(rows).withColumn("charsets", F.concat_ws(",", "charsets"))
 
 
+@query("""
+WITH s AS (SELECT c_custkey AS no, 'INSERT INTO t' || (c_custkey // 37) % 3 || ' VALUES ' AS head, c_custkey // 37 AS island, '(' || c_custkey || ',''' || c_name || ''')' AS tuple FROM customer),
+b AS (SELECT *, (row_number() OVER (PARTITION BY island ORDER BY no) - 1) // 10 AS batch FROM s)
+SELECT min(no)::BIGINT AS stmt_no, any_value(head) || string_agg(tuple, ',' ORDER BY no) || ';' AS text FROM b GROUP BY island, batch""")
+def insert_batches_regrouped(table, spark):
+    """Single INSERTs, whose table changes every 37 of them, regrouped to statements of ten rows."""
+    head = F.concat(F.lit("INSERT INTO t"), (F.floor(F.col("c_custkey") / 37) % 3).cast("string"), F.lit(" VALUES "))
+    text = F.concat(head, F.lit("("), F.col("c_custkey").cast("string"), F.lit(",'"), F.col("c_name"), F.lit("');"))
+    rows = table("customer").select(F.lit("f").alias("file"), F.col("c_custkey").cast("long").alias("stmt_no"), text.alias("text"), F.lit("insert").alias("kind"))
+    return D.multi_inserts(rows, 10).select("stmt_no", "text")
+
+
 # --- schema diff: old and new versions of rows, one table for each part or customer ------------------------------------
 
 
