@@ -128,10 +128,10 @@ def portable_key(c: Column) -> Column:
 _UNITS = ["KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 
 
-def format_bytes(c: Column) -> Column:
-    """512 B, 1.5 KiB, ... with one decimal (halves to even) in steps of 1024."""
+def format_bytes(c: Column, largest: str = "EiB") -> Column:
+    """512 B, 1.5 KiB, ... with one decimal (halves to even) in steps of 1024, up to the unit `largest`."""
     out = F.concat(c.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(_UNITS, 1):
+    for i, unit in enumerate(_UNITS[: _UNITS.index(largest) + 1], 1):
         out = F.when(c >= 1 << (10 * i), F.format_string(f"%.1f {unit}", F.bround(c / float(1 << (10 * i)), 1))).otherwise(out)
     return out
 
