@@ -279,6 +279,9 @@ def test_language(spark, none):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].lang_pred == "bb"
     assert np.mean([r.lang_pred == r.lang for i, r in got.items() if r.held_out and i is not None and i < 900]) >= 0.95
     assert language_id.identify_languages(none).count() == 0
+    # the other columns, texts among them, do not go through Python a second time, and a filter does not ask twice
+    plan = language_id.identify_languages(df, sample=150).filter("lang_pred <> 'und' AND lang_score >= 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")

@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from textbench.llm.flat import slices
 
 #: Bytes go to the network as classes: each ASCII letter regardless of case, digits, white space, other ASCII, and each byte beyond.
 CLASSES = 160
-_CLASS = np.full(256, 0, np.int64)
+_CLASS = np.full(256, 0, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 1
 _CLASS[0x30:0x3A] = 2
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = np.arange(3, 29)
@@ -56,9 +55,10 @@ def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, first): all fixed-length windows of the texts of a slice, the last of each filled up with class 0, and their offsets."""
     n = -(-np.diff(off) // WINDOW)
     first = np.r_[0, np.cumsum(n)]
-    x = np.zeros(first[-1] * WINDOW, np.int64)
-    place = np.arange(off[-1]) + np.repeat(first[:-1] * WINDOW - off[:-1], np.diff(off))
-    x[place] = _CLASS[buf]
+    x = np.zeros(first[-1] * WINDOW, np.uint8)
+    code = _CLASS[buf]
+    for to, lo, hi in zip(first[:-1] * WINDOW, off[:-1], off[1:]):
+        x[to : to + hi - lo] = code[lo:hi]
     return x.reshape(-1, WINDOW), first
 
 
@@ -157,25 +157,22 @@ def identify_languages(docs: DataFrame, sample: int = 2000, windows_of_text: int
     net = fit(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample, windows_of_text)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def score(batches):
-        own = shared.value
-        for batch in batches:
-            column = batch.column(1)
-            names, values = [], []
-            for lo, hi, buf, off in slices(column):
-                x, first = windows(buf, off)
-                p = np.concatenate([own.scores(x[i : i + 128]) for i in range(0, len(x), 128)]) if len(x) and own else np.zeros((0, 1))
-                total = np.r_[np.zeros((1, p.shape[1])), np.cumsum(p, 0, dtype=np.float64)]
-                mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None] if len(p) else np.zeros((hi - lo, 1))
-                best = mean.argmax(1)
-                values.append(mean[np.arange(hi - lo), best])
-                names += [own.langs[i] if own else "und" for i in best]
-            score = np.clip(np.concatenate(values), 0, 1) if values else np.zeros(0)
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["own", "lang_pred", "lang_score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kinds = [StructField("own", docs.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]
-    out = rows.mapInArrow(score, StructType(kinds))
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def told(texts: pa.Array) -> pa.Array:
+        own, names, values = shared.value, [], [np.zeros(0)]
+        for lo, hi, buf, off in slices(texts):
+            x, first = windows(buf, off)
+            p = np.concatenate([own.scores(x[i : i + 128]) for i in range(0, len(x), 128)]) if len(x) and own else np.zeros((0, 1))
+            total = np.r_[np.zeros((1, p.shape[1])), np.cumsum(p, 0, dtype=np.float64)]
+            mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None] if len(p) else np.zeros((hi - lo, 1))
+            best = mean.argmax(1)
+            values.append(mean[np.arange(hi - lo), best])
+            names += [own.langs[i] if own else "und" for i in best]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.clip(np.concatenate(values), 0, 1))], ["lang", "score"])
+
+    # Only the text goes to Python; not deterministic, so that a filter on what is told does not ask twice.
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    out = docs.select(own, told.asNondeterministic()(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("told"))
     letter = F.coalesce(F.col("own.text").cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    found = {"lang_pred": F.when(letter, F.col("lang_pred")).otherwise("und"), "lang_score": F.when(letter, F.col("lang_score")).otherwise(0.0)}
+    found = {"lang_pred": F.when(letter, F.col("told.lang")).otherwise("und"), "lang_score": F.when(letter, F.col("told.score")).otherwise(0.0)}
     return out.select("own.*", held_out(F.col("own.doc_id")).alias("held_out"), *(c.alias(name) for name, c in found.items()))
