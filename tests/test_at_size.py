@@ -1,8 +1,13 @@
 """What shows only on larger tables: values beyond those of the small ones, and steps whose tasks must not grow with the input."""
 
+import random
+import re
+
 import duckdb
 
 import __spark_entry__
+from textbench.plans.file_queries import in_files
+from textbench.sources import files
 
 
 def told(spark, folder, name):
@@ -24,3 +29,45 @@ def test_sizes_beyond_a_tebibyte(spark, tmp_path):
     ours, sql = told(spark, tmp_path, "format_bytes")
     assert ours == sql
     assert any(size.endswith("GiB") and float(size.split()[0]) > 1024 for _, size in ours)
+
+
+def test_files_are_written_in_the_parts_they_are_read_in(spark, tmp_path):
+    spark.range(40_000).repartition(9).write.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "16m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert df.rdd.getNumPartitions() == 9
+        assert "Exchange" not in in_files(df, 6)._jdf.queryExecution().executedPlan().toString()
+        assert in_files(df, 12).rdd.getNumPartitions() == 12
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_utf16_lines_without_a_shuffle_by_split(spark, tmp_path):
+    rng = random.Random(5)
+    for encoding in ("UTF-16LE", "UTF-16BE"):
+        (tmp_path / encoding).mkdir()
+        for no in range(3):
+            lines = ["".join(rng.choice("aਊ਀\u000bĊé\U0001f40a") for _ in range(rng.randrange(12))) for _ in range(150)]
+            (tmp_path / encoding / f"{no}.txt").write_bytes("".join(x + rng.choice(["\n", "\r", "\r\n"]) for x in [*lines, "z"]).encode(encoding))
+    settings = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for encoding in ("UTF-16LE", "UTF-16BE"):
+            df = files.read_lines(spark, f"file://{tmp_path}/{encoding}", encoding)
+            got = {}
+            for r in df.orderBy("line_no").collect():
+                got.setdefault(r.file.rsplit("/", 1)[1], []).append(r.line)
+            for no in range(3):
+                text = (tmp_path / encoding / f"{no}.txt").read_bytes().decode(encoding)
+                assert got[f"{no}.txt"] == re.split("\r\n|\r|\n", text)[:-1]
+            # pieces of all lines meet once, by line; no shuffle and sort of whole splits before that
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "windowspecdefinition(f#" in plan and not re.search(r"windowspecdefinition\(f#\d+L, split#\d+L, rel", plan)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

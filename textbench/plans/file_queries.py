@@ -10,6 +10,13 @@ from textbench.sources import ranges as R
 from textbench.sources import sinks as K
 from textbench.sources.work import new_folder
 
+
+def in_files(rows, least: int):
+    """`rows` in the parts they are read in, each of which becomes a file; dealt out only to come to `least` of them, so that no task
+    takes a fixed share of the whole table."""
+    return rows if rows.rdd.getNumPartitions() >= least else rows.repartition(least)
+
+
 @query("SELECT doc_id, 'insert' AS kind, source AS table_name, sha256('INSERT INTO `' || source || '` VALUES (' || doc_id || ',''' || replace(replace(text, '''', ''''''), '\\', '\\\\') || ''');') AS text_sha256, strlen('INSERT INTO `' || source || '` VALUES (' || doc_id || ',''' || replace(replace(text, '''', ''''''), '\\', '\\\\') || ''');')::BIGINT AS bytes, true AS closed FROM documents WHERE NOT regexp_matches(text, '\\r')")
 def dump_folder_read(table, spark):
     """Documents as INSERT statements in a folder of dumps, line ends and quotes inside the literals; read back, each once."""
@@ -48,7 +55,7 @@ def lines_folder_read_utf16(table, spark):
     """The same in UTF-16, where bytes that look like line ends stand inside characters."""
     folder = new_folder(spark, "utf16")
     encoded = F.encode(F.coalesce("text", F.lit("")), "UTF-16LE").cast("string")  # the sink writes the bytes as they are
-    table("documents").select(encoded.alias("value")).repartition(6).write.options(encoding="UTF-16LE", lineSep="\n").text(folder)
+    in_files(table("documents"), 6).select(encoded.alias("value")).write.options(encoding="UTF-16LE", lineSep="\n").text(folder)
     return _line_counts(S.read_lines(spark, folder, "UTF-16LE"))
 
 

@@ -89,7 +89,7 @@ class Splits:
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_size").alias("size"),
         )
-        read = lambda key: int(spark._jsparkSession.sessionState().conf().getConfString(key).rstrip("b"))
+        read = lambda key: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark._jsparkSession.sessionState().conf().getConfString(key))
         total = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         least = max(1, min(read("spark.sql.files.maxPartitionBytes"), max(read("spark.sql.files.openCostInBytes"), total // spark.sparkContext.defaultParallelism)))
         #: No more splits than this.
@@ -103,10 +103,10 @@ class Splits:
         """(f, split, rel, no, line): the rows of a split in file order."""
         return self.rows.select("f", "split", "value").mapInArrow(_relative, "f long, split long, rel long, no long, line string")
 
-    def in_order(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        """of_few() of lines whose order within their split stays."""
+    def in_order(self, rows: DataFrame, table: DataFrame, place: str = "no") -> DataFrame:
+        """of_few() of lines whose order within their split, by `place`, stays."""
         rows = self.of_few(rows, table)
-        return rows if self.most <= 100_000 else rows.repartition("f", "split").sortWithinPartitions("f", "split", "no")
+        return rows if self.most <= 100_000 else rows.repartition("f", "split").sortWithinPartitions("f", "split", place)
 
     def bases(self) -> DataFrame:
         """(f, split, file, base, lines, mark): bytes and lines before each split, and the bytes of a byte order mark (that the reader drops).
@@ -185,16 +185,32 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-
 
 
 def _whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(f, split, rel, value, size): what lies between bytes 0A, with its byte place in the split."""
-    last, at = None, 0
+    """(f, split, rel, value, size, behind, last): what lies between bytes 0A, with its byte place in the split and the first byte of
+    the piece behind it; last: of its split. The last row of a batch waits for the next batch."""
+    last, at, held = None, 0, None
+
+    def told(rows: pa.RecordBatch, behind: list[int | None], ends: list[bool]) -> pa.RecordBatch:
+        return pa.record_batch([*rows.columns, pa.array(behind, pa.int32()), pa.array(ends, pa.bool_())], ["f", "split", "rel", "value", "size", "behind", "last"])
+
     for batch in batches:
-        raw, rel = batch.column(2).cast(pa.binary()), []
-        for key, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), pc.binary_length(raw).to_pylist()):
+        if not batch.num_rows:
+            continue
+        raw, rel, before = batch.column(2).cast(pa.binary()), [], last
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for key, n in zip(keys, pc.binary_length(raw).to_pylist()):
             if key != last:
                 last, at = key, 0
             rel.append(at)
             at += n + 1
-        yield pa.record_batch([*batch.columns[:2], pa.array(rel, pa.int64()), raw, batch.column(3)], ["f", "split", "rel", "value", "size"])
+        heads = [x[0] if x else None for x in pc.binary_slice(raw, 0, 1).to_pylist()]
+        rows = pa.record_batch([*batch.columns[:2], pa.array(rel, pa.int64()), raw, batch.column(3)], ["f", "split", "rel", "value", "size"])
+        if held is not None:
+            yield told(held, heads[:1] if keys[0] == before else [None], [keys[0] != before])
+        ends = [a != b for a, b in zip(keys, keys[1:])]
+        yield told(rows.slice(0, len(ends)), [None if end else x for x, end in zip(heads[1:], ends)], ends)
+        held = rows.slice(len(ends))
+    if held is not None:
+        yield told(held, [None], [True])
 
 
 def unit_breaks(data: bytes, start: int, cr: bytes, crlf: bool) -> Iterator[tuple[int, bytes, bool]]:
@@ -252,15 +268,15 @@ def _units(little: bool):
 
 def _unit_lines(splits: Splits, encoding: str) -> DataFrame:
     """read_lines() for UTF-16. Pieces of a line, which are cut at any byte 0A, meet by its number."""
-    pieces = splits.rows.select("f", "split", "value", "size").mapInArrow(_whole_pieces, "f long, split long, rel long, value binary, size long")
+    kinds = "f long, split long, rel long, value binary, size long, behind int, last boolean"
+    pieces = splits.rows.select("f", "split", "value", "size").mapInArrow(_whole_pieces, kinds)
     bases = splits.bases().select("f", "split", "file", "base")
     # the first byte behind a piece's own 0A: that of the next piece, which may start the next split
     heads = pieces.filter("rel = 0").select("f", "split", F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("int").alias("head"))
     heads = heads.select("f", "split", F.lead("head").over(Window.partitionBy("f").orderBy("split")).alias("next_head"))
-    rows = splits.of_few(splits.of_few(pieces, bases), heads)
-    own = Window.partitionBy("f", "split").orderBy("rel")
-    behind = F.coalesce(F.lead(F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("int")).over(own), F.when(F.lead("rel").over(own).isNull(), F.col("next_head")))
-    rows = rows.withColumn("behind", behind).select("f", "split", (F.col("base") + F.col("rel")).alias("o"), "value", "size", "behind")
+    rows = splits.in_order(pieces, bases.join(heads, ["f", "split"]), "rel")
+    behind = F.coalesce("behind", F.when(F.col("last"), F.col("next_head"))).alias("behind")
+    rows = rows.select("f", "split", (F.col("base") + F.col("rel")).alias("o"), "value", "size", behind)
     cut = rows.mapInArrow(_units(encoding == "UTF-16LE"), "f long, split long, no long, at long, part binary, ended boolean")
     counts = cut.groupBy("f", "split").agg(F.count_if("ended").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
