@@ -2,12 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 
 import __spark_entry__
 from textbench.plans.file_queries import in_files
 from textbench.sources import files
+from textbench.sources.work import shared_folder
 
 
 def told(spark, folder, name):
@@ -71,3 +73,21 @@ def test_utf16_lines_without_a_shuffle_by_split(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_folder_queries_write_a_file_for_each_part(spark, tmp_path):
+    docs = spark.range(90).selectExpr("id AS doc_id", "concat('a', id, ',\"\\n') AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars")
+    docs.repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    for k in before:
+        spark.conf.set(k, "16777216b")
+    try:
+        for name, kind in (("records_folder_read", "records"), ("lines_folder_read", "lines"), ("dump_folder_read", "dump"), ("search_files", "search")):
+            root = Path(shared_folder(spark).removeprefix("file://"))
+            known = set(root.glob(f"textbench-{kind}-*"))
+            assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() > 0
+            (folder,) = set(root.glob(f"textbench-{kind}-*")) - known
+            assert len(list(folder.glob("part-*"))) == 9
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -23,7 +23,7 @@ def dump_folder_read(table, spark):
     docs = table("documents").filter(~F.contains("text", F.lit("\r")))
     literal = F.concat(F.lit("'"), F.replace(F.replace("text", F.lit("'"), F.lit("''")), F.lit("\\"), F.lit("\\\\")), F.lit("'"))
     folder = new_folder(spark, "dump")
-    docs.select(F.concat(F.lit("INSERT INTO `"), "source", F.lit("` VALUES ("), F.col("doc_id").cast("string"), F.lit(","), literal, F.lit(");")).alias("value")).repartition(8).write.text(folder)
+    in_files(docs, 8).select(F.concat(F.lit("INSERT INTO `"), "source", F.lit("` VALUES ("), F.col("doc_id").cast("string"), F.lit(","), literal, F.lit(");")).alias("value")).write.text(folder)
     rows = S.read_statements(spark, folder)
     return rows.select(
         F.regexp_extract("text", r"^INSERT INTO `[^`]*` VALUES \((-?\d+),", 1).cast("long").alias("doc_id"),
@@ -46,7 +46,7 @@ _LINES = "SELECT sha256(line) AS line_sha256, count(*) AS n FROM (SELECT unnest(
 def lines_folder_read(table, spark):
     """The texts as files, one behind the other; all their lines, with what numbers and places are told agreeing for every file."""
     folder = new_folder(spark, "lines")
-    table("documents").select(F.col("text").alias("value")).repartition(6).write.text(folder)
+    in_files(table("documents"), 6).select(F.col("text").alias("value")).write.text(folder)
     return _line_counts(S.read_lines(spark, folder))
 
 
@@ -64,7 +64,7 @@ def records_folder_read(table, spark):
     """Documents as delimited files, line ends and quotes inside the cells; read back by the strict reader."""
     docs = table("documents").filter(~F.contains(F.replace("text", F.lit("\r\n"), F.lit("")), F.lit("\r")))
     folder = new_folder(spark, "records")
-    K.write_delimited(docs.select("doc_id", "text", "source").repartition(5), folder, header=False)
+    K.write_delimited(in_files(docs.select("doc_id", "text", "source"), 5), folder, header=False)
     rows = S.read_records(spark, folder)
     cell = lambda i: F.get("fields", F.lit(i))
     return rows.select(cell(0).cast("long").alias("doc_id"), F.sha2(cell(1), 256).alias("text_sha256"), cell(2).alias("source"))
@@ -76,6 +76,6 @@ FROM (SELECT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 def search_files(table, spark):
     """Matches of a literal in the bytes of files, read by position in ranges that cut through lines."""
     folder = new_folder(spark, "search")
-    table("documents").select(F.col("text").alias("value")).repartition(6).write.text(folder)
+    in_files(table("documents"), 6).select(F.col("text").alias("value")).write.text(folder)
     found = R.find_in_files(spark, folder, "the", ignore_case=True, per_task=1 << 20, block=1 << 16)
     return found.agg(F.count("*").alias("n")).select(F.lit("the").alias("term"), "n")
