@@ -2,11 +2,14 @@
 
 import random
 import re
+import weakref
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__
+from textbench.operators import replace
 from textbench.plans.file_queries import in_files
 from textbench.sources import files
 from textbench.sources.work import shared_folder
@@ -91,3 +94,24 @@ def test_folder_queries_write_a_file_for_each_part(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_replaced_texts_become_arrow_slice_by_slice():
+    class Text(str):
+        pass
+
+    live, most = weakref.WeakSet(), 0
+
+    def one(t):
+        nonlocal most
+        out = Text(t + "x" * 10_000) if t else None
+        if t:
+            live.add(out)
+        most = max(most, len(live))
+        return out, 1
+
+    texts = pa.array([f"{i}" if i % 3 else None for i in range(3000)])
+    got = replace.by_slices(texts, one, ["text", "matches"])
+    assert got.field("text").to_pylist() == [t and t + "x" * 10_000 for t in texts.to_pylist()] and len(got) == 3000
+    assert most <= replace.SLICE_BYTES // 10_000 + 2
+    assert len(replace.by_slices(texts[:0], one, ["text", "matches"])) == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -169,6 +170,32 @@ def _python_template(template: str) -> str:
     return re.sub(r"\$\{(\w+)\}|\$(\w+)", lambda m: rf"\g<{m[1] or m[2]}>", template.replace("\\", r"\\"))
 
 
+#: So many bytes of texts, and what becomes of them, are Python objects at one time.
+SLICE_BYTES = 1 << 20
+
+
+def by_slices(texts: pa.Array, one: Callable[[str | None], tuple], names: list[str]) -> pa.Array:
+    """A struct of a text and whole numbers, what `one` makes of each text: a slice at a time goes to Arrow, so that only the Arrow
+    columns grow with the batch."""
+    kinds, out, rows, size = [pa.string(), *[pa.int32()] * (len(names) - 1)], [], [], 0
+
+    def told() -> pa.Array:
+        columns = zip(*rows) if rows else [[] for _ in names]
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+
+    for t in texts:
+        rows.append(one(t.as_py()))
+        size += len(rows[-1][0] or "") + 64
+        if size >= SLICE_BYTES:
+            out.append(told())
+            rows, size = [], 0
+    out.append(told())
+    found = out[0] if len(out) == 1 else pa.concat_arrays(out)
+    del out
+    pa.default_memory_pool().release_unused()
+    return found
+
+
 def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = False, ignore_case: bool = False, whole_word: bool = False) -> Column:
     """struct(text, matches, conflicts) of a pass with all rules: literals by one automaton (see Literals); with `regex`, patterns,
     each of whose own matches do not overlap, and one that lost is not tried again. A null text has no matches."""
@@ -198,8 +225,7 @@ def batch_result(c: Column, rules: list[tuple[str, str, int]], regex: bool = Fal
 
     @F.arrow_udf("struct<text:string,matches:int,conflicts:int>")
     def run(texts: pa.Array) -> pa.Array:
-        columns = list(zip(*(one(t.as_py()) for t in texts))) if len(texts) else [[], [], []]
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.int32()))], ["text", "matches", "conflicts"])
+        return by_slices(texts, one, ["text", "matches", "conflicts"])
 
     return run(c)
 
@@ -294,10 +320,13 @@ def rewrite_php(raw: bytes, find: bytes, put: bytes) -> tuple[bytes, int]:
 def replace_serialized(c: Column, find: str, put: str) -> Column:
     """struct(text, matches) of a column that may hold serialized PHP; a malformed value fails the job."""
 
-    @F.pandas_udf("text string, matches int")
-    def run(s: pd.Series) -> pd.DataFrame:
-        done = [rewrite_php((t or "").encode(), find.encode(), put.encode()) for t in s]
-        return pd.DataFrame([(None if t is None else b.decode(), n) for t, (b, n) in zip(s, done)], columns=["text", "matches"])
+    def one(t: str | None) -> tuple[str | None, int]:
+        raw, n = rewrite_php((t or "").encode(), find.encode(), put.encode())
+        return None if t is None else raw.decode(), n
+
+    @F.arrow_udf("struct<text:string,matches:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, one, ["text", "matches"])
 
     return run(c)
 
@@ -366,9 +395,9 @@ def replace_in_literals(c: Column, find: str, put: str) -> Column:
     if not find:
         raise ValueError("an empty search text")
 
-    @F.pandas_udf("text string, matches int")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, 0) if t is None else rewrite_literals(t, find, put) for t in s], columns=["text", "matches"])
+    @F.arrow_udf("struct<text:string,matches:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, lambda t: (None, 0) if t is None else rewrite_literals(t, find, put), ["text", "matches"])
 
     return run(c)
 
