@@ -115,3 +115,16 @@ def test_replaced_texts_become_arrow_slice_by_slice():
     assert got.field("text").to_pylist() == [t and t + "x" * 10_000 for t in texts.to_pylist()] and len(got) == 3000
     assert most <= replace.SLICE_BYTES // 10_000 + 2
     assert len(replace.by_slices(texts[:0], one, ["text", "matches"])) == 0
+
+
+def test_lines_are_placed_without_dealing_out_texts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None if i % 17 == 3 else rng.choice(["\n", "\nx"]).join("é" * rng.randrange(90) for _ in range(rng.randrange(40))) for i in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("offset_to_line", "line_anchors", "line_to_offset"):
+        ours, sql = told(spark, tmp_path, name)
+        assert ours == sql, name
+    from textbench.plans.sink_queries import _offsets
+
+    plan = _offsets(lambda name: spark.read.parquet(str(tmp_path / f"{name}.parquet")), spark)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange[^\n]*\n[^\n]*Project[^\n]*\b(text|line|lines)#", plan) and plan.count("Exchange hashpartitioning") == 2
